@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that end a word; everything else belongs to one (``[^\x20\x09-\x0D]+``).
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
@@ -45,3 +48,37 @@ def text_or_empty(name: str) -> Column:
 def words(text: Column) -> Column:
     """The words of a text as an array, without empty ones."""
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
+
+
+def after_scheme(url: Column) -> Column:
+    """What follows the first ``://``; empty for null and for urls without it."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))), F.lit(""))
+
+
+def url_host(url: Column) -> Column:
+    return F.translate(F.regexp_extract(after_scheme(url), "^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def url_path(url: Column) -> Column:
+    return F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1)
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with a column added last, or replaced."""
+    kept = [i for i, f in enumerate(batch.schema) if f.name != name]
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*(batch.schema.field(i).name for i in kept), name])
+
+
+def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
+
+
+#: Rows of a batch that are in Python at once, so that very long texts don't pile up.
+ROWS_AT_ONCE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(i, ROWS_AT_ONCE)

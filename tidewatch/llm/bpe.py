@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewatch.llm._common import schema_with, slices, with_column
+
 #: Words of more symbols than this take the heap.
 SHORT_WORD = 96
 #: Encoded words that a Python worker remembers; beyond it the memory starts afresh.
@@ -158,39 +160,20 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    kept = [i for i, f in enumerate(batch.schema) if f.name != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), values], [*(batch.schema.field(i).name for i in kept), name])
-
-
-def _schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, kind)])
-
-
-#: Rows of a batch that are in Python at once, so that very long texts don't pile up.
-ROWS_AT_ONCE = 512
-
-
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(i, ROWS_AT_ONCE)
-
-
 def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
     """Adds the token ids of every whole text. A column that already has the name ids_col is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             flat, ends = array("i"), [0]
             for text in batch.column(text_col).to_pylist():
                 vocab.encode(text or "", flat)
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
-            yield _with_column(batch, ids_col, ids)
+            yield with_column(batch, ids_col, ids)
 
-    return df.mapInArrow(run, _schema_with(df, ids_col, T.ArrayType(T.IntegerType(), False)))
+    return df.mapInArrow(run, schema_with(df, ids_col, T.ArrayType(T.IntegerType(), False)))
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -198,10 +181,10 @@ def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             column = batch.column(ids_col)
             flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             texts = [vocab.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
-            yield _with_column(batch, text_col, pa.array(texts, pa.string()))
+            yield with_column(batch, text_col, pa.array(texts, pa.string()))
 
-    return df.mapInArrow(run, _schema_with(df, text_col, T.StringType()))
+    return df.mapInArrow(run, schema_with(df, text_col, T.StringType()))

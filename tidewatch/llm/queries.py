@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe
+from tidewatch.llm import bpe, html_extract, url_filter
 from tidewatch.llm._common import table
 
 
@@ -15,6 +15,22 @@ def vocab_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+URL_FILTER = url_filter.UrlFilter(
+    rules=[("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")],
+    reject_terms=["casino", "pills", "bets", "spam", "ads", "porn", "poker", "loans"],
+)
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_FILTER).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, vocab_path()).drop("text"), vocab_path())
@@ -27,7 +43,23 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_html_extract": op2_html_extract,
+    "op3_url_filter": op3_url_filter,
     "op4_bpe_round_trip": op4_bpe_round_trip,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Plain SQL that gives the same text where pages hold one article without inner boilerplate, as the given tables do.
+OP2_SQL = r"""
+WITH body AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages
+), bare AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(b|i|a|em|strong|span)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM body
+), said AS (
+  SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM bare
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM said
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_html_extract": OP2_SQL,
+}
