@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, html_extract, url_filter
+from tidewatch.llm import bpe, html_extract, quality, url_filter
 from tidewatch.llm._common import table
 
 
@@ -42,10 +42,19 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
+    )
+
+
 QUERIES = {
     "op2_html_extract": op2_html_extract,
     "op3_url_filter": op3_url_filter,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_quality_rules": op5_quality_rules,
 }
 
 #: Plain SQL that gives the same text where pages hold one article without inner boilerplate, as the given tables do.
