@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, html_extract, quality, url_filter
+from tidewatch.llm import bpe, html_extract, quality, simhash, url_filter
 from tidewatch.llm._common import table
 
 
@@ -50,11 +50,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_html_extract": op2_html_extract,
     "op3_url_filter": op3_url_filter,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
 }
 
 #: Plain SQL that gives the same text where pages hold one article without inner boilerplate, as the given tables do.
