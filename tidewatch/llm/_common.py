@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
-    return where.rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", where.rstrip("/"))
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontam, html_extract, pii, quality, simhash, url_filter
+from tidewatch.llm import bpe, decontam, html_extract, pii, quality, simhash, url_filter, warc
 from tidewatch.llm._common import table
 
 
@@ -59,6 +59,11 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_quality_rules": op5_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op9_warc_round_trip": op9_warc_round_trip,
     "op10_pii_sanitisation": op10_pii_sanitisation,
 }
 
@@ -90,6 +96,17 @@ WITH body AS (
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM said
 """
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS top FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, s AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < top THEN top END AS refers_to
+FROM m
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc_round_trip": OP9_SQL,
     "op2_html_extract": OP2_SQL,
 }
