@@ -232,6 +232,35 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("member"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("member"), F.col("b").alias("root")).distinct())
 
 
+#: Keys of documents that go (16 bytes each) are broadcast up to so many; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked documents, with all its columns: that of the least id (rows without id come last,
+    rows of equal id by fingerprint and hash); of rows alike in id and text one stays, by least of all columns."""
+    key = F.xxhash64(F.col(id_col).cast("string"), F.lit("\x00"), F.col(text_col))
+    prints = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("key"))
+    prints = materialise(with_fingerprint(prints, "text", keep_text=False), "simhash")
+    roots = materialise(components(links(prints.select("fp").distinct())), "roots").withColumnRenamed("member", "fp")
+    rows = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "key")).alias("best"))
+    chosen = materialise(best.select("best.key"), "kept-keys")
+    gone = materialise(prints.select("key").distinct().join(chosen, "key", "left_anti"), "gone-keys")
+    few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    gone = gone.select(F.col("key").alias("_key"))
+    kept = docs.withColumn("_row", key)
+    kept = kept.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("_key"), "left_anti")
+    alike = prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").join(chosen, "key", "left_semi").select(F.col("key").alias("_key"))
+    if alike.isEmpty():
+        return kept.drop("_row")
+    alike = materialise(alike, "alike-keys")
+    single = kept.join(alike, F.col("_row") == F.col("_key"), "left_anti")
+    several = kept.join(alike, F.col("_row") == F.col("_key"), "left_semi")
+    several = several.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_one")).select("_one.*")
+    return single.drop("_row").unionByName(several)
+
+
 def component_ids(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """(fp, component_id): for each distinct fingerprint the least id that can be reached from it."""
     fps = materialise(prints.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "fingerprints")
