@@ -9,7 +9,8 @@ N-grams are 57-bit hashes. Documents fall into blocks by hash; each block's dist
 tables, dealt out by hash prefix, packed into one array for each block and prefix. Equal hashes meet there, are summed, and
 the sums go back to their blocks in the same order, where they are joined to the documents' n-grams and summed per
 document. So each distinct n-gram of a block crosses the network once, however often it occurs; a frequent one adds at most
-a row for each block. There are as many blocks as shuffle partitions: set these so that a block fits a task's memory.
+a row for each block. There are two blocks for each shuffle partition: set these so that a block fits a task's memory.
+Documents cross twice, to be counted and to be scored, packed by block and compressed.
 
 Words are A-Z lower-cased runs of other characters than space and \\x09-\\x0D. Null and empty texts have no word and a null
 score. Repeated rows count as documents of their own. An empty table gives an empty result. Further columns are ignored.
@@ -89,12 +90,43 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind))
 
 
+#: Blocks for each shuffle partition.
+BLOCKS_PER_PARTITION = 2
+
+
+def packed(docs: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """(block, docs): ids and texts of a block's documents from one batch, as a compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            cuts = np.flatnonzero(np.diff(block[order])) + 1
+            rows = [(int(block[part[0]]), part) for part in np.split(order, cuts) if len(part)]
+            blobs = []
+            for _, part in rows:
+                to = pa.BufferOutputStream()
+                own = batch.select(["id", "text"]).take(pa.array(part))
+                with pa.ipc.new_stream(to, own.schema, options=options) as stream:
+                    stream.write_batch(own)
+                blobs.append(to.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], ["block", "docs"])
+
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).cast("int")
+    return docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "block int, docs binary")
+
+
+def _unpacked(blobs: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
+
+
 def own_grams(blocks: DataFrame, order: int, bits: int) -> DataFrame:
     """(n, prefix, block, grams, counts): each block's distinct n-grams of each length."""
 
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
-        _, grams = block_grams(rows.column("text").cast(pa.binary()).to_pylist(), order, bits)
+        _, grams = block_grams(_unpacked(rows.column("docs")).column("text").cast(pa.binary()).to_pylist(), order, bits)
         out: list[tuple] = []
         for n, g in enumerate(grams, 1):
             found, count, _ = distinct(g)
@@ -104,7 +136,7 @@ def own_grams(blocks: DataFrame, order: int, bits: int) -> DataFrame:
         counts = _lists([*columns[4], np.zeros(0, np.int64)], pa.int32())[: len(out)]
         return pa.table([*arrays, pa.array(columns[3], pa.binary()), counts], ["n", "prefix", "block", "grams", "counts"])
 
-    return blocks.select("block", "text").groupBy("block").applyInArrow(run, "n int, prefix int, block int, grams binary, counts array<int>")
+    return blocks.groupBy("block").applyInArrow(run, "n int, prefix int, block int, grams binary, counts array<int>")
 
 
 def totals(own: DataFrame) -> DataFrame:
@@ -167,20 +199,20 @@ def block_scores(texts: list[bytes | None], sums: list[np.ndarray], n_words: int
 
 def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """(id, n_words, score) for every row."""
-    n_blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).cast("int")
-    blocks = docs.select(id_col, F.col(text_col).alias("text"), block.alias("block"))
+    n_blocks = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = packed(docs, n_blocks, id_col, text_col)
     sums = materialise(totals(own_grams(blocks, order, prefix_bits)), "ngram-totals")
     n_words = sums.filter("n = 1").agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
     kind = pa.int64()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").cast(pa.binary()).to_pylist()
+        own = _unpacked(left.column("docs"))
+        texts = own.column("text").cast(pa.binary()).to_pylist()
         of: list[list] = [[] for _ in range(order)]
         for n, prefix, t in sorted(zip(right.column("n").to_pylist(), right.column("prefix").to_pylist(), range(right.num_rows))):
             of[n - 1].append(right.column("totals")[t].values.to_numpy())
         words, mean = block_scores(texts, [np.concatenate([*x, np.zeros(0, np.int64)]) for x in of], n_words, alpha, prefix_bits)
-        return pa.table({"id": left.column(id_col), "n_words": pa.array(words, kind), "score": pa.array(np.round(mean, 9), pa.float64(), mask=words == 0)})
+        return pa.table({"id": own.column("id"), "n_words": pa.array(words, kind), "score": pa.array(np.round(mean, 9), pa.float64(), mask=words == 0)})
 
     id_kind = dict(docs.dtypes)[id_col]
     scored = blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, f"id {id_kind}, n_words long, score double")
