@@ -118,7 +118,10 @@ def _branch_keys(turns: DataFrame, branching: DataFrame) -> DataFrame:
             key += node if chosen else b""
             yield node, key
 
-    marked = turns.join(branching, "parent", "left").select("conv_id", "place", "node", F.coalesce("many", F.lit(False)).alias("chosen"))
+    # all roots stand side by side, so their common parent needs no join
+    root = turns.filter("place = 0").select("conv_id", "place", "node", F.lit(True).alias("chosen"))
+    later = turns.filter("place > 0").join(branching, "parent", "left").select("conv_id", "place", "node", F.col("many").isNotNull().alias("chosen"))
+    marked = root.unionByName(later)
     return _streamed(marked, ["place"], keys, [("node", pa.binary(), "binary"), ("key", pa.binary(), "binary")])
 
 
@@ -145,7 +148,8 @@ def pack(turns: DataFrame, vocab_path: str) -> DataFrame:
 
     nodes = turns.groupBy("node").agg(F.first("parent").alias("parent"), F.first("place").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
     nodes = materialise(nodes.mapInArrow(tokenise, "node binary, parent binary, depth long, token_ids array<int>, loss_from int, loss_to int, n_chars long"), "chat-nodes")
-    branching = nodes.groupBy("parent").agg((F.count("*") > 1).alias("many"))
+    branching = nodes.filter("depth > 0").groupBy("parent").agg(F.count("*").alias("many")).filter("many > 1")
+    branching = materialise(branching, "chat-branchings")
     keys = _branch_keys(turns.select("conv_id", "place", "node", "parent"), branching).groupBy("node").agg(F.first("key").alias("key"))
     n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = nodes.select("node", "depth", F.size("token_ids").cast("long").alias("n")).join(keys, "node")
