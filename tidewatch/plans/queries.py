@@ -121,3 +121,148 @@ def coordination_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (client_version_flapping, client_platform_mismatch, client_unknown_version, client_impossible_sequence, client_risk, evasion_post_moderation, evasion_rejoin_cycling, ghost_presence, coordinated_content, coordinated_joins, coordination_sweep, coordination_members)}
+
+
+# --- abuse, risk, cases
+
+from tidewatch.operators import abuse, alerts, evidence, incidents, policy, rates, reads, risk, shield  # noqa: E402
+from tidewatch.sources.shared import materialise  # noqa: E402
+from tidewatch.sources.telemetry import verdicts  # noqa: E402
+
+A, R, X = WIDE.abuse, WIDE.risk, WIDE.case
+
+
+def _classified(spark: SparkSession, sf: str, events: DataFrame) -> DataFrame:
+    return abuse.classify(spam.with_text_features(events), A, verdicts=verdicts(spark, sf, events))
+
+
+def _behaviour(events: DataFrame) -> DataFrame:
+    """Signals whose oracle is plain SQL: bursts, rates, impossible sequences, evasion."""
+    rated = spam.with_rates(events, S)
+    parts = [
+        spam.burst(rated, S), spam.high_frequency(rated, S), spam.sustained_rate(rated, S), client.version_flapping(events, C, S.horizon_ms),
+        client.impossible_sequence(events, C, S.horizon_ms), evasion.post_moderation(events, restrictions(events), E), evasion.rejoin_cycling(events, E),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Events, signals, planned assessments with incidents, and incidents."""
+    events = telemetry(spark, sf)
+    signals = materialise(_behaviour(events), "signals")
+    scored = materialise(risk.score_signals(signals, R), "scored")
+    planned = policy.plan(scored, R)
+    serious = planned.filter(F.col("level").isin("HIGH", "CRITICAL"))
+    sessioned = incidents.sessions(serious, X)
+    return events, signals, sessioned, incidents.build(sessioned, signals, events, X, A.excerpt_max_chars)
+
+
+def abuse_classes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _classified(spark, sf, telemetry(spark, sf))
+    return rows.select("user_id", "event_id", "decision.class", "decision.confidence", "decision.review", "decision.recommended", "targeted", "repeated", F.size("mild_hits").alias("n_mild"))
+
+
+def abuse_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return abuse.signals(_classified(spark, sf, telemetry(spark, sf)), A).select("user_id", "event_id", "code", "severity", "confidence")
+
+
+def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
+    scored = risk.score_signals(_behaviour(telemetry(spark, sf)), R)
+    return scored.select("user_id", "event_id", "score", "level", "peak_confidence", F.col("n_contributions").cast("long").alias("n_contributions"), F.array_join("codes", ",").alias("codes"))
+
+
+def risk_history(spark: SparkSession, sf: str) -> DataFrame:
+    scored = risk.score_signals(_behaviour(telemetry(spark, sf)), R)
+    return risk.user_history(risk.fold_input(scored), R)
+
+
+def response_plans(spark: SparkSession, sf: str) -> DataFrame:
+    planned = policy.plan(risk.score_signals(_behaviour(telemetry(spark, sf)), R), R)
+    return planned.select("user_id", "event_id", "level", "restriction_status", F.array_join("automated", ",").alias("automated"), F.array_join("recommended", ",").alias("recommended"))
+
+
+def incident_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, sessioned, _ = _cases(spark, sf)
+    return sessioned.groupBy("incident_id", "user_id", "room_id").agg(F.min("at_ms").alias("created_ms"), F.max("at_ms").alias("updated_ms"), F.count("*").alias("n_events"), F.max("score").alias("risk_score"))
+
+
+def incident_details(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, cases = _cases(spark, sf)
+    return cases.select("incident_id", "risk_level", "confidence", F.array_join("behaviors", ",").alias("behaviors"))
+
+
+def incident_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    _, signals, sessioned, _ = _cases(spark, sf)
+    return incidents.new_behaviours(sessioned, signals, X).select("incident_id", "event_id", "bundle")
+
+
+def alerts_sent(spark: SparkSession, sf: str) -> DataFrame:
+    scored = risk.score_signals(_behaviour(telemetry(spark, sf)), R)
+    return alerts.sent(alerts.decide(scored, X).filter("fires"), X.alert_window_ms).select("key", "at_ms", "event_id")
+
+
+def evidence_chain(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, cases = _cases(spark, sf)
+    chained = evidence.verify_chain(evidence.chain(evidence.bodies(cases)))
+    return chained.select("incident_id", "sequence", "content_hash", "previous_hash", "chain_hash", F.array_join("problems", ",").alias("problems"))
+
+
+def retention_plan(spark: SparkSession, sf: str) -> DataFrame:
+    events, _, _, cases = _cases(spark, sf)
+    chained = evidence.chain(evidence.bodies(cases))
+    now = events.agg(F.max("at_ms")).first()[0] or 0
+    return evidence.retention_plan(cases, chained, now, X.incident_days, X.evidence_days).select("incident_id", "decision")
+
+
+def high_risk_users(spark: SparkSession, sf: str) -> DataFrame:
+    events, signals, _, cases = _cases(spark, sf)
+    latest = risk.latest_assessment(risk.score_signals(signals, R))
+    return reads.high_risk_users(latest, cases, events).select("user_id", "handle", "score", "level", "last_seen_ms", "open_incidents")
+
+
+def user_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    events, signals, _, cases = _cases(spark, sf)
+    latest = risk.latest_assessment(risk.score_signals(signals, R))
+    users = events.select("user_id").distinct()
+    rows = reads.user_profiles(users, events, signals, latest, cases, S.window_ms, R)
+    return rows.select("user_id", "events", "rate", "score", "level", "range", "client_version", "platform", "open_incidents", F.array_join("recent", ",").alias("recent"))
+
+
+def overview(spark: SparkSession, sf: str) -> DataFrame:
+    _, signals, sessioned, cases = _cases(spark, sf)
+    latest = risk.latest_assessment(risk.score_signals(signals, R))
+    return reads.overview(cases, latest, signals, incidents.action_log(sessioned))
+
+
+def risk_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.risk_distribution(risk.latest_assessment(risk.score_signals(_behaviour(telemetry(spark, sf)), R)), R)
+
+
+def top_signals(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.top_signals(_behaviour(telemetry(spark, sf)))
+
+
+def recent_incidents(spark: SparkSession, sf: str) -> DataFrame:
+    return reads.recent_incidents(_cases(spark, sf)[3]).withColumn("behaviors", F.array_join("behaviors", ","))
+
+
+def rate_budget(spark: SparkSession, sf: str) -> DataFrame:
+    log = telemetry(spark, sf).select(F.col("user_id").alias("key"), "at_ms", "seq", "event_id")
+    return rates.fixed_window(log, 3, 86_400_000).select("key", "event_id", F.col("hit").cast("long").alias("hit"), "allowed", F.col("remaining").cast("long").alias("remaining"), F.col("retry_s").cast("long").alias("retry_s"))
+
+
+def rate_trailing(spark: SparkSession, sf: str) -> DataFrame:
+    log = telemetry(spark, sf).select(F.col("user_id").alias("key"), "at_ms", "seq", "event_id")
+    return rates.recent_count(log, 3 * 86_400_000).select("key", "event_id", F.col("n").cast("long").alias("n"))
+
+
+def shield_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Each room is a listener to the speakers in it."""
+    rows = _classified(spark, sf, telemetry(spark, sf)).select(F.col("room_id").alias("listener_id"), F.col("user_id").alias("speaker_id"), "event_id", "at_ms", "seq", "decision.class", "decision.confidence")
+    return shield.decisions(shield.with_offences(rows, X), X).drop("seq")
+
+
+QUERIES |= {f.__name__: f for f in (abuse_classes, abuse_signals, risk_scores, risk_history, response_plans, incident_sessions, incident_details, incident_evidence, alerts_sent, evidence_chain, retention_plan, high_risk_users, user_profiles, overview, risk_distribution, top_signals, recent_incidents, rate_budget, rate_trailing, shield_decisions)}

@@ -107,3 +107,57 @@ FROM f SEMI JOIN busy USING (room_id, sweep_ms) WHERE n >= {_k.min_accounts}"""
 SQL["coordinated_joins"] = f"""WITH {T}, {_BUSY}, j AS (SELECT *, {_SWEEP} AS sweep_ms FROM t WHERE event_type = 'join'),
 w AS (SELECT room_id, sweep_ms, at_ms, seq, list(DISTINCT user_id) OVER (PARTITION BY room_id, sweep_ms ORDER BY at_ms RANGE BETWEEN CURRENT ROW AND {_k.join_window_ms} FOLLOWING) AS users FROM j)
 SELECT room_id, sweep_ms, arg_min(len(users), seq)::BIGINT AS n, min(at_ms) AS from_ms FROM w SEMI JOIN busy USING (room_id, sweep_ms) WHERE len(users) >= {_k.join_accounts} GROUP BY ALL"""
+
+_r, _x = WIDE.risk, WIDE.case
+#: The signals whose rules SQL can say, as the case queries use them.
+_PARTS = {
+    "SPAM_BURST": "spam_burst",
+    "SPAM_HIGH_FREQUENCY": "spam_high_frequency",
+    "BOT_SUSTAINED_RATE": "bot_sustained_rate",
+    "CLIENT_VERSION_FLAPPING": "client_version_flapping",
+    "CLIENT_IMPOSSIBLE_SEQUENCE": "client_impossible_sequence",
+    "EVASION_POST_MODERATION_ACTIVITY": "evasion_post_moderation",
+    "EVASION_REJOIN_CYCLING": "evasion_rejoin_cycling",
+}
+SIG = "sig AS (" + " UNION ALL ".join(f"SELECT user_id, event_id, '{code}' AS code, severity, confidence::DOUBLE AS confidence FROM ({SQL[name]})" for code, name in _PARTS.items()) + ")"
+_WEIGHT = "CASE code " + " ".join(f"WHEN '{code}' THEN {float(_r.weights[code])}::DOUBLE" for code in _PARTS) + " END"
+_LEVEL = f"CASE WHEN score >= {_r.thresholds['CRITICAL']} THEN 'CRITICAL' WHEN score >= {_r.thresholds['HIGH']} THEN 'HIGH' WHEN score >= {_r.thresholds['MEDIUM']} THEN 'MEDIUM' ELSE 'LOW' END"
+RISK = f"""{T}, {SIG},
+best AS (SELECT user_id, event_id, code, max(confidence) AS c FROM sig GROUP BY ALL),
+weighed AS (SELECT *, least({_WEIGHT} * least(1.0, c / {_r.confidence_floor}), {_r.max_single}) AS applied FROM best),
+summed AS (SELECT event_id, floor(least(100, sum(applied)) + 0.5)::INTEGER AS score, max(c) AS peak_confidence, count(*) AS n, array_to_string(list_sort(list(code)), ',') AS codes FROM weighed GROUP BY event_id),
+scored AS (SELECT t.user_id, t.room_id, t.event_id, t.at_ms, t.seq, score, {_LEVEL} AS level, peak_confidence, n, codes FROM summed JOIN t USING (event_id)),
+latest AS (SELECT user_id, arg_max(score, seq) AS score, arg_max(level, seq) AS level FROM scored GROUP BY user_id)"""
+INCIDENT = f"""{RISK},
+serious AS (SELECT *, lag(at_ms) OVER (PARTITION BY user_id, room_id ORDER BY at_ms, seq) AS before FROM scored WHERE level IN ('HIGH', 'CRITICAL')),
+marked AS (SELECT *, last_value(CASE WHEN before IS NULL OR at_ms - before > {_x.incident_gap_ms} THEN at_ms END IGNORE NULLS) OVER (PARTITION BY user_id, room_id ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS start_ms FROM serious),
+sessioned AS (SELECT *, 'INC-' || strftime(make_timestamp(start_ms * 1000), '%Y%m%d') || '-' || substr(sha256(user_id || '|' || room_id || '|' || start_ms), 1, 8) AS incident_id FROM marked),
+cases AS (SELECT incident_id, user_id, room_id, min(at_ms) AS created_ms, max(at_ms) AS updated_ms, count(*) AS n_events, max(score) AS risk_score, arg_max(level, score) AS risk_level FROM sessioned GROUP BY ALL),
+firsts AS (SELECT incident_id, code, min(seq) AS seq FROM sessioned JOIN sig USING (event_id) GROUP BY ALL),
+behaved AS (SELECT incident_id, list(code ORDER BY seq, code) AS behaviors FROM firsts GROUP BY ALL)"""
+_RANGES = "CASE level WHEN 'LOW' THEN '0-24' WHEN 'MEDIUM' THEN '25-49' WHEN 'HIGH' THEN '50-74' ELSE '75-100' END"
+SQL |= {
+    "risk_scores": f"WITH {RISK} SELECT user_id, event_id, score, level, peak_confidence, n AS n_contributions, codes FROM scored",
+    "response_plans": f"""WITH {RISK} SELECT user_id, event_id, level, CASE WHEN level <> 'CRITICAL' THEN 'none' WHEN peak_confidence < {_r.critical_min_confidence} THEN 'low_confidence' ELSE 'unavailable' END AS restriction_status,
+  CASE level WHEN 'LOW' THEN 'LOG' WHEN 'MEDIUM' THEN 'LOG,INCREASE_MONITORING' WHEN 'HIGH' THEN 'LOG,INCREASE_MONITORING,RECOMMEND_MUTE,RECOMMEND_BLOCK,RECOMMEND_REPORT'
+    ELSE 'LOG,INCREASE_MONITORING,RECOMMEND_MUTE,RECOMMEND_BLOCK,RECOMMEND_REPORT,CREATE_INCIDENT,PRESERVE_EVIDENCE,NOTIFY_MODERATOR' END AS automated,
+  CASE level WHEN 'LOW' THEN 'NONE' WHEN 'MEDIUM' THEN 'WARN' ELSE 'MUTE,BLOCK,REPORT' END AS recommended FROM scored""",
+    "incident_sessions": f"WITH {INCIDENT} SELECT incident_id, user_id, room_id, created_ms, updated_ms, n_events, risk_score FROM cases",
+    "incident_evidence": f"""WITH {INCIDENT}, e AS (SELECT DISTINCT incident_id, seq FROM firsts), n AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY seq) AS bundle FROM e)
+SELECT incident_id, seq::VARCHAR AS event_id, bundle::INTEGER AS bundle FROM n WHERE bundle <= {_x.max_evidence}""",
+    "retention_plan": f"""WITH {INCIDENT} SELECT incident_id, CASE WHEN updated_ms < (SELECT max(at_ms) FROM t) - {_x.incident_days * 86400000} AND created_ms < (SELECT max(at_ms) FROM t) - {_x.evidence_days * 86400000} THEN 'delete' ELSE 'keep' END AS decision FROM cases""",
+    "high_risk_users": f"""WITH {INCIDENT} SELECT l.user_id, upper(substr(sha256('tidewatch:' || l.user_id), 1, 6)) AS handle, score, level, (SELECT max(at_ms) FROM t WHERE t.user_id = l.user_id) AS last_seen_ms,
+  (SELECT count(*) FROM cases c WHERE c.user_id = l.user_id) AS open_incidents FROM latest l ORDER BY score DESC, l.user_id LIMIT 20""",
+    "user_profiles": f"""WITH {INCIDENT}, b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS r, max(at_ms) OVER (PARTITION BY user_id) AS last FROM t),
+u AS (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE at_ms >= last - {_s.window_ms}) AS rate, arg_max(client_version, seq) AS client_version, arg_max(platform, seq) AS platform, string_agg(event_id, ',' ORDER BY seq) FILTER (WHERE r <= 25) AS recent FROM b GROUP BY user_id)
+SELECT u.user_id, events, rate, coalesce(score, 0) AS score, coalesce(level, 'LOW') AS level, {_RANGES.replace("level", "coalesce(level, 'LOW')")} AS range, client_version, platform, (SELECT count(*) FROM cases c WHERE c.user_id = u.user_id) AS open_incidents, recent
+FROM u LEFT JOIN latest l ON l.user_id = u.user_id""",
+    "overview": f"""WITH {INCIDENT} SELECT 'open_incidents' AS counter, count(*) AS n FROM cases UNION ALL SELECT 'high_risk_users', count(*) FROM latest WHERE level IN ('HIGH', 'CRITICAL')
+UNION ALL SELECT 'spam_signals', count(*) FROM sig WHERE code LIKE 'SPAM%' OR code LIKE 'BOT%' UNION ALL SELECT 'abuse_signals', 0 UNION ALL SELECT 'effective_blocks', 0""",
+    "risk_distribution": f"""WITH {RISK}, levels AS (SELECT unnest(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL']) AS level) SELECT level, {_RANGES} AS range, (SELECT count(*) FROM latest l WHERE l.level = levels.level) AS n FROM levels""",
+    "top_signals": f"WITH {SIG} SELECT code, count(*) AS n FROM sig GROUP BY code ORDER BY n DESC, code LIMIT 8",
+    "recent_incidents": f"""WITH {INCIDENT} SELECT incident_id, user_id, risk_score, risk_level, updated_ms, array_to_string(behaviors[1:4], ',') AS behaviors FROM cases JOIN behaved USING (incident_id) ORDER BY updated_ms DESC, incident_id LIMIT 10""",
+    "rate_budget": f"""WITH {T}, h AS (SELECT *, row_number() OVER (PARTITION BY user_id, at_ms // 86400000 ORDER BY at_ms, seq) AS hit FROM t)
+SELECT user_id AS key, event_id, hit, hit <= 3 AS allowed, greatest(3 - hit, 0) AS remaining, CASE WHEN hit > 3 THEN ceil(((at_ms // 86400000 + 1) * 86400000 - at_ms) / 1000.0)::BIGINT ELSE 0 END AS retry_s FROM h""",
+    "rate_trailing": f"""WITH {T} SELECT user_id AS key, event_id, {trailing("1", 3 * 86400000, "user_id")}::BIGINT AS n FROM t""",
+}
