@@ -266,3 +266,23 @@ def shield_decisions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (abuse_classes, abuse_signals, risk_scores, risk_history, response_plans, incident_sessions, incident_details, incident_evidence, alerts_sent, evidence_chain, retention_plan, high_risk_users, user_profiles, overview, risk_distribution, top_signals, recent_incidents, rate_budget, rate_trailing, shield_decisions)}
+
+
+# --- validation
+
+from tidewatch.operators import validation  # noqa: E402
+from tidewatch.sources.telemetry import raw_events  # noqa: E402
+
+
+def validation_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rows judged at their own time; one in fifty breaks each of six rules."""
+    checked = validation.validate(raw_events(telemetry(spark, sf)), F.col("at_ms"))
+    return validation.rejected(checked).select("batch_id", F.col("idx").cast("long").alias("idx"), F.explode("issues").alias("x")).select("batch_id", "idx", "x.field", "x.code")
+
+
+def accepted_events(spark: SparkSession, sf: str) -> DataFrame:
+    checked = validation.validate(raw_events(telemetry(spark, sf)), F.col("at_ms"))
+    return validation.accepted(checked).select("seq", "user_id", "room_id", F.col("event_at_ms").alias("at_ms"), "event_type", "client_version", "platform", F.length("event_id").cast("long").alias("id_length"))
+
+
+QUERIES |= {f.__name__: f for f in (validation_issues, accepted_events)}

@@ -161,3 +161,7 @@ UNION ALL SELECT 'spam_signals', count(*) FROM sig WHERE code LIKE 'SPAM%' OR co
 SELECT user_id AS key, event_id, hit, hit <= 3 AS allowed, greatest(3 - hit, 0) AS remaining, CASE WHEN hit > 3 THEN ceil(((at_ms // 86400000 + 1) * 86400000 - at_ms) / 1000.0)::BIGINT ELSE 0 END AS retry_s FROM h""",
     "rate_trailing": f"""WITH {T} SELECT user_id AS key, event_id, {trailing("1", 3 * 86400000, "user_id")}::BIGINT AS n FROM t""",
 }
+
+SQL["validation_issues"] = f"""WITH {T} SELECT seq // 50 AS batch_id, seq % 50 AS idx, ['userId', 'roomId', 'timestamp', 'eventType', '', 'surprise'][seq % 50] AS field,
+  ['BAD_CHARACTERS', 'MISSING', 'UNPARSABLE', 'NOT_ALLOWED', '', 'UNKNOWN_FIELD'][seq % 50] AS code FROM t WHERE seq % 50 IN (1, 2, 3, 4, 6)"""
+SQL["accepted_events"] = f"""WITH {T} SELECT seq, user_id, room_id, at_ms, event_type, client_version, CASE WHEN seq % 50 = 5 THEN 'unknown' ELSE platform END AS platform, 32::BIGINT AS id_length FROM t WHERE seq % 50 NOT IN (1, 2, 3, 4, 6)"""
