@@ -37,7 +37,7 @@ def sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
-    coded = bpe.decode(bpe.encode(docs, vocab_path()), vocab_path())
+    coded = bpe.encode(docs, vocab_path(), decoded_col="decoded")
     ids = F.col("token_ids")
     return coded.select(
         "doc_id", "lang", "source", "n_chars", F.size(ids).cast("long").alias("n_tokens"), F.sha2(F.array_join(ids.cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm._common import materialise
-from tidewatch.llm.quality import word_hashes
+from tidewatch.llm.quality import forget_words, word_hashes
 
 ALPHA = 0.4
 #: Bits of the hash by which the count tables are dealt out; more where a table's part would outgrow a task. The next 48
@@ -39,6 +39,7 @@ def block_grams(texts: list[bytes | None], order: int, bits: int = PREFIX_BITS)
     """Document number of each word, and for each length up to order the n-gram that ends at each word (zero where the
     document has too few words before it)."""
     hashes = [word_hashes(t.lower()) if t else np.zeros(0, np.uint64) for t in texts]
+    forget_words()
     doc = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
     words = np.concatenate([*hashes, np.zeros(0, np.uint64)])
     grams = [_mixed(words)]

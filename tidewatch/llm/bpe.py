@@ -160,8 +160,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """Adds the token ids of every whole text. A column that already has the name ids_col is replaced."""
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
+    """Adds the token ids of every whole text and, if named, what they decode to, in one pass of one Python worker. A
+    column that already has one of these names is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
@@ -171,9 +172,16 @@ def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str
                 vocab.encode(text or "", flat)
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
-            yield with_column(batch, ids_col, ids)
-
-    return df.mapInArrow(run, schema_with(df, ids_col, T.ArrayType(T.IntegerType(), False)))
+            batch = with_column(batch, ids_col, ids)
+            if decoded_col:
+                said = [vocab.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+                batch = with_column(batch, decoded_col, pa.array(said, pa.string()))
+            yield batch
+
+    schema = schema_with(df, ids_col, T.ArrayType(T.IntegerType(), False))
+    if decoded_col:
+        schema = T.StructType([*(f for f in schema if f.name != decoded_col), T.StructField(decoded_col, T.StringType())])
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

@@ -38,7 +38,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, vocab_path()).drop("text"), vocab_path())
+    coded = bpe.encode(docs, vocab_path(), decoded_col="decoded")
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
