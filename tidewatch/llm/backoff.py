@@ -9,7 +9,7 @@ N-grams are 57-bit hashes. Documents fall into blocks by hash; each block's dist
 tables, dealt out by hash prefix, packed into one array for each block and prefix. Equal hashes meet there, are summed, and
 the sums go back to their blocks in the same order, where they are joined to the documents' n-grams and summed per
 document. So each distinct n-gram of a block crosses the network once, however often it occurs; a frequent one adds at most
-a row for each block. There are two blocks for each shuffle partition: set these so that a block fits a task's memory.
+a row for each block. There are as many blocks as the texts' bytes ask for, so that a block fits a task's memory.
 Documents cross twice, to be counted and to be scored, packed by block and compressed.
 
 Words are A-Z lower-cased runs of other characters than space and \\x09-\\x0D. Null and empty texts have no word and a null
@@ -91,8 +91,8 @@ def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind))
 
 
-#: Blocks for each shuffle partition.
-BLOCKS_PER_PARTITION = 2
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 
 
 def packed(docs: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
@@ -200,7 +200,8 @@ def block_scores(texts: list[bytes | None], sums: list[np.ndarray], n_words: int
 
 def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """(id, n_words, score) for every row."""
-    n_blocks = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    n_blocks = n_bytes // BLOCK_BYTES + 1
     blocks = packed(docs, n_blocks, id_col, text_col)
     sums = materialise(totals(own_grams(blocks, order, prefix_bits)), "ngram-totals")
     n_words = sums.filter("n = 1").agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
