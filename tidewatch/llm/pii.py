@@ -118,11 +118,16 @@ def disclosures(spotted: DataFrame, d: Disclosure, text_col: str = "text") -> Da
     both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= d.support)
     both = materialise(both, "term-support")
     held = pairs.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    total = spotted.select(F.xxhash64(text_col).alias("doc")).agg(F.count_distinct("doc")).first()[0]
+    # equal texts count once: each of n copies weighs 1/n, so terms are summed before the shuffle and no (term, text) crosses
+    copies = materialise(spotted.groupBy(F.xxhash64(text_col).alias("doc")).agg(F.count("*").alias("copies")), "text-copies")
+    total = copies.count()
+    copies = copies.filter("copies > 1")
+    few_copies = copies.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     terms = both.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    all_ = spotted.select(F.xxhash64(text_col).alias("doc"), F.explode(_terms(F.col(text_col))).alias("term"))
-    df = all_.join(F.broadcast(terms) if few else terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    weighed = spotted.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(copies) if few_copies else copies, "doc", "left")
+    all_ = weighed.select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.explode(_terms(F.col("text"))).alias("term"))
+    df = all_.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("df"))
     n = F.lit(float(max(total, 2)))
     strength = F.log(F.col("n") * n / (F.col("df") * F.col("ne"))) / F.log(n / F.col("ne"))
     found = both.join(df, "term").join(held, "entity").withColumn("disclosure", F.when(F.col("ne") < n, strength).otherwise(F.lit(0.0)))
