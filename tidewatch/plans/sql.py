@@ -125,8 +125,8 @@ _LEVEL = f"CASE WHEN score >= {_r.thresholds['CRITICAL']} THEN 'CRITICAL' WHEN s
 RISK = f"""{T}, {SIG},
 best AS (SELECT user_id, event_id, code, max(confidence) AS c FROM sig GROUP BY ALL),
 weighed AS (SELECT *, least({_WEIGHT} * least(1.0, c / {_r.confidence_floor}), {_r.max_single}) AS applied FROM best),
-summed AS (SELECT event_id, floor(least(100, sum(applied)) + 0.5)::INTEGER AS score, max(c) AS peak_confidence, count(*) AS n, array_to_string(list_sort(list(code)), ',') AS codes FROM weighed GROUP BY event_id),
-scored AS (SELECT t.user_id, t.room_id, t.event_id, t.at_ms, t.seq, score, {_LEVEL} AS level, peak_confidence, n, codes FROM summed JOIN t USING (event_id)),
+summed AS (SELECT event_id, floor(least(100, sum(applied)) + 0.5)::INTEGER AS score, max(c) AS peak_confidence, sum(applied)::DOUBLE AS total, count(*) AS n, array_to_string(list_sort(list(code)), ',') AS codes FROM weighed GROUP BY event_id),
+scored AS (SELECT t.user_id, t.room_id, t.event_id, t.at_ms, t.seq, score, {_LEVEL} AS level, peak_confidence, total, n, codes FROM summed JOIN t USING (event_id)),
 latest AS (SELECT user_id, arg_max(score, seq) AS score, arg_max(level, seq) AS level FROM scored GROUP BY user_id)"""
 INCIDENT = f"""{RISK},
 serious AS (SELECT *, lag(at_ms) OVER (PARTITION BY user_id, room_id ORDER BY at_ms, seq) AS before FROM scored WHERE level IN ('HIGH', 'CRITICAL')),
@@ -165,3 +165,50 @@ SELECT user_id AS key, event_id, hit, hit <= 3 AS allowed, greatest(3 - hit, 0)
 SQL["validation_issues"] = f"""WITH {T} SELECT seq // 50 AS batch_id, seq % 50 AS idx, ['userId', 'roomId', 'timestamp', 'eventType', '', 'surprise'][seq % 50] AS field,
   ['BAD_CHARACTERS', 'MISSING', 'UNPARSABLE', 'NOT_ALLOWED', '', 'UNKNOWN_FIELD'][seq % 50] AS code FROM t WHERE seq % 50 IN (1, 2, 3, 4, 6)"""
 SQL["accepted_events"] = f"""WITH {T} SELECT seq, user_id, room_id, at_ms, event_type, client_version, CASE WHEN seq % 50 = 5 THEN 'unknown' ELSE platform END AS platform, 32::BIGINT AS id_length FROM t WHERE seq % 50 NOT IN (1, 2, 3, 4, 6)"""
+
+_MEMBERS = f"""{T}, {_BUSY},
+said AS (SELECT room_id, sweep_ms, 'COORDINATED_IDENTICAL_CONTENT' AS code, severity, confidence::DOUBLE AS confidence, string_split(users, ',') AS users FROM ({SQL["coordinated_content"]})),
+j AS (SELECT *, {_SWEEP} AS sweep_ms FROM t WHERE event_type = 'join'),
+w AS (SELECT room_id, sweep_ms, seq, list(DISTINCT user_id) OVER near AS users, list(at_ms) OVER near AS times FROM j
+  WINDOW near AS (PARTITION BY room_id, sweep_ms ORDER BY at_ms RANGE BETWEEN CURRENT ROW AND {_k.join_window_ms} FOLLOWING)),
+f AS (SELECT room_id, sweep_ms, arg_min(users, seq) AS users, list_sort(arg_min(times, seq)) AS times FROM w SEMI JOIN busy USING (room_id, sweep_ms) WHERE len(users) >= {_k.join_accounts} GROUP BY ALL),
+g AS (SELECT *, list_transform(range(2, len(times) + 1), lambda i: (times[i] - times[i - 1])::DOUBLE) AS gaps FROM f),
+s AS (SELECT *, len(gaps) >= 3 AND coalesce(list_stddev_samp(gaps) / nullif(list_avg(gaps), 0), 0) < {_k.scripted_cv} AS scripted FROM g),
+found AS (SELECT * FROM said UNION ALL SELECT room_id, sweep_ms, 'COORDINATED_SYNCHRONIZED_JOINS', CASE WHEN scripted THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN scripted THEN 0.8 ELSE 0.55 END, users FROM s)"""
+SQL["coordination_members"] = f"WITH {_MEMBERS} SELECT room_id, sweep_ms, code, severity, confidence, unnest(users) AS user_id FROM found"
+SQL["coordination_sweep"] = f"""WITH {_MEMBERS}, people AS (SELECT sweep_ms, count(DISTINCT user_id) AS accounts FROM (SELECT sweep_ms, unnest(users) AS user_id FROM found) GROUP BY ALL)
+SELECT sweep_ms, count(DISTINCT room_id) AS rooms, count(*) AS findings, any_value(accounts) AS accounts FROM found JOIN people USING (sweep_ms) GROUP BY sweep_ms"""
+_w = _c.indicator_weights
+SQL["client_risk"] = f"""WITH {T}, c AS (
+  SELECT event_id, 'CLIENT_UNKNOWN_VERSION' AS code, {_w['CLIENT_UNKNOWN_VERSION']} * 0.55::DOUBLE AS part FROM ({SQL["client_unknown_version"]})
+  UNION ALL SELECT event_id, 'CLIENT_VERSION_FLAPPING', {_w['CLIENT_VERSION_FLAPPING']} * confidence FROM ({SQL["client_version_flapping"]})
+  UNION ALL SELECT event_id, 'CLIENT_PLATFORM_MISMATCH', {_w['CLIENT_PLATFORM_MISMATCH']} * 0.65::DOUBLE FROM ({SQL["client_platform_mismatch"]})
+  UNION ALL SELECT event_id, 'CLIENT_IMPOSSIBLE_SEQUENCE', {_w['CLIENT_IMPOSSIBLE_SEQUENCE']} * 0.85::DOUBLE FROM ({SQL["client_impossible_sequence"]})),
+r AS (SELECT event_id, sum(part) AS raw, array_to_string(list_sort(list(code)), ',') AS indicators FROM c GROUP BY event_id),
+g AS (SELECT *, {trailing("1", _s.horizon_ms, "user_id")} AS n FROM t)
+SELECT g.event_id, user_id, floor(least(100, coalesce(raw, 0)) + 0.5)::INTEGER AS client_risk, {rounded(f"0.25 + 0.5 * ({sat('n', 5, 40)})")} AS confidence, coalesce(indicators, '') AS indicators
+FROM g LEFT JOIN r USING (event_id) WHERE n >= {_c.min_telemetry_events}"""
+SQL["incident_details"] = f"""WITH {INCIDENT}, peak AS (SELECT incident_id, code, max(confidence) AS c FROM sessioned JOIN sig USING (event_id) GROUP BY ALL),
+sure AS (SELECT incident_id, least(0.99, {rounded("1 - product(1 - c)")}) AS confidence FROM peak GROUP BY ALL)
+SELECT incident_id, risk_level, confidence, array_to_string(behaviors, ',') AS behaviors FROM cases JOIN behaved USING (incident_id) JOIN sure USING (incident_id)"""
+
+SQL["alerts_sent"] = f"""WITH RECURSIVE {RISK},
+why AS (SELECT *, CASE WHEN level = 'CRITICAL' THEN 'CRITICAL_RISK' WHEN codes LIKE '%EVASION_%' THEN 'REPEATED_EVASION' WHEN codes LIKE '%IMPOSSIBLE_SEQUENCE%' THEN 'SUSPICIOUS_CLIENT' WHEN codes LIKE '%BOT_SUSTAINED_RATE%' THEN 'MASS_SPAM' END AS top
+  FROM scored WHERE level IN ('HIGH', 'CRITICAL')),
+fired AS (SELECT user_id || ':' || level || ':' || top AS key, at_ms, seq, event_id FROM why WHERE top IS NOT NULL),
+s AS (SELECT key, min(at_ms) AS at_ms FROM fired GROUP BY key UNION ALL SELECT s.key, min(f.at_ms) FROM s JOIN fired f ON f.key = s.key AND f.at_ms >= s.at_ms + {_x.alert_window_ms} GROUP BY s.key)
+SELECT key, at_ms, arg_min(event_id, seq) AS event_id FROM s JOIN fired USING (key, at_ms) GROUP BY ALL"""
+SQL["risk_history"] = f"""WITH RECURSIVE {RISK},
+x AS (SELECT *, codes LIKE '%EVASION_POST%' OR codes LIKE '%EVASION_REJOIN%' AS evading, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, seq) AS rn FROM scored),
+h AS (
+  SELECT user_id, 0::BIGINT AS rn, NULL::VARCHAR AS event_id, NULL::BIGINT AS at_ms, NULL::BIGINT AS seq, 0 AS score, 'LOW' AS level, 0::DOUBLE AS past, 0::DOUBLE AS bonus, 0 AS violations, 0 AS evasions, 0::DOUBLE AS carried, NULL::BIGINT AS last
+  FROM (SELECT DISTINCT user_id FROM x)
+  UNION ALL
+  SELECT user_id, rn, event_id, at_ms, seq, score, level, past, bonus, v + CASE WHEN score >= {_r.thresholds['HIGH']} THEN 1 ELSE 0 END, e + CASE WHEN evading THEN 1 ELSE 0 END,
+    floor(score * {_r.carry}::DOUBLE * 100 + 0.5) / 100, CASE WHEN score >= {_r.thresholds['HIGH']} THEN at_ms ELSE last END
+  FROM (SELECT *, {_LEVEL} AS level FROM (SELECT *, floor(least(100, total + bonus + past) + 0.5)::INTEGER AS score FROM (
+    SELECT x.user_id, x.rn, x.event_id, x.at_ms, x.seq, x.total, x.evading, h.violations AS v, h.evasions AS e, h.last,
+      CASE WHEN h.violations + h.evasions > 0 THEN least((h.violations + h.evasions) * {_r.repeat_violation_weight}, {_r.max_repeat_bonus})::DOUBLE ELSE 0::DOUBLE END AS bonus,
+      CASE WHEN h.carried > 0 THEN least(CASE WHEN x.at_ms > h.last THEN h.carried * pow(0.5::DOUBLE, (x.at_ms - h.last) / {float(_r.history_half_life_ms)}::DOUBLE) ELSE h.carried END, {_r.max_history}) ELSE 0 END::DOUBLE AS past
+    FROM h JOIN x ON x.user_id = h.user_id AND x.rn = h.rn + 1))))
+SELECT user_id, event_id, at_ms, seq, score, level, floor(past * 100 + 0.5) / 100 AS history, bonus AS repeat_bonus, violations, evasions FROM h WHERE rn > 0"""
