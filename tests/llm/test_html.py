@@ -2,7 +2,7 @@ from tidewatch.llm import html_extract as H
 
 BODY = "<p>One  two &amp; three, and then some more words follow here.</p><p>Second block of text, which is long enough to count.</p>"
 WANT = "Title One two & three, and then some more words follow here. Second block of text, which is long enough to count."
-AROUND = '<nav><a href="/">Home</a></nav><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div>'
+AROUND = '<div class="page-header">Page head</div><nav><a href="/">Home</a></nav><header><h1>Site</h1></header><div class="cookie-notice">We use cookies</div>'
 AFTER = '<div class="comments"><p>A reader says a lot of things here and there.</p></div><aside>side</aside><form><input>go</form><footer>foot</footer>'
 
 

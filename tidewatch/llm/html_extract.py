@@ -42,6 +42,8 @@ AROUND = set(
 )
 HEADING = set("header head topbar".split())
 ARTICLE = set("article content entry post story main text body page prose".split())
+#: Of these, what a heading inside an article is named by; a page's own header may be called after the page.
+OF_ARTICLE = set("article entry post story".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?", re.I)
@@ -74,7 +76,7 @@ class Page:
         marks = [w.lower() for k in ("class", "id", "role") for w in _TOKEN.findall(own.get(k, ""))]
         _, container, out = self._stack[-1]
         in_article = any(t in ("article", "main") for t, _, _ in self._stack)
-        titled = in_article or not ARTICLE.isdisjoint(marks)
+        titled = in_article or not OF_ARTICLE.isdisjoint(marks)
         out = out or tag in NEVER or (not AROUND.isdisjoint(marks) and tag not in ("body", "html", "article", "main"))
         out = out or not titled and (tag == "header" or not HEADING.isdisjoint(marks) and tag not in ("body", "html"))
         out = out or "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "").lower()
