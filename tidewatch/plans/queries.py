@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import WIDE
-from tidewatch.operators import spam
-from tidewatch.sources.telemetry import telemetry
+from tidewatch.operators import abuse, alerts, client, coordination, evasion, evidence, incidents, policy, rates, reads, risk, shield, spam, validation
+from tidewatch.sources.shared import materialise
+from tidewatch.sources.telemetry import hidden_presence, raw_events, restrictions, telemetry, verdicts
 
-S = WIDE.spam
+S, C, E, K = WIDE.spam, WIDE.client, WIDE.evasion, WIDE.coordination
+A, R, X = WIDE.abuse, WIDE.risk, WIDE.case
 
 
 def _plain(signals: DataFrame, n: str = "n") -> DataFrame:
@@ -51,16 +53,8 @@ def spam_floods(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("user_id", "event_id", "code", "severity", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (spam_burst, spam_high_frequency, bot_sustained_rate, spam_identical_repeat, bot_uniform_timing, spam_near_duplicate, spam_suspicious_characters, spam_floods)}
-
-
 # --- clients, evasion, coordination
 
-from tidewatch.operators import client, coordination, evasion  # noqa: E402
-from tidewatch.sources.telemetry import hidden_presence, restrictions  # noqa: E402
-
-C, E, K = WIDE.client, WIDE.evasion, WIDE.coordination
-
 
 def _bare(signals: DataFrame) -> DataFrame:
     return signals.select("user_id", "event_id", "severity", "confidence")
@@ -120,17 +114,8 @@ def coordination_members(spark: SparkSession, sf: str) -> DataFrame:
     return coordination.attributed(coordination.findings(spam.with_text_features(telemetry(spark, sf)), K, S.coordination_min_length))
 
 
-QUERIES |= {f.__name__: f for f in (client_version_flapping, client_platform_mismatch, client_unknown_version, client_impossible_sequence, client_risk, evasion_post_moderation, evasion_rejoin_cycling, ghost_presence, coordinated_content, coordinated_joins, coordination_sweep, coordination_members)}
-
-
 # --- abuse, risk, cases
 
-from tidewatch.operators import abuse, alerts, evidence, incidents, policy, rates, reads, risk, shield  # noqa: E402
-from tidewatch.sources.shared import materialise  # noqa: E402
-from tidewatch.sources.telemetry import verdicts  # noqa: E402
-
-A, R, X = WIDE.abuse, WIDE.risk, WIDE.case
-
 
 def _classified(spark: SparkSession, sf: str, events: DataFrame) -> DataFrame:
     return abuse.classify(spam.with_text_features(events), A, verdicts=verdicts(spark, sf, events))
@@ -265,14 +250,8 @@ def shield_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return shield.decisions(shield.with_offences(rows, X), X).drop("seq")
 
 
-QUERIES |= {f.__name__: f for f in (abuse_classes, abuse_signals, risk_scores, risk_history, response_plans, incident_sessions, incident_details, incident_evidence, alerts_sent, evidence_chain, retention_plan, high_risk_users, user_profiles, overview, risk_distribution, top_signals, recent_incidents, rate_budget, rate_trailing, shield_decisions)}
-
-
 # --- validation
 
-from tidewatch.operators import validation  # noqa: E402
-from tidewatch.sources.telemetry import raw_events  # noqa: E402
-
 
 def validation_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Raw rows judged at their own time; one in fifty breaks each of six rules."""
@@ -285,4 +264,50 @@ def accepted_events(spark: SparkSession, sf: str) -> DataFrame:
     return validation.accepted(checked).select("seq", "user_id", "room_id", F.col("event_at_ms").alias("at_ms"), "event_type", "client_version", "platform", F.length("event_id").cast("long").alias("id_length"))
 
 
-QUERIES |= {f.__name__: f for f in (validation_issues, accepted_events)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        spam_burst,
+        spam_high_frequency,
+        bot_sustained_rate,
+        spam_identical_repeat,
+        bot_uniform_timing,
+        spam_near_duplicate,
+        spam_suspicious_characters,
+        spam_floods,
+        client_version_flapping,
+        client_platform_mismatch,
+        client_unknown_version,
+        client_impossible_sequence,
+        client_risk,
+        evasion_post_moderation,
+        evasion_rejoin_cycling,
+        ghost_presence,
+        coordinated_content,
+        coordinated_joins,
+        coordination_sweep,
+        coordination_members,
+        abuse_classes,
+        abuse_signals,
+        risk_scores,
+        risk_history,
+        response_plans,
+        incident_sessions,
+        incident_details,
+        incident_evidence,
+        alerts_sent,
+        evidence_chain,
+        retention_plan,
+        high_risk_users,
+        user_profiles,
+        overview,
+        risk_distribution,
+        top_signals,
+        recent_incidents,
+        rate_budget,
+        rate_trailing,
+        shield_decisions,
+        validation_issues,
+        accepted_events,
+    )
+}
