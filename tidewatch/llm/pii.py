@@ -123,14 +123,18 @@ def disclosures(spotted: DataFrame, d: Disclosure, text_col: str = "text") -> Da
     total = copies.count()
     copies = copies.filter("copies > 1")
     few_copies = copies.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    n = F.lit(float(max(total, 2)))
+    strength = lambda df: F.when(F.col("ne") < n, F.log(F.col("n") * n / (df * F.col("ne"))) / F.log(n / F.col("ne"))).otherwise(0.0)
+    # a term's documents are at least those that hold it near any entity: what falls short even so needs no counting
+    seen = pairs.groupBy("term").agg(F.count_distinct("doc").alias("seen"))
+    both = both.join(held, "entity").join(seen, "term").withColumn("seen", F.greatest("seen", "n"))
+    both = materialise(both.filter(strength(F.col("seen")) >= d.generalise), "term-candidates")
     terms = both.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     weighed = spotted.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(copies) if few_copies else copies, "doc", "left")
     all_ = weighed.select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.explode(_terms(F.col("text"))).alias("term"))
     df = all_.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("df"))
-    n = F.lit(float(max(total, 2)))
-    strength = F.log(F.col("n") * n / (F.col("df") * F.col("ne"))) / F.log(n / F.col("ne"))
-    found = both.join(df, "term").join(held, "entity").withColumn("disclosure", F.when(F.col("ne") < n, strength).otherwise(F.lit(0.0)))
+    found = both.join(df, "term").withColumn("disclosure", strength(F.col("df")))
     return found.filter(F.col("disclosure") >= d.generalise).select("entity", "term", "disclosure")
 
 
