@@ -75,8 +75,8 @@ _FLAP = min(_c.version_flap_window_ms, _s.horizon_ms)
 SQL["client_version_flapping"] = f"""WITH {T}, r AS (SELECT *, count(DISTINCT client_version) OVER (PARTITION BY user_id ORDER BY at_ms RANGE BETWEEN {_FLAP} PRECEDING AND CURRENT ROW) AS n FROM t)
 SELECT user_id, event_id, n::BIGINT AS n, 'MEDIUM' AS severity, {rounded(f"0.7 + 0.2 * ({sat('n', _c.version_flap_count, 2 * _c.version_flap_count)})")} AS confidence FROM r WHERE n >= {_c.version_flap_count}"""
 SQL["client_platform_mismatch"] = f"""WITH {T}, r AS (SELECT *, count(DISTINCT platform) OVER (PARTITION BY user_id ORDER BY at_ms RANGE BETWEEN {_s.horizon_ms} PRECEDING AND CURRENT ROW) AS n FROM t)
-SELECT user_id, event_id, n::BIGINT AS n, 'MEDIUM' AS severity, 0.65 AS confidence FROM r WHERE n > 1"""
-SQL["client_unknown_version"] = f"""WITH {T} SELECT user_id, event_id, 'LOW' AS severity, 0.55 AS confidence FROM t WHERE client_version NOT IN {_c.known_versions}"""
+SELECT user_id, event_id, n::BIGINT AS n, 'MEDIUM' AS severity, 0.65::DOUBLE AS confidence FROM r WHERE n > 1"""
+SQL["client_unknown_version"] = f"""WITH {T} SELECT user_id, event_id, 'LOW' AS severity, 0.55::DOUBLE AS confidence FROM t WHERE client_version NOT IN {_c.known_versions}"""
 SQL["client_impossible_sequence"] = f"""WITH {T}, r AS (SELECT *,
   last_value(CASE WHEN event_type IN ('join', 'leave') THEN event_type END IGNORE NULLS) OVER w AS last_type,
   last_value(CASE WHEN event_type IN ('join', 'leave') THEN at_ms END IGNORE NULLS) OVER w AS last_ms,
@@ -85,10 +85,10 @@ SQL["client_impossible_sequence"] = f"""WITH {T}, r AS (SELECT *,
 s AS (SELECT *, CASE WHEN content AND last_type = 'leave' AND at_ms - last_ms <= {_s.horizon_ms} AND at_ms - last_ms > {_c.leave_grace_ms} THEN 1
   WHEN event_type = 'join' AND last_type = 'join' AND at_ms - last_ms <= {_s.horizon_ms} AND at_ms - last_ms > {_c.join_grace_ms} THEN 2
   WHEN voice_rooms > 1 THEN 3 END AS n FROM r)
-SELECT user_id, event_id, n::BIGINT AS "case", 'HIGH' AS severity, 0.85 AS confidence FROM s WHERE n IS NOT NULL"""
+SELECT user_id, event_id, n::BIGINT AS "case", 'HIGH' AS severity, 0.85::DOUBLE AS confidence FROM s WHERE n IS NOT NULL"""
 R = """r AS (SELECT user_id, at_ms AS applied_ms, CASE WHEN seq % 3 <> 0 THEN room_id END AS r_room, CASE WHEN seq % 2 = 0 THEN at_ms + 86400000 END AS expires_ms, seq AS feed_seq FROM t WHERE event_type = 'moderation')"""
 SQL["evasion_post_moderation"] = f"""WITH {T}, {R}
-SELECT t.user_id, event_id, (at_ms - arg_min(applied_ms, feed_seq))::BIGINT AS after_ms, 'HIGH' AS severity, 0.85 AS confidence
+SELECT t.user_id, event_id, (at_ms - arg_min(applied_ms, feed_seq))::BIGINT AS after_ms, 'HIGH' AS severity, 0.85::DOUBLE AS confidence
 FROM t JOIN r ON t.user_id = r.user_id AND at_ms > applied_ms AND at_ms - applied_ms <= {_e.post_moderation_window_ms} AND (expires_ms IS NULL OR at_ms < expires_ms) AND (r_room IS NULL OR r_room = room_id)
 WHERE content GROUP BY t.user_id, event_id, at_ms"""
 _J, _L = "CASE WHEN event_type = 'join' THEN 1 ELSE 0 END", "CASE WHEN event_type = 'leave' THEN 1 ELSE 0 END"
