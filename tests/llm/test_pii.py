@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -58,3 +59,62 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count()
     assert {r.doc_id: r.text for r in rows}[7].endswith("[EMAIL] [IP]")
     assert pii.sanitise(pii.find(empty)).count() == 0
+
+
+def hypergeometric(n, df, ne, total):
+    return sum(math.comb(df, k) * math.comb(total - df, ne - k) for k in range(n, min(df, ne) + 1)) / math.comb(total, ne)
+
+
+def brute_disclosures(texts, d):
+    docs = []
+    for t in set(texts):
+        base, bare = set(), t
+        for k, p in PATTERNS.items():
+            for m in re.finditer(p, t):
+                if good(k, m[0]):
+                    base.add(f"{k}:{re.sub('[^0-9]', '', m[0]) if k in ('card', 'phone') else m[0].lower()}")
+                    bare = bare.replace(m[0], " " * len(m[0]))
+        docs.append((base, {w for w in re.split("[^a-z]+", bare.lower()) if len(w) >= 3}))
+    total = len(docs)
+    ne = {e: sum(e in b for b, _ in docs) for b, _ in docs for e in b}
+    pairs = {(e, t) for b, ts in docs for e in b for t in ts}
+    for least in range(1, total // 2 + 1):
+        tested = [(e, t) for e, t in pairs if ne[e] >= least]
+        if len(tested) <= d.chance * math.comb(total, least):
+            break
+    out = {}
+    for e, t in tested:
+        n, df = sum(e in b and t in ts for b, ts in docs), sum(t in ts for _, ts in docs)
+        s = math.log(n * total / (df * ne[e])) / math.log(total / ne[e])
+        if s >= d.generalise and hypergeometric(n, df, ne[e], total) * len(tested) <= d.chance:
+            out[e, t] = round(s, 9)
+    return out
+
+
+def test_disclosures_against_brute_force(spark):
+    """Names far from their spans, entities of one to six texts, common and rare words, copies."""
+    random.seed(5)
+    word = lambda n: "".join(random.choices("abcdefghijklmnop", k=n))
+    usual = [word(6) for _ in range(60)]
+    texts = []
+    for e in range(12):
+        name = f"name{word(5)}"
+        for _ in range(e // 2 + 1):
+            body = random.choices(usual, k=40)
+            texts.append(f"{name.title()} {' '.join(body)} {word(7)} u{e}@mail.org {random.choice(usual)}")
+        texts += [f"{name} {' '.join(random.choices(usual, k=10))}"] * (e % 3)
+    texts += [" ".join(random.choices(usual, k=20)) for _ in range(150)]
+    texts += texts[:30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = pii.disclosures(pii.with_base_spans(df), pii.Disclosure()).collect()
+    want = brute_disclosures(texts, pii.Disclosure())
+    assert {(r.entity, r.term): round(r.disclosure, 9) for r in got} == want
+    assert len({e for e, _ in want}) >= 6 and min(sum(f"{e[6:]} " in t for t in set(texts)) for e, _ in want) == 2
+
+
+def test_a_name_far_from_its_span_goes(spark):
+    usual = "the weather was fine on that day and people were out in the sun " * 5
+    told = [(i, f"Zorblax, {usual} {w} wrote z.q@secret.org") for i, w in enumerate("alpha beta gamma delta epsilon".split())]
+    common = [(100 + i, f"{usual} on day number {w} {x}") for i, (w, x) in enumerate((w, x) for w in "one two three four five six".split() for x in "abcdefgh")]
+    rows = {r.doc_id: r.text for r in pii.sanitise(pii.find(spark.createDataFrame(told + common, "doc_id int, text string"))).collect()}
+    assert all("Zorblax" not in rows[i] and "weather" in rows[i] for i, _ in told) and all(rows[i] == t for i, t in common)

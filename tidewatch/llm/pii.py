@@ -2,12 +2,16 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping per
 kind, matches that fail their test dropped. Their values are the protected entities. From the whole corpus comes how
-strongly a term reveals an entity: with n documents holding the term near the entity, df(t) and n(e) holding either and N
+strongly a term reveals an entity: with n documents holding the term and the entity, df(t) and n(e) holding either and N
 in all (equal texts counted once), the disclosure is PMI(t; e) / IC(e) = log(n N / (df(t) n(e))) / log(N / n(e)), 1 for a
 term that occurs beside the entity alone. In documents that hold an entity, terms at or over ``generalise`` become a
-placeholder of their shape, those at or over ``remove`` vanish; both need ``support`` different documents.
+placeholder of their shape, those at or over ``remove`` vanish. Words inside base spans are no terms.
 
-Only DataFrame functions. Contexts are cut around spans before anything is shuffled; terms are counted in partial sums.
+A pair counts if n is no chance: the hypergeometric probability of n or more common documents, times the pairs tested, is
+``chance`` at most. At best it is 1 / C(N, n(e)), so entities of too few documents to be told from chance are not tested
+(Tarone's rule); which these are follows from the data. In particular what stands in one text alone gives no term away.
+
+Only DataFrame functions. Whole texts are read; terms are counted in partial sums and no text is shuffled.
 
 Null and empty texts have no span. Rows that repeat a document, have no id or share one are each treated by their own
 text; equal texts count once in the statistics. Ties at a threshold count as over it. Further columns pass through, those
@@ -16,6 +20,7 @@ named as a result are replaced. sanitise() cuts the text at merged spans; its co
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -37,11 +42,10 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 @dataclass(frozen=True)
 class Disclosure:
-    support: int = 3
+    #: Probability that any term at all is taken for a disclosing one by chance.
+    chance: float = 0.05
     generalise: float = 0.8
     remove: float = 0.95
-    #: Code points on either side of a span that are searched for terms.
-    context: int = 120
 
 
 #: Candidate terms and entities that are broadcast at most (some 100 bytes each); more are joined by shuffle.
@@ -106,36 +110,80 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda t: F.length(t) >= 3)
 
 
+def _bare(text: Column, base: Column) -> Column:
+    """The text with its base spans blanked."""
+    blank = lambda t, x: F.overlay(t, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"])
+    return F.aggregate(base, F.coalesce(text, F.lit("")), blank)
+
+
+def _log_factorial(x: Column) -> Column:
+    """ln x! by Stirling's series from x + 8 on."""
+    z, low = x + 8.0, x + 1.0
+    for i in range(2, 8):
+        low = low * (x + float(i))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) - F.log(low)
+
+
+def _log_choose(a: Column, b: Column) -> Column:
+    return _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
+
+
+def _log_chance(n: Column, df: Column, ne: Column, total: Column) -> Column:
+    """ln P(n or more common documents of df and ne in total); the tail is bounded by a geometric series, 0 below the mean."""
+    next_ = (df - n) * (ne - n) / ((n + 1.0) * (total - df - ne + n + 1.0))
+    first = _log_choose(df, n) + _log_choose(total - df, ne - n) - _log_choose(total, ne)
+    return F.when(next_ < 1, first - F.log(1 - next_)).otherwise(0.0)
+
+
+#: Levels of n(e) that are told apart for Tarone's rule; any level keeps the rule valid.
+MOST_NEEDED = 64
+
+
+def _testable(levels: DataFrame, size: str, total: int, d: Disclosure) -> tuple[int, int]:
+    """Least n(e) that can reach significance, and the pairs tested then; levels has ne and a number of pairs."""
+    by = levels.groupBy(F.least("ne", F.lit(float(MOST_NEEDED))).alias("ne")).agg(F.sum(size).alias("m")).collect()
+    most = max(min(MOST_NEEDED, total // 2), 1)
+    for k in range(1, most + 1):
+        m = sum(int(r["m"]) for r in by if r["ne"] >= k)
+        if m <= d.chance * math.comb(total, k):
+            break
+    return k, m
+
+
 def disclosures(spotted: DataFrame, d: Disclosure, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) at or over generalise, with support; spotted: documents with base."""
-    rows = spotted.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"), "base").filter(F.size("base") > 0)
-    near = rows.select("doc", "text", F.explode("base").alias("x"))
-    # a bare span's own words are no terms; those of other spans nearby drop out for want of support
-    before = F.substring("text", F.greatest(F.col("x.start") - d.context, F.lit(0)) + 1, F.least(F.col("x.start"), F.lit(d.context)))
-    after = F.substring("text", F.col("x.end") + 1, F.lit(d.context))
-    pairs = near.select("doc", _entity(F.col("x")).alias("entity"), F.explode(_terms(F.concat_ws(" ", before, after))).alias("term")).distinct()
-    pairs = materialise(pairs, "term-pairs")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n")).filter(F.col("n") >= d.support)
-    both = materialise(both, "term-support")
-    held = pairs.select("doc", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    # equal texts count once: each of n copies weighs 1/n, so terms are summed before the shuffle and no (term, text) crosses
-    copies = materialise(spotted.groupBy(F.xxhash64(text_col).alias("doc")).agg(F.count("*").alias("copies")), "text-copies")
+    """(entity, term, disclosure) at or over generalise, told from chance; spotted: documents with base."""
+    own = spotted.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"), "base")
+    # equal texts count once: each of n copies weighs 1/n, so all is summed before the shuffle and no (term, text) crosses
+    copies = materialise(own.groupBy("doc").agg(F.count("*").alias("copies")), "text-copies")
     total = copies.count()
     copies = copies.filter("copies > 1")
     few_copies = copies.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    weighed = own.join(F.broadcast(copies) if few_copies else copies, "doc", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+    summed = F.round(F.sum("weight"))
     n = F.lit(float(max(total, 2)))
     strength = lambda df: F.when(F.col("ne") < n, F.log(F.col("n") * n / (df * F.col("ne"))) / F.log(n / F.col("ne"))).otherwise(0.0)
-    # a term's documents are at least those that hold it near any entity: what falls short even so needs no counting
-    seen = pairs.groupBy("term").agg(F.count_distinct("doc").alias("seen"))
-    both = both.join(held, "entity").join(seen, "term").withColumn("seen", F.greatest("seen", "n"))
+    marked = weighed.filter(F.size("base") > 0).select("weight", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(_bare(F.col("text"), F.col("base"))).alias("terms"))
+    marked = materialise(marked, "marked-terms")
+    by_entity = marked.withColumn("size", F.size("terms")).select("*", F.explode("entities").alias("entity"))
+    held = materialise(by_entity.groupBy("entity").agg(summed.alias("ne"), F.max("size").alias("size")), "entities")
+    # an entity has at least as many terms as its largest text: entities that fail on that need no pairs
+    least, _ = _testable(held, "size", total, d)
+    held = held.filter(F.col("ne") >= least).drop("size")
+    few = held.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    both = by_entity.join(F.broadcast(held) if few else held, "entity").select("entity", "ne", "weight", F.explode("terms").alias("term"))
+    both = materialise(both.groupBy("entity", "term").agg(summed.alias("n"), F.first("ne").alias("ne")), "term-pairs")
+    least, tested = _testable(both.withColumn("pairs", F.lit(1)), "pairs", total, d)
+    # a term's documents are at least those that hold it beside any entity: what falls short even so needs no counting
+    seen = marked.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(summed.alias("seen"))
+    both = both.filter(F.col("ne") >= least).join(seen, "term")
     both = materialise(both.filter(strength(F.col("seen")) >= d.generalise), "term-candidates")
     terms = both.select("term").distinct()
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    weighed = spotted.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(copies) if few_copies else copies, "doc", "left")
-    all_ = weighed.select((1 / F.coalesce("copies", F.lit(1))).alias("weight"), F.explode(_terms(F.col("text"))).alias("term"))
-    df = all_.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("weight")).alias("df"))
+    all_ = weighed.select("weight", F.explode(_terms(_bare(F.col("text"), F.col("base")))).alias("term"))
+    df = all_.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(summed.alias("df"))
     found = both.join(df, "term").withColumn("disclosure", strength(F.col("df")))
-    return found.filter(F.col("disclosure") >= d.generalise).select("entity", "term", "disclosure")
+    told = _log_chance(F.col("n"), F.col("df"), F.col("ne"), n) <= math.log(d.chance / max(tested, 1))
+    return found.filter((F.col("disclosure") >= d.generalise) & told).select("entity", "term", "disclosure")
 
 
 def find(docs: DataFrame, d: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
