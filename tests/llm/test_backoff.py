@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tidewatch.llm import backoff
+from tidewatch.llm import backoff, queries
 
 
 def brute(rows, order):
@@ -45,3 +45,10 @@ def test_same_as_brute_force(spark, sf, order):
 
 def test_odd_rows(odd, empty):
     assert backoff.score(odd).count() == odd.count() and backoff.score(empty).count() == 0
+
+
+def test_query_counts_trigrams(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = sorted((r[0], *b) for r, b in zip(rows, brute(rows, 3)))
+    got = sorted((r.doc_id, r.n_words, r.score) for r in queries.op7_stupid_backoff(spark, sf).collect())
+    assert len(got) == len(want) and all(g[:2] == w[:2] and (g[2] or 0) == pytest.approx(w[2] or 0, abs=1e-8) for g, w in zip(got, want))

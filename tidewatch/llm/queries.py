@@ -60,7 +60,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return backoff.score(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3)
 
 
 def op8_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
