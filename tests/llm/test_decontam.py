@@ -51,3 +51,17 @@ def test_odd_rows(spark, odd, empty):
     assert decontam.find(odd, items).count() == 0
     assert decontam.clean(odd, items).count() == odd.count() and decontam.clean(odd, items).columns == odd.columns
     assert decontam.find(empty, items).count() == 0 and decontam.find(odd, items.limit(0)).count() == 0
+
+
+def test_names_that_open_sentences_and_number_words(spark):
+    items = [(1, "Tom has 3 apples. Ann has 4 apples. Bob has 5 pears. How many pieces of fruit do they have"), (2, "Tom buys 3 pens. Mary buys 2 pens. How many pens do they have in total"), (3, "the baker sold three loaves and then baked twenty-five more before the shop closed at noon")]
+    docs = [
+        (10, "Intro. Eve has 7 apples. Dan has 6 apples. Kim has 9 pears. How many pieces of fruit do they have"),
+        (11, "\"Eve buys 7 pens.\nKim buys 4 pens. How many pens do they have in total\""),
+        (12, "the baker sold nine loaves and then baked 40 more before the shop closed at noon"),
+        (13, items[0][1]),
+        (14, "How many pens do they have in total? Eve has none."),
+    ]
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontam.find(docs, items).collect()}
+    assert got == {(10, 1, "reparameterised"), (11, 2, "reparameterised"), (12, 3, "reparameterised"), (13, 1, "copy")}

@@ -6,6 +6,9 @@ document holds an item if the matched windows cover at least ``coverage`` of the
 agree: wherever the item repeats a value, the document repeats whatever it put in that value's place. So a copied
 question is found, and one with other numbers and names as well.
 
+A capitalised word where a text, line, sentence or quotation may open is a name or not. Items are windowed both ways, each
+with its own coverage; documents have further windows where such words are names. Both ways have the same token places.
+
 Only DataFrame functions. Document windows never meet in a shuffle while the benchmark's windows fit a checked broadcast;
 beyond it both sides are joined by window hash. All later steps work on matched windows alone.
 
@@ -30,9 +33,18 @@ UNITS = (
     "mm cm m km mg g kg t ml cl l lb lbs oz ft feet foot inch inches yard yards mile miles mph kmh degree degrees percent percentage second seconds minute minutes hour hours day days week weeks "
     "month months year years cent cents dollar dollars euro euros pound pounds litre litres liter liters gallon gallons meter meters metre metres gram grams kilogram kilograms kilometers kilometres"
 ).split()
-#: A capitalised word in the middle of a sentence; a number with its separators; a unit behind a number.
+#: Around a capitalised word that may open a sentence; it stays a word of its token.
+OPEN, SHUT = "\ue00a", "\ue00b"
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety "
+    "hundred thousand million billion dozen"
+).split()
+_NUMBER_WORD = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?=[zotfsenhmbdZOTFSENHMBD])(?i:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{M}}\p{{N}}])"
+#: A capitalised word in the middle of a sentence; any other one; a number with its separators, or in words; a unit behind
+#: a number.
 NAME_PATTERN = r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}[\p{L}\p{M}]*"
-NUMBER_PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*+"
+OPENING_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!{_NUMBER_WORD})\p{{Lu}}[\p{{L}}\p{{M}}]*"
+NUMBER_PATTERN = rf"[0-9]+(?:[.,:/][0-9]+)*+|{_NUMBER_WORD}(?:[ -]{_NUMBER_WORD})*+"
 UNIT_PATTERN = rf"(?i)(?<={NUMBER} ) ?(?:%|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
 
 
@@ -57,11 +69,29 @@ def _numbered(text: Column, names: bool = True) -> Column:
     return F.regexp_replace(_named(text) if names else text, NUMBER_PATTERN, f" {NUMBER} ")
 
 
+def _split(text: Column) -> Column:
+    placed = F.regexp_replace(text, UNIT_PATTERN, f" {UNIT} ")
+    bare = F.regexp_replace(F.lower(placed), rf"[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}{OPEN}{SHUT}]++", "")
+    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+
+
 def template(text: Column, names: bool = True) -> Column:
     """The template tokens of a text; without names, these stay words."""
-    placed = F.regexp_replace(_numbered(text, names), UNIT_PATTERN, f" {UNIT} ")
-    bare = F.regexp_replace(F.lower(placed), rf"[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}]++", "")
-    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+    return _split(_numbered(F.translate(text, OPEN + SHUT, ""), names))
+
+
+def opened(text: Column) -> Column:
+    """The same tokens, with words that may open a sentence between OPEN and SHUT."""
+    marked = F.regexp_replace(_named(F.translate(text, OPEN + SHUT, "")), OPENING_PATTERN, f"{OPEN}$0{SHUT}")
+    return _split(F.regexp_replace(marked, NUMBER_PATTERN, f" {NUMBER} "))
+
+
+def _as_words(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.translate(t, OPEN + SHUT, ""))
+
+
+def _as_names(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(F.contains(t, F.lit(OPEN)), F.lit(NAME)).otherwise(t))
 
 
 def slot_values(text: Column) -> tuple[Column, Column, Column]:
@@ -77,18 +107,30 @@ def _windows(df: DataFrame, d: Decontamination) -> DataFrame:
     return df.filter(F.size("tokens") >= d.window).select("*", F.posexplode(hashed).alias("pos", "window")).drop("tokens")
 
 
+def _both_windows(df: DataFrame, d: Decontamination) -> DataFrame:
+    """As _windows, of opened tokens: every window with opening words as words, those that hold one with it as a name too."""
+    df = df.withColumns({"words": _as_words(F.col("tokens")), "names": _as_names(F.col("tokens"))})
+    places = F.sequence(F.lit(1), F.size("tokens") - (d.window - 1))
+    hashed = lambda c, i: F.xxhash64(*(F.get(c, i + (k - 1)) for k in range(d.window)))
+    # hashes are equal where no opening word stands
+    pair = lambda i: F.array_distinct(F.array(hashed("words", i), hashed("names", i)))
+    df = df.filter(F.size("tokens") >= d.window).withColumn("windows", F.transform(places, pair)).drop("tokens", "words", "names")
+    return df.select("*", F.posexplode("windows").alias("pos", "pair")).drop("windows").select("*", F.explode("pair").alias("window")).drop("pair")
+
+
 def item_windows(items: DataFrame, d: Decontamination, id_col: str, text_col: str) -> DataFrame:
-    """(item, window, ipos, coverable): windows with enough ordinary tokens, and how many tokens such windows cover. Items
-    have them with and without names placed, so that a copy in small or large letters, where no name stands out, is found."""
+    """(item, way, window, ipos, coverable): windows with enough ordinary tokens, and how many tokens such windows cover. Items
+    have them with and without names placed, so that a copy in small or large letters, where no name stands out, is found
+    (way 1), and with opening words as names (way 2)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.explode(F.array(template(text), template(text, False))).alias("tokens"))
+    tokens = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.inline(F.array(*(F.struct(F.lit(w).alias("way"), t.alias("tokens")) for w, t in ((1, template(text)), (1, template(text, False)), (2, _as_names(opened(text))))))))
     plain = F.transform("tokens", lambda t: F.when(t.isin(NAME, NUMBER, UNIT), 0).otherwise(1))
     tokens = tokens.withColumn("plain", plain)
     found = _windows(tokens, d)
     found = found.filter(F.aggregate(F.slice("plain", F.col("pos") + 1, F.lit(d.window)), F.lit(0), lambda a, x: a + x) >= d.literals)
-    found = found.select("item", "window", F.col("pos").alias("ipos")).distinct()
-    size = found.groupBy("item").agg(_covered(F.collect_set("ipos"), d).alias("coverable"))
-    return found.join(size, "item")
+    found = found.select("item", "way", "window", F.col("pos").alias("ipos")).distinct()
+    size = found.groupBy("item", "way").agg(_covered(F.collect_set("ipos"), d).alias("coverable"))
+    return found.join(size, ["item", "way"])
 
 
 def _covered(places: Column, d: Decontamination) -> Column:
@@ -101,7 +143,7 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def _slots(df: DataFrame, key: str) -> DataFrame:
-    """(key, pos, kind, value) of every placeholder; df has key and text."""
+    """(key, pos, kind, value, opening) of every placeholder and, as names, of opening words; df has key and text."""
     values = slot_values(F.col("text"))
     df = df.withColumn("values", F.map_from_arrays(F.array(F.lit(NAME), F.lit(NUMBER), F.lit(UNIT)), F.array(*values)))
     df = df.withColumn("tokens", template(F.col("text")))
@@ -113,7 +155,10 @@ def _slots(df: DataFrame, key: str) -> DataFrame:
         value = lambda i: F.lower(F.trim(F.get(F.element_at("values", F.lit(kind)), i)))
         return F.transform(own, lambda x, i: F.struct(x["pos"].alias("pos"), x["kind"].alias("kind"), value(i).alias("value")))
 
-    return df.select(key, F.explode(F.concat(*map(slots, (NAME, NUMBER, UNIT)))).alias("s")).select(key, "s.pos", "s.kind", "s.value")
+    first = F.filter(F.transform(opened(F.col("text")), lambda t, i: F.struct(i.alias("pos"), F.lit(NAME).alias("kind"), F.regexp_extract(t, f"{OPEN}([^{SHUT}]*)", 1).alias("value"))), lambda x: x["value"] != "")
+    both = df.select(key, F.explode(F.concat(*map(slots, (NAME, NUMBER, UNIT)))).alias("s"), F.lit(False).alias("opening"))
+    both = both.unionByName(df.select(key, F.explode(first).alias("s"), F.lit(True).alias("opening")))
+    return both.select(key, "s.pos", "s.kind", "s.value", "opening")
 
 
 def find(
@@ -124,10 +169,10 @@ def find(
     windows = materialise(item_windows(items, d, item_id, item_text), "item-windows")
     small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     rows = docs.select(_key(doc_id, doc_text).alias("doc_key"), F.col(doc_id).alias("doc"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"))
-    tokens = rows.select("doc_key", "doc", template(F.col("text")).alias("tokens"))
-    hits = _windows(tokens, d).withColumnRenamed("pos", "dpos").join(F.broadcast(windows) if small else windows, "window")
-    hits = materialise(hits.select("doc_key", "doc", "item", "dpos", "ipos", "coverable"), "window-hits")
-    found = hits.groupBy("doc_key", "item").agg(
+    tokens = rows.select("doc_key", "doc", opened(F.col("text")).alias("tokens"))
+    hits = _both_windows(tokens, d).withColumnRenamed("pos", "dpos").join(F.broadcast(windows) if small else windows, "window")
+    hits = materialise(hits.select("doc_key", "doc", "item", "way", "dpos", "ipos", "coverable"), "window-hits")
+    found = hits.groupBy("doc_key", "item", "way").agg(
         F.first("doc").alias("doc"), (_covered(F.collect_set("ipos"), d) / F.first("coverable")).alias("coverage")
     )
     found = materialise(found.filter(F.col("coverage") >= d.coverage), "window-found")
@@ -136,15 +181,22 @@ def find(
     held = rows.select("doc_key", "text").join(F.broadcast(keys) if few else keys, "doc_key", "left_semi").dropDuplicates(["doc_key"])
     doc_slots = _slots(held, "doc_key").select("doc_key", F.col("pos").alias("dpos"), "kind", F.col("value").alias("said"))
     item_slots = _slots(items.select(F.col(item_id).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")), "item")
-    item_slots = item_slots.select("item", F.col("pos").alias("ipos"), "kind", "value")
-    pairs = hits.join(found.select("doc_key", "item"), ["doc_key", "item"], "left_semi")
-    pairs = pairs.select("doc_key", "item", F.explode(F.sequence(F.lit(0), F.lit(d.window - 1))).alias("k"), "dpos", "ipos")
-    pairs = pairs.select("doc_key", "item", (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
-    pairs = pairs.join(item_slots, ["item", "ipos"]).join(doc_slots, ["doc_key", "dpos", "kind"])
-    agreed = pairs.groupBy("doc_key", "item", "kind", "value").agg(F.count_distinct("said").alias("n_said"), F.count_distinct("ipos").alias("n_slots"), F.max(F.col("said") != F.col("value")).alias("other"))
-    agreed = agreed.groupBy("doc_key", "item").agg(F.sum("n_slots").alias("n_slots"), (F.count("*") / F.sum("n_said")).alias("consistency"), F.max("other").alias("other"))
-    out = found.join(agreed, ["doc_key", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return out.filter(F.col("consistency") >= d.consistency).select(
+    item_slots = item_slots.select("item", F.col("pos").alias("ipos"), "kind", "value", "opening", F.explode(F.when(F.col("opening"), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("way"))
+    pairs = hits.join(found.select("doc_key", "item", "way"), ["doc_key", "item", "way"], "left_semi")
+    pairs = pairs.select("doc_key", "item", "way", F.explode(F.sequence(F.lit(0), F.lit(d.window - 1))).alias("k"), "dpos", "ipos")
+    pairs = pairs.select("doc_key", "item", "way", (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
+    # sentences built alike match each other: a place is read along the longest alignment that holds it
+    along = pairs.groupBy("doc_key", "item", "way", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("n"))
+    pairs = pairs.withColumn("shift", F.col("dpos") - F.col("ipos")).join(along, ["doc_key", "item", "way", "shift"])
+    pairs = pairs.groupBy("doc_key", "item", "way", "ipos").agg(F.min_by("dpos", F.struct(-F.col("n"), F.col("shift"))).alias("dpos"))
+    pairs = pairs.join(item_slots, ["item", "way", "ipos"]).join(doc_slots, ["doc_key", "dpos", "kind"])
+    agreed = pairs.groupBy("doc_key", "item", "way", "kind", "value").agg(F.min("opening").alias("opening"), F.count_distinct("said").alias("n_said"), F.count_distinct("ipos").alias("n_slots"), F.max(F.col("said") != F.col("value")).alias("other"))
+    # an opening word that stays the same is no slot that agrees
+    agreed = agreed.filter(~F.col("opening") | F.col("other")).groupBy("doc_key", "item", "way").agg(F.sum("n_slots").alias("n_slots"), (F.count("*") / F.sum("n_said")).alias("consistency"), F.max("other").alias("other"))
+    out = found.join(agreed, ["doc_key", "item", "way"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
+    out = out.filter(F.col("consistency") >= d.consistency)
+    best = out.groupBy("doc_key", "item").agg(F.min("way").alias("way"))
+    return out.join(best, ["doc_key", "item", "way"]).select(
         "doc_key", F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.round("coverage", 6).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
         F.round("consistency", 6).alias("consistency"), F.when(F.coalesce("other", F.lit(False)), "reparameterised").otherwise("copy").alias("kind"),
     )
