@@ -109,7 +109,9 @@ def _windows(df: DataFrame, d: Decontamination) -> DataFrame:
 
 def _both_windows(df: DataFrame, d: Decontamination) -> DataFrame:
     """As _windows, of opened tokens: every window with opening words as words, those that hold one with it as a name too."""
-    df = df.withColumns({"words": _as_words(F.col("tokens")), "names": _as_names(F.col("tokens"))})
+    # generators, so that no lambda below makes the tokens again for every place
+    df = df.withColumn("tokens", F.explode(F.array("tokens")))
+    df = df.select("*", F.inline(F.array(F.struct(_as_words(F.col("tokens")).alias("words"), _as_names(F.col("tokens")).alias("names")))))
     places = F.sequence(F.lit(1), F.size("tokens") - (d.window - 1))
     hashed = lambda c, i: F.xxhash64(*(F.get(c, i + (k - 1)) for k in range(d.window)))
     # hashes are equal where no opening word stands
