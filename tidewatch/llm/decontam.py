@@ -1,20 +1,25 @@
 """Benchmark decontamination by template canonicalisation.
 
 Names, numbers and units become typed placeholders, each a token of its own; everything else is lower-cased and stripped
-of punctuation. Windows of five template tokens are hashed and hash-joined between documents and benchmark items. A
-document holds an item if the matched windows cover at least ``coverage`` of the item's coverable tokens and the slots
-agree: wherever the item repeats a value, the document repeats whatever it put in that value's place. So a copied
-question is found, and one with other numbers and names as well.
+of punctuation, and characters of scripts without spaces are tokens of their own. Windows of five template tokens are hashed
+and hash-joined between documents and benchmark items. What matches along about one alignment is an occurrence: a document
+holds an item if the windows of some occurrence cover at least ``coverage`` of the item's coverable tokens and the slots agree
+in it: wherever the item repeats a value, the occurrence repeats whatever it put in that value's place. So a copied question
+is found, and one with other numbers and names as well, and several in one document don't spoil each other.
 
 A capitalised word where a text, line, sentence or quotation may open is a name or not. Items are windowed both ways, each
 with its own coverage; documents have further windows where such words are names. Both ways have the same token places.
 
+Windows that many items share are not joined at first. What covers enough of an item must match some window of any run of
+its windows that is long enough; documents meet each item's rarest such run, and only documents and items that met there are
+compared in full. Items without a usable window (too short, or hardly an ordinary word) are found by their exact tokens,
+numbers and signs included: of three tokens or more anywhere in a document, shorter ones as a whole document.
+
 Only DataFrame functions. Document windows never meet in a shuffle while the benchmark's windows fit a checked broadcast;
 beyond it both sides are joined by window hash. All later steps work on matched windows alone.
 
-Null and empty texts have no window. Items of fewer than five template tokens hold too little to be found and match
-nothing. Windows of fewer than ``literals`` ordinary tokens prove nothing and aren't used. Rows that repeat a document give
-one finding for the document and item; an empty table gives no finding. Further columns are ignored, or kept by clean().
+Null and empty texts, and items without any token, match nothing. Rows that repeat a document give one finding for the
+document and item; an empty table gives no finding. Further columns are ignored, or kept by clean().
 """
 
 from __future__ import annotations
@@ -22,9 +27,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import materialise
+from tidewatch.llm._common import free_name, materialise
 
 #: Placeholders: private-use characters, so that no text's own tokens are taken for them.
 NAME, NUMBER, UNIT = "", "", ""
@@ -54,6 +60,8 @@ class Decontamination:
     coverage: float = 0.8
     consistency: float = 0.8
     literals: int = 2
+    #: Tokens by which values of several words, or left out words, may shift an occurrence.
+    slack: int = 8
 
 
 #: Benchmark windows (some 50 bytes each) and found documents that are broadcast at most; more are joined by shuffle.
@@ -69,8 +77,12 @@ def _numbered(text: Column, names: bool = True) -> Column:
     return F.regexp_replace(_named(text) if names else text, NUMBER_PATTERN, f" {NUMBER} ")
 
 
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, Chinese and Japanese.
+UNSPACED = "[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u2e80-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{3ffff}]"
+
+
 def _split(text: Column) -> Column:
-    placed = F.regexp_replace(text, UNIT_PATTERN, f" {UNIT} ")
+    placed = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $0 "), UNIT_PATTERN, f" {UNIT} ")
     bare = F.regexp_replace(F.lower(placed), rf"[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}{OPEN}{SHUT}]++", "")
     return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
 
@@ -163,50 +175,115 @@ def _slots(df: DataFrame, key: str) -> DataFrame:
     return both.select(key, "s.pos", "s.kind", "s.value", "opening")
 
 
+def _anchors(windows: DataFrame, d: Decontamination) -> DataFrame:
+    """(window, item, way): of each item's runs of places that any match must touch, the one whose windows fewest items share.
+    A run of q places leaves q - 4 tokens or more uncovered if none of its windows matches."""
+    keys = ["item", "way"]
+    common = windows.groupBy("window").agg(F.count("*").alias("shared"))
+    rows = windows.join(common, "window").withColumn("rank", F.dense_rank().over(W.partitionBy(*keys).orderBy("ipos")).cast("long"))
+    q = F.floor(F.col("coverable") * (1 - d.coverage)).cast("long") + d.window
+    places = rows.groupBy(*keys, "rank").agg(F.sum("shared").alias("shared"), F.first(q).alias("q"))
+    running = W.partitionBy(*keys).orderBy("rank")
+    places = materialise(places.withColumn("upto", F.sum("shared").over(running)), "item-places")
+    ends = places.select(*keys, (F.col("rank") - F.col("q") + 1).alias("rank"), F.col("upto").alias("end"))
+    runs = places.join(ends, [*keys, "rank"]).withColumn("cost", F.col("end") - F.col("upto") + F.col("shared"))
+    best = runs.groupBy(*keys).agg(F.min_by("rank", F.struct("cost", "rank")).alias("from"))
+    kept = rows.join(best, keys, "left").filter(F.col("from").isNull() | F.col("rank").between(F.col("from"), F.col("from") + q - 1))
+    return kept.select("window", *keys).distinct()
+
+
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _literal(text: Column) -> Column:
+    """The exact tokens of a text: lower case, with numbers and the signs of formulas."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(text), UNSPACED, " $0 "), r"[^\p{L}\p{M}\p{N}\s+*/=<>^%-]++", "")
+    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+
+
+def _exact(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_key, item): documents that hold the exact tokens of an item. rows: doc_key, text; items: item, text."""
+    said = lambda df: df.withColumn("said", F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" ")))
+    three = lambda: F.transform(F.sequence(F.lit(0), F.size("tokens") - 3), lambda i: F.xxhash64(*(F.get("tokens", i + k) for k in range(3))))
+    items = said(items.select("item", _literal(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0))
+    items = materialise(items.withColumn("whole", F.size("tokens") < 3), "exact-items")
+    docs = rows.select("doc_key", _literal(F.col("text")).alias("tokens"))
+    short = items.filter("whole").select("item", "said")
+    as_whole = said(docs.filter(F.size("tokens").between(1, 2))).join(_sized(short, BROADCAST_WINDOWS), "said").select("doc_key", "item")
+    own = items.filter("NOT whole").select("item", F.explode(three()).alias("window"))
+    shared = own.groupBy("window").agg(F.count("*").alias("n"))
+    anchor = own.join(shared, "window").groupBy("item").agg(F.min_by("window", F.struct("n", "window")).alias("window"))
+    anchor = materialise(anchor, "exact-anchors")
+    met = docs.filter(F.size("tokens") >= 3).select("doc_key", F.explode(three()).alias("window")).join(_sized(anchor, BROADCAST_WINDOWS), "window")
+    met = materialise(met.select("doc_key", "item").distinct(), "exact-met")
+    keys = _sized(met.select("doc_key").distinct(), BROADCAST_FOUND)
+    texts = said(docs.join(keys, "doc_key", "left_semi").dropDuplicates(["doc_key"])).select("doc_key", F.col("said").alias("text"))
+    inside = met.join(texts, "doc_key").join(items.select("item", "said"), "item").filter(F.contains("text", "said"))
+    return as_whole.unionByName(inside.select("doc_key", "item")).distinct()
+
+
+def _occurrences(hits: DataFrame, d: Decontamination) -> DataFrame:
+    """(doc_key, item, way, anchor, dpos, ipos, start, coverage): the hits of each occurrence that covers enough. An
+    occurrence is anchored where hits start, and takes in what starts within the slack."""
+    pair = ["doc_key", "item", "way"]
+    enough = lambda df, keys: df.groupBy(*keys).agg((_covered(F.collect_set("ipos"), d) / F.first("coverable")).alias("coverage")).filter(F.col("coverage") >= d.coverage)
+    whole = enough(hits, pair)  # no occurrence covers more than all together
+    hits = materialise(hits.join(whole.select(*pair), pair, "left_semi").withColumn("start", F.col("dpos") - F.col("ipos")), "window-near")
+    anchors = hits.select(*pair, F.col("start").alias("anchor")).distinct()
+    steps = F.sequence(F.lit(-d.slack), F.lit(d.slack))
+    near = hits.select("*", F.explode(F.transform(steps, lambda x: F.col("start") + x)).alias("anchor")).join(anchors, [*pair, "anchor"])
+    return near.join(enough(near, [*pair, "anchor"]), [*pair, "anchor"])
+
+
 def find(
     docs: DataFrame, items: DataFrame, d: Decontamination = Decontamination(), doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """(doc_key, doc_id, item_id, coverage, n_slots, consistency, kind): one row for each document and item that it holds;
-    kind is copy or reparameterised. doc_key is of documents with this id and text."""
+    kind is copy or reparameterised, of the best occurrence: copies first. doc_key is of documents with this id and text."""
     windows = materialise(item_windows(items, d, item_id, item_text), "item-windows")
-    small = windows.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     rows = docs.select(_key(doc_id, doc_text).alias("doc_key"), F.col(doc_id).alias("doc"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"))
-    tokens = rows.select("doc_key", "doc", opened(F.col("text")).alias("tokens"))
-    hits = _both_windows(tokens, d).withColumnRenamed("pos", "dpos").join(F.broadcast(windows) if small else windows, "window")
-    hits = materialise(hits.select("doc_key", "doc", "item", "way", "dpos", "ipos", "coverable"), "window-hits")
-    found = hits.groupBy("doc_key", "item", "way").agg(
-        F.first("doc").alias("doc"), (_covered(F.collect_set("ipos"), d) / F.first("coverable")).alias("coverage")
-    )
-    found = materialise(found.filter(F.col("coverage") >= d.coverage), "window-found")
-    keys = found.select("doc_key").distinct()
-    few = found.limit(BROADCAST_FOUND + 1).count() <= BROADCAST_FOUND
-    held = rows.select("doc_key", "text").join(F.broadcast(keys) if few else keys, "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    texts = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    tokens = lambda df: df.select("doc_key", opened(F.col("text")).alias("tokens"))
+    rare = materialise(_anchors(windows, d), "item-anchors")
+    met = _both_windows(tokens(rows), d).join(_sized(rare, BROADCAST_WINDOWS), "window").select("doc_key", "item", "way").distinct()
+    met = materialise(met, "window-met")
+    of = lambda found: rows.join(_sized(found.select("doc_key").distinct(), BROADCAST_FOUND), "doc_key", "left_semi").dropDuplicates(["doc_key"])
+    hits = _both_windows(tokens(of(met)), d).withColumnRenamed("pos", "dpos").join(_sized(windows, BROADCAST_WINDOWS), "window")
+    hits = materialise(hits.select("doc_key", "item", "way", "dpos", "ipos", "coverable").join(met, ["doc_key", "item", "way"]), "window-hits")
+    pair = ["doc_key", "item", "way"]
+    near = materialise(_occurrences(hits, d), "window-occurrences")
+    held = of(near)
     doc_slots = _slots(held, "doc_key").select("doc_key", F.col("pos").alias("dpos"), "kind", F.col("value").alias("said"))
-    item_slots = _slots(items.select(F.col(item_id).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")), "item")
+    item_slots = _slots(texts, "item")
     item_slots = item_slots.select("item", F.col("pos").alias("ipos"), "kind", "value", "opening", F.explode(F.when(F.col("opening"), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("way"))
-    pairs = hits.join(found.select("doc_key", "item", "way"), ["doc_key", "item", "way"], "left_semi")
-    pairs = pairs.select("doc_key", "item", "way", F.explode(F.sequence(F.lit(0), F.lit(d.window - 1))).alias("k"), "dpos", "ipos")
-    pairs = pairs.select("doc_key", "item", "way", (F.col("dpos") + F.col("k")).alias("dpos"), (F.col("ipos") + F.col("k")).alias("ipos")).distinct()
-    # sentences built alike match each other: a place is read along the longest alignment that holds it
-    along = pairs.groupBy("doc_key", "item", "way", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.count("*").alias("n"))
-    pairs = pairs.withColumn("shift", F.col("dpos") - F.col("ipos")).join(along, ["doc_key", "item", "way", "shift"])
-    pairs = pairs.groupBy("doc_key", "item", "way", "ipos").agg(F.min_by("dpos", F.struct(-F.col("n"), F.col("shift"))).alias("dpos"))
-    pairs = pairs.join(item_slots, ["item", "way", "ipos"]).join(doc_slots, ["doc_key", "dpos", "kind"])
-    agreed = pairs.groupBy("doc_key", "item", "way", "kind", "value").agg(F.min("opening").alias("opening"), F.count_distinct("said").alias("n_said"), F.count_distinct("ipos").alias("n_slots"), F.max(F.col("said") != F.col("value")).alias("other"))
+    at = near.select(*pair, "anchor", "start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(d.window - 1)), lambda k: F.struct((F.col("dpos") + k).alias("dpos"), (F.col("ipos") + k).alias("ipos")))).alias("x"))
+    # sentences built alike match each other: a place is read along the alignment that is nearest to the occurrence's
+    at = at.groupBy(*pair, "anchor", F.col("x.ipos").alias("ipos")).agg(F.min_by("x.dpos", F.struct(F.abs(F.col("start") - F.col("anchor")), "start")).alias("dpos"))
+    at = at.join(item_slots, ["item", "way", "ipos"]).join(doc_slots, ["doc_key", "dpos", "kind"])
+    agreed = at.groupBy(*pair, "anchor", "kind", "value").agg(F.min("opening").alias("opening"), F.count_distinct("said").alias("n_said"), F.count_distinct("ipos").alias("n_slots"), F.max(F.col("said") != F.col("value")).alias("other"))
     # an opening word that stays the same is no slot that agrees
-    agreed = agreed.filter(~F.col("opening") | F.col("other")).groupBy("doc_key", "item", "way").agg(F.sum("n_slots").alias("n_slots"), (F.count("*") / F.sum("n_said")).alias("consistency"), F.max("other").alias("other"))
-    out = found.join(agreed, ["doc_key", "item", "way"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    out = out.filter(F.col("consistency") >= d.consistency)
-    best = out.groupBy("doc_key", "item").agg(F.min("way").alias("way"))
-    return out.join(best, ["doc_key", "item", "way"]).select(
-        "doc_key", F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.round("coverage", 6).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
-        F.round("consistency", 6).alias("consistency"), F.when(F.coalesce("other", F.lit(False)), "reparameterised").otherwise("copy").alias("kind"),
+    agreed = agreed.filter(~F.col("opening") | F.col("other")).groupBy(*pair, "anchor").agg(F.sum("n_slots").alias("n_slots"), (F.count("*") / F.sum("n_said")).alias("consistency"), F.max("other").alias("other"))
+    whole = near.groupBy(*pair, "anchor").agg(F.first("coverage").alias("coverage")).join(agreed, [*pair, "anchor"], "left")
+    whole = whole.withColumns({"consistency": F.coalesce("consistency", F.lit(1.0)), "other": F.coalesce("other", F.lit(False)), "n_slots": F.coalesce("n_slots", F.lit(0).cast("long"))})
+    whole = whole.filter(F.col("consistency") >= d.consistency)
+    rank = F.struct("other", "way", -F.col("coverage"), -F.col("consistency"), F.col("anchor"))
+    best = whole.groupBy("doc_key", "item").agg(F.min_by(F.struct("coverage", "n_slots", "consistency", "other"), rank).alias("b")).select("doc_key", "item", "b.*")
+    wordless = texts.join(windows.select("item").distinct(), "item", "left_anti")
+    if not wordless.isEmpty():
+        found = _exact(rows, wordless).withColumns({"coverage": F.lit(1.0), "n_slots": F.lit(0).cast("long"), "consistency": F.lit(1.0), "other": F.lit(False)})
+        best = best.unionByName(found)
+    best = materialise(best, "window-found")
+    names = of(best).select("doc_key", "doc")
+    return best.join(names, "doc_key").select(
+        "doc_key", F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.round("coverage", 6).alias("coverage"), "n_slots",
+        F.round("consistency", 6).alias("consistency"), F.when(F.col("other"), "reparameterised").otherwise("copy").alias("kind"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, d: Decontamination = Decontamination(), doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
     found = materialise(find(docs, items, d, doc_id, doc_text).select("doc_key").distinct(), "contaminated")
-    few = found.limit(BROADCAST_FOUND + 1).count() <= BROADCAST_FOUND
-    found = found.select(F.col("doc_key").alias("_found"))
-    return docs.join(F.broadcast(found) if few else found, _key(doc_id, doc_text) == F.col("_found"), "left_anti")
+    key = free_name(docs, "found")
+    found = _sized(found.select(F.col("doc_key").alias(key)), BROADCAST_FOUND)
+    return docs.join(found, _key(doc_id, doc_text) == F.col(key), "left_anti")
