@@ -1,32 +1,38 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms that give them away.
 
 Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers, leftmost and non-overlapping per
-kind, matches that fail their test dropped. Their values are the protected entities. From the whole corpus comes how
-strongly a term reveals an entity: with n documents holding the term and the entity, df(t) and n(e) holding either and N
-in all (equal texts counted once), the disclosure is PMI(t; e) / IC(e) = log(n N / (df(t) n(e))) / log(N / n(e)), 1 for a
-term that occurs beside the entity alone. In documents that hold an entity, terms at or over ``generalise`` become a
-placeholder of their shape, those at or over ``remove`` vanish. Words inside base spans are no terms.
-
-A pair counts if n is no chance: the hypergeometric probability of n or more common documents, times the pairs tested, is
-``chance`` at most. At best it is 1 / C(N, n(e)), so entities of too few documents to be told from chance are not tested
-(Tarone's rule); which these are follows from the data. In particular what stands in one text alone gives no term away.
-
-Only DataFrame functions. Whole texts are read; terms are counted in partial sums and no text is shuffled.
+kind, matches that fail their test dropped. The protected entities are their values, and what values share: the domain of an
+address, the network of an IP address, the first digits of a card or phone number. From the whole corpus comes how strongly a
+term reveals an entity: with n documents holding the term and the entity, df(t) and n(e) holding either and N in all (equal
+texts counted once), the disclosure is PMI(t; e) / IC(e) = log(n N / (df(t) n(e))) / log(N / n(e)), 1 for a term that occurs
+beside the entity alone. In documents that hold an entity, terms at or over ``generalise`` become a placeholder of their
+shape, those at or over ``remove`` vanish. Words of e-mail addresses are no terms.
+
+Small counts say little. Where n is no chance (the hypergeometric probability of n or more common documents, times the pairs
+tested, is ``chance`` at most) the disclosure stands as it is. Else counts are smoothed: ``discount`` is taken from n, and the
+term is taken to stand in ``unseen`` more documents. So a rare word that stands beside a rare value reveals it, though less
+than a name that always goes with it, and what a small corpus holds once or twice by chance falls short. At best a chance is
+1 / C(N, n(e)), so entities of too few documents are not tested (Tarone's rule); which these are follows from the data.
+
+Only DataFrame functions. Whole texts are read; terms are counted in partial sums, and no text is shuffled but those of
+documents that hold an entity and a revealing term.
 
 Null and empty texts have no span. Rows that repeat a document, have no id or share one are each treated by their own
 text; equal texts count once in the statistics. Ties at a threshold count as over it. Further columns pass through, those
-named as a result are replaced. sanitise() cuts the text at merged spans; its cost per document is spans times length.
+named as a result are replaced. Spans are placed and merged by scans of blocks, which takes little more than linear time;
+sanitise() cuts pieces out of the text, whose cost per document is spans times length, at the speed of copying.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm._common import materialise
+from tidewatch.llm._common import free_name, materialise
 
 #: The contract's patterns, made possessive and kept from starting inside a run that can't match, so that long runs take
 #: linear time. None changes which spans match.
@@ -44,21 +50,44 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 class Disclosure:
     #: Probability that any term at all is taken for a disclosing one by chance.
     chance: float = 0.05
+    discount: float = 0.5
+    unseen: float = 1.0
     generalise: float = 0.8
     remove: float = 0.95
 
 
-#: Candidate terms and entities that are broadcast at most (some 100 bytes each); more are joined by shuffle.
+#: Entities, terms or places that are broadcast at most (some 100 bytes each); more are joined by shuffle.
 BROADCAST_TERMS = 200_000
+#: Elements of a block of a scan.
+SCAN_BLOCK = 128
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Struct (out: emitted values, state: the last one) of a running state over an array. Blocks are scanned one by one and
+    put together at the end, as one array that grows by every element would be copied as often as there are elements."""
+    empty, blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    grow = lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x))).alias("out"))
+    keep = lambda a, made: F.struct(made["state"].alias("state"), F.concat(a["out"], F.array(made["out"])).alias("out"))
+
+    def whole(all_: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / SCAN_BLOCK).cast("int"))
+        block = lambda a, i: F.aggregate(F.slice(all_, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)), F.struct(a["state"].alias("state"), empty.alias("out")), grow)
+        add = lambda a, i: F.aggregate(F.array(block(a, i)), a, keep)
+        return F.aggregate(numbers, F.struct(start.alias("state"), blocks.alias("out")), add, lambda a: F.struct(F.flatten(a["out"]).alias("out"), a["state"].alias("state")))
+
+    return _once(items, whole)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made a single time however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _cuts(text: Column, pattern: Column, found: Column) -> Column:
     """Start of each match in found, in code points: lengths of the pieces between matches and of the matches, summed."""
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    steps = F.zip_with(pieces, F.transform(found, lambda m: F.length(m)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    add = lambda a, s: F.struct((a["at"] + s["p"] + F.coalesce(s["m"], F.lit(0))).alias("at"), F.when(s["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["at"] + s["p"]))).alias("out"))
-    return F.aggregate(steps, start, add, lambda a: a["out"])
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), F.transform(found, lambda m: F.length(m)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    return scan(steps, F.lit(0), lambda at, s: at + s["p"] + s["m"], lambda at, s: at + s["p"], "int")["out"]
 
 
 def _spans(text: Column, pattern: Column, found: Column, kind: str) -> Column:
@@ -100,20 +129,27 @@ def with_base_spans(docs: DataFrame, text_col: str = "text", out_col: str = "bas
     return docs.withColumn(out_col, F.concat(*parts)).drop(*(f"_{k}" for k in patterns))
 
 
-def _entity(span: Column) -> Column:
-    plain = F.when(span["kind"].isin("card", "phone"), _digits(span["value"])).otherwise(F.lower(span["value"]))
-    return F.concat(span["kind"], F.lit(":"), plain)
+def _values(base: Column) -> Column:
+    """Of each span (value, shared): its own entity, and that of the domain, network or first digits that it shares."""
+    part = {"email": lambda v: F.substring_index(v, "@", -1), "ip": lambda v: F.substring_index(v, ".", 3), "card": lambda v: F.left(v, F.lit(6)), "phone": lambda v: F.left(v, F.lit(4))}
+    plain = lambda x: F.when(x["kind"].isin("card", "phone"), _digits(x["value"])).otherwise(F.lower(x["value"]))
+    both = lambda k, v: F.struct(F.concat(k, F.lit(":"), v).alias("value"), F.concat(k, F.lit("*"), F.coalesce(*(F.when(k == n, of(v)) for n, of in part.items()))).alias("shared"))
+    return F.array_distinct(F.transform(base, lambda x: _once(plain(x), lambda v: both(x["kind"], v))))
 
 
-def _terms(text: Column) -> Column:
-    """Words of three letters or more, each once."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+")), lambda t: F.length(t) >= 3)
+#: Letters in a row.
+_WORD = r"\p{L}+"
 
 
-def _bare(text: Column, base: Column) -> Column:
-    """The text with its base spans blanked."""
-    blank = lambda t, x: F.overlay(t, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"])
-    return F.aggregate(base, F.coalesce(text, F.lit("")), blank)
+def _bare(text: Column) -> Column:
+    """The text without e-mail addresses; other spans hold no letters."""
+    return F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+
+
+def _terms(text: Column) -> Column:
+    """Words of three letters or more outside base spans, each once."""
+    own = F.regexp_extract_all(F.lower(_bare(F.coalesce(text, F.lit("")))), F.lit(r"\p{L}{3,}+"), F.lit(0))
+    return F.array_distinct(own)
 
 
 def _log_factorial(x: Column) -> Column:
@@ -150,82 +186,109 @@ def _testable(levels: DataFrame, size: str, total: int, d: Disclosure) -> tuple[
     return k, m
 
 
-def disclosures(spotted: DataFrame, d: Disclosure, text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) at or over generalise, told from chance; spotted: documents with base."""
-    own = spotted.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"), "base")
-    # equal texts count once: each of n copies weighs 1/n, so all is summed before the shuffle and no (term, text) crosses
-    copies = materialise(own.groupBy("doc").agg(F.count("*").alias("copies")), "text-copies")
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc, text, base, values, terms) of the texts that hold an entity, written once."""
+    own = docs.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
+    # a generator, so that the filter doesn't make the spans a second time
+    found = with_base_spans(own).withColumn("base", F.explode(F.array("base"))).filter(F.size("base") > 0)
+    return materialise(found.select("doc", "text", "base", _values(F.col("base")).alias("values"), _terms(F.col("text")).alias("terms")), "marked-texts")
+
+
+def _with_entity(marked: DataFrame, *columns: str) -> DataFrame:
+    """A row for each entity of each text."""
+    entities = F.array_distinct(F.concat(F.transform("values", lambda x: x["value"]), F.transform("values", lambda x: x["shared"])))
+    return marked.select(*columns, F.explode(entities).alias("entity"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else df
+
+
+def disclosures(docs: DataFrame, d: Disclosure, text_col: str = "text", marked: DataFrame | None = None) -> DataFrame:
+    """(entity, term, disclosure) at or over generalise. Equal texts count once: each of n copies weighs 1 / n, so that all
+    sums are partial before a shuffle."""
+    marked = _marked(docs, text_col) if marked is None else marked
+    copies = docs.groupBy(F.xxhash64(text_col).alias("doc")).agg(F.count("*").alias("copies"))
+    copies = materialise(copies, "text-copies")
     total = copies.count()
-    copies = copies.filter("copies > 1")
-    few_copies = copies.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    weighed = own.join(F.broadcast(copies) if few_copies else copies, "doc", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
+    copies = _sized(copies.filter("copies > 1"))
+    weigh = lambda df: df.join(copies, "doc", "left").withColumn("weight", 1 / F.coalesce("copies", F.lit(1)))
     summed = F.round(F.sum("weight"))
     n = F.lit(float(max(total, 2)))
-    strength = lambda df: F.when(F.col("ne") < n, F.log(F.col("n") * n / (df * F.col("ne"))) / F.log(n / F.col("ne"))).otherwise(0.0)
-    marked = weighed.filter(F.size("base") > 0).select("weight", F.array_distinct(F.transform("base", _entity)).alias("entities"), _terms(_bare(F.col("text"), F.col("base"))).alias("terms"))
-    marked = materialise(marked, "marked-terms")
-    by_entity = marked.withColumn("size", F.size("terms")).select("*", F.explode("entities").alias("entity"))
-    held = materialise(by_entity.groupBy("entity").agg(summed.alias("ne"), F.max("size").alias("size")), "entities")
-    # an entity has at least as many terms as its largest text: entities that fail on that need no pairs
-    least, _ = _testable(held, "size", total, d)
-    held = held.filter(F.col("ne") >= least).drop("size")
-    few = held.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    both = by_entity.join(F.broadcast(held) if few else held, "entity").select("entity", "ne", "weight", F.explode("terms").alias("term"))
-    both = materialise(both.groupBy("entity", "term").agg(summed.alias("n"), F.first("ne").alias("ne")), "term-pairs")
+    ic = F.log(n / F.col("ne"))
+    strength = lambda df: F.when(F.col("ne") < n, F.log(F.col("n") * n / (df * F.col("ne"))) / ic).otherwise(0.0)
+    smooth = lambda df: F.when((F.col("ne") < n) & (F.col("n") > d.discount), F.log((F.col("n") - d.discount) * n / ((df + d.unseen) * F.col("ne"))) / ic).otherwise(0.0)
+    weighed = weigh(marked)
+    by_entity = _with_entity(weighed, "weight", "terms")
+    # what one value alone has is that value once more, and no further entity
+    shared = marked.select(F.explode("values").alias("x")).groupBy("x.shared").agg((F.min("x.value") == F.max("x.value")).alias("single"))
+    single = shared.filter("single").select(F.col("shared").alias("entity"))
+    held = by_entity.groupBy("entity").agg(summed.alias("ne")).join(single, "entity", "left_anti")
+    held = materialise(held, "entities")
+    both = by_entity.select("entity", "weight", F.explode("terms").alias("term")).groupBy("entity", "term").agg(summed.alias("n"))
+    both = materialise(both.join(_sized(held), "entity"), "term-pairs")
     least, tested = _testable(both.withColumn("pairs", F.lit(1)), "pairs", total, d)
     # a term's documents are at least those that hold it beside any entity: what falls short even so needs no counting
-    seen = marked.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(summed.alias("seen"))
-    both = both.filter(F.col("ne") >= least).join(seen, "term")
-    both = materialise(both.filter(strength(F.col("seen")) >= d.generalise), "term-candidates")
-    terms = both.select("term").distinct()
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    all_ = weighed.select("weight", F.explode(_terms(_bare(F.col("text"), F.col("base")))).alias("term"))
-    df = all_.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(summed.alias("df"))
-    found = both.join(df, "term").withColumn("disclosure", strength(F.col("df")))
-    told = _log_chance(F.col("n"), F.col("df"), F.col("ne"), n) <= math.log(d.chance / max(tested, 1))
-    return found.filter((F.col("disclosure") >= d.generalise) & told).select("entity", "term", "disclosure")
+    seen = weighed.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(summed.alias("seen"))
+    both = both.join(seen, "term").filter(F.greatest(F.when(F.col("ne") >= least, strength(F.col("seen"))), smooth(F.col("seen"))) >= d.generalise)
+    both = materialise(both.drop("seen"), "term-candidates")
+    terms = weigh(docs.select(F.xxhash64(text_col).alias("doc"), _terms(F.col(text_col)).alias("terms"))).select("weight", F.explode("terms").alias("term"))
+    found = both.join(terms.groupBy("term").agg(summed.alias("df")), "term")
+    told = (F.col("ne") >= least) & (_log_chance(F.col("n"), F.col("df"), F.col("ne"), n) <= math.log(d.chance / max(tested, 1)))
+    found = found.withColumn("disclosure", F.greatest(F.when(told, strength(F.col("df"))), smooth(F.col("df"))))
+    return found.filter(F.col("disclosure") >= d.generalise).select("entity", "term", "disclosure")
+
+
+SPAN = "struct<kind:string,start:int,end:int,value:string>"
+
+
+def _term_spans(marked: DataFrame, told: DataFrame, d: Disclosure) -> DataFrame:
+    """(doc, added): spans of disclosing terms of every text that holds any, by kind, then by start."""
+    texts = marked.dropDuplicates(["doc"])
+    strongest = _with_entity(texts, "doc").join(_sized(told), "entity").groupBy("doc", "term").agg(F.max("disclosure").alias("s"))
+    strongest = materialise(strongest, "text-terms")
+    texts = texts.join(_sized(strongest.select("doc").distinct()), "doc", "left_semi")
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    emails = F.filter("base", lambda b: b["kind"] == "email")
+    places = texts.select("doc", emails.alias("emails"), F.explode(_spans(F.col("text"), F.lit(_WORD), words, "word")).alias("x"))
+    said = places.select("doc", "emails", "x", F.lower("x.value").alias("term")).join(strongest, ["doc", "term"])
+    said = said.filter(~F.exists("emails", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"])))
+    kind = F.when(F.col("s") >= d.remove, "removed").when(F.col("x.value").rlike(r"^\p{Lu}"), "name").otherwise("term")
+    by_doc = said.select("doc", F.struct(kind.alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value")).alias("x"))
+    return materialise(by_doc.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("added")), "term-spans")
 
 
 def find(docs: DataFrame, d: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
-    """Adds base and spans (base spans, then disclosing terms of kinds name, term and removed) to every row."""
-    spotted = with_base_spans(docs.drop("base", "spans"), text_col)
-    told = materialise(disclosures(spotted.select(text_col, "base"), d, text_col), "disclosures")
-    by_doc = spotted.select(F.xxhash64(text_col).alias("_doc"), F.explode("base").alias("x")).select("_doc", _entity(F.col("x")).alias("entity")).distinct()
-    few = told.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    terms = by_doc.join(F.broadcast(told) if few else told, "entity").groupBy("_doc", "term").agg(F.max("disclosure").alias("s"))
-    lists = terms.groupBy("_doc").agg(*(F.array_sort(F.collect_list(F.when(c, F.col("term")))).alias(n) for n, c in (("_some", F.col("s") < d.remove), ("_out", F.col("s") >= d.remove))))
-    lists = materialise(lists, "document-terms")
-    few = lists.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    rows = spotted.withColumn("_doc", F.xxhash64(text_col)).join(F.broadcast(lists) if few else lists, "_doc", "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    extra = []
-    for column, kind in (("_some", "term"), ("_out", "removed")):
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join(column, "|"), F.lit(r")(?![\p{L}])"))
-        found = F.when(F.size(column) > 0, F.regexp_extract_all(text, pattern, F.lit(0)))
-        made = F.filter(_spans(text, pattern, found, kind), free)
-        if kind == "term":  # generalised to its shape
-            made = F.transform(made, lambda x: x.withField("kind", F.when(x["value"].rlike(r"^\p{Lu}"), "name").otherwise("term")))
-        extra.append(F.coalesce(made, F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")))
-    added = F.array_sort(F.concat(*extra), lambda a, b: F.when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(a["start"] - b["start"]))
-    return rows.withColumn("spans", F.concat("base", added)).drop("_doc", "_some", "_out")
+    """Adds base and spans (base spans, then disclosing terms of kinds name, removed and term) to every row."""
+    marked = _marked(docs, text_col)
+    told = materialise(disclosures(docs.select(text_col), d, text_col, marked), "disclosures")
+    added = _term_spans(marked, told, d)
+    n_places = added.agg(F.coalesce(F.sum(F.size("added")), F.lit(0))).first()[0]
+    key, more = free_name(docs, "doc"), free_name(docs, "added")
+    added = added.select(F.col("doc").alias(key), F.col("added").alias(more))
+    rows = with_base_spans(docs.drop("base", "spans"), text_col).withColumn(key, F.xxhash64(text_col))
+    rows = rows.join(F.broadcast(added) if n_places <= BROADCAST_TERMS else added, key, "left")
+    return rows.withColumn("spans", F.concat("base", F.coalesce(more, F.array().cast(f"array<{SPAN}>")))).drop(key, more)
 
 
 def sanitise(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Replaces the text by one without its spans: overlapping ones are merged, the first one's placeholder stands for all."""
     text = F.col(text_col)
     order = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    last = lambda a: F.element_at(a, -1)
     own = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    merged = F.aggregate(order, none, lambda a, x: F.when((F.size(a) == 0) | (last(a)["end"] <= x["start"]), F.concat(a, F.array(own(x)))).otherwise(
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(last(a).withField("end", F.greatest(last(a)["end"], x["end"]))))))
-    names = F.create_map(*(F.lit(x) for pair in PLACEHOLDER.items() for x in pair))
-    rows = found.withColumn("_cuts", F.when(F.size("spans") > 0, merged).otherwise(none))
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.get("_cuts", i - 1)["end"])
-    parts = F.transform("_cuts", lambda x, i: F.concat(text.substr(begin(i) + 1, x["start"] - begin(i)), F.element_at(names, x["kind"])))
-    tail = text.substr(last(F.col("_cuts"))["end"] + 1, F.length(text))
-    return rows.withColumn(text_col, F.when(F.size("_cuts") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)).drop("_cuts")
+    kind = "struct<kind:string,start:int,end:int>"
+    apart = lambda a, x: a["end"] <= x["start"]
+    none = F.struct(F.lit("").alias("kind"), F.lit(-1).alias("start"), F.lit(0).alias("end"))
+    # the span that is open; it is emitted by the first one that begins behind it
+    step = lambda a, x: F.when(apart(a, x), own(x)).otherwise(a.withField("end", F.greatest(a["end"], x["end"])))
+    merged = scan(order, none, step, lambda a, x: F.when(apart(a, x), a), kind)
+    cuts, names_of = free_name(found, "cuts"), F.create_map(*(F.lit(x) for pair in PLACEHOLDER.items() for x in pair))
+    whole = _once(merged, lambda m: F.filter(F.concat(m["out"], F.array(m["state"])), lambda x: x["start"] >= 0))
+    rows = found.withColumn(cuts, F.when(F.size("spans") > 0, whole).otherwise(F.array().cast(f"array<{kind}>")))
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(cuts, i - 1)["end"])
+    parts = F.transform(cuts, lambda x, i: F.concat(text.substr(begin(i) + 1, x["start"] - begin(i)), F.element_at(names_of, x["kind"])))
+    tail = text.substr(F.element_at(cuts, -1)["end"] + 1, F.length(text))
+    return rows.withColumn(text_col, F.when(F.size(cuts) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)).drop(cuts)
 
 
 def joined(spans: Column) -> Column:
