@@ -81,25 +81,33 @@ def _numbered(text: Column, names: bool = True) -> Column:
 UNSPACED = "[\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff\\u2e80-\\u9fff\\uf900-\\ufaff\\x{20000}-\\x{3ffff}]"
 
 
-def _split(text: Column) -> Column:
-    placed = F.regexp_replace(F.regexp_replace(text, UNSPACED, " $0 "), UNIT_PATTERN, f" {UNIT} ")
-    bare = F.regexp_replace(F.lower(placed), rf"[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}{OPEN}{SHUT}]++", "")
-    return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
+def _spaced(text: Column) -> Column:
+    """With spaces around characters of scripts without any; ASCII texts have none and aren't looked through."""
+    return F.when(F.octet_length(text) > F.length(text), F.regexp_replace(text, UNSPACED, " $0 ")).otherwise(text)
+
+
+def _bare(text: Column) -> Column:
+    placed = F.regexp_replace(_spaced(text), UNIT_PATTERN, f" {UNIT} ")
+    return F.regexp_replace(F.lower(placed), rf"[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}{OPEN}{SHUT}]++", "")
+
+
+def _tokens(bare: Column) -> Column:
+    return F.array_remove(F.split(bare, r"\s+"), "")
 
 
 def template(text: Column, names: bool = True) -> Column:
     """The template tokens of a text; without names, these stay words."""
-    return _split(_numbered(F.translate(text, OPEN + SHUT, ""), names))
+    return _tokens(_bare(_numbered(F.translate(text, OPEN + SHUT, ""), names)))
 
 
-def opened(text: Column) -> Column:
-    """The same tokens, with words that may open a sentence between OPEN and SHUT."""
+def opened_text(text: Column) -> Column:
+    """The same tokens, spaced, with words that may open a sentence between OPEN and SHUT."""
     marked = F.regexp_replace(_named(F.translate(text, OPEN + SHUT, "")), OPENING_PATTERN, f"{OPEN}$0{SHUT}")
-    return _split(F.regexp_replace(marked, NUMBER_PATTERN, f" {NUMBER} "))
+    return _bare(F.regexp_replace(marked, NUMBER_PATTERN, f" {NUMBER} "))
 
 
-def _as_words(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.translate(t, OPEN + SHUT, ""))
+def opened(text: Column) -> Column:
+    return _tokens(opened_text(text))
 
 
 def _as_names(tokens: Column) -> Column:
@@ -120,16 +128,21 @@ def _windows(df: DataFrame, d: Decontamination) -> DataFrame:
 
 
 def _both_windows(df: DataFrame, d: Decontamination) -> DataFrame:
-    """As _windows, of opened tokens: every window with opening words as words, those that hold one with it as a name too."""
-    # generators, so that no lambda below makes the tokens again for every place
-    df = df.withColumn("tokens", F.explode(F.array("tokens")))
-    df = df.select("*", F.inline(F.array(F.struct(_as_words(F.col("tokens")).alias("words"), _as_names(F.col("tokens")).alias("names")))))
-    places = F.sequence(F.lit(1), F.size("tokens") - (d.window - 1))
-    hashed = lambda c, i: F.xxhash64(*(F.get(c, i + (k - 1)) for k in range(d.window)))
+    """(..., pos, window) of column opened: every window with opening words as words, those that hold one with it as a name
+    too. Tokens are laid beside their successors, so that no expression runs for each place but in generated code."""
+    words = _tokens(F.translate("opened", OPEN + SHUT, ""))
+    names = _tokens(F.regexp_replace("opened", rf"(?<!\S)[^\s{OPEN}]*+{OPEN}\S*+", NAME))
+    keys = [c for c in df.columns if c != "opened"]
+    # a generator, so that the tokens are made once
+    df = df.select(*keys, F.inline(F.array(F.struct(words.alias("words"), names.alias("names")))))
+    most = F.size("words")
+    beside = F.arrays_zip(*(F.slice(c, F.lit(k + 1), most).alias(f"{c}{k}") for c in ("words", "names") for k in range(d.window)))
+    rows = df.filter(most >= d.window).select(*keys, F.posexplode(beside).alias("pos", "x"))
+    hashed = lambda kind: F.xxhash64(*(F.col(f"x.{kind}{k}") for k in range(d.window)))
+    rows = rows.filter(F.col(f"x.words{d.window - 1}").isNotNull()).select(*keys, "pos", hashed("words").alias("w"), hashed("names").alias("n"))
     # hashes are equal where no opening word stands
-    pair = lambda i: F.array_distinct(F.array(hashed("words", i), hashed("names", i)))
-    df = df.filter(F.size("tokens") >= d.window).withColumn("windows", F.transform(places, pair)).drop("tokens", "words", "names")
-    return df.select("*", F.posexplode("windows").alias("pos", "pair")).drop("windows").select("*", F.explode("pair").alias("window")).drop("pair")
+    pair = F.when(F.col("w") == F.col("n"), F.array("w")).otherwise(F.array("w", "n"))
+    return rows.select(*keys, "pos", F.explode(pair).alias("window"))
 
 
 def item_windows(items: DataFrame, d: Decontamination, id_col: str, text_col: str) -> DataFrame:
@@ -198,7 +211,7 @@ def _sized(df: DataFrame, most: int) -> DataFrame:
 
 def _literal(text: Column) -> Column:
     """The exact tokens of a text: lower case, with numbers and the signs of formulas."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(text), UNSPACED, " $0 "), r"[^\p{L}\p{M}\p{N}\s+*/=<>^%-]++", "")
+    bare = F.regexp_replace(_spaced(F.lower(text)), r"[^\p{L}\p{M}\p{N}\s+*/=<>^%-]++", "")
     return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
 
 
@@ -244,7 +257,7 @@ def find(
     windows = materialise(item_windows(items, d, item_id, item_text), "item-windows")
     rows = docs.select(_key(doc_id, doc_text).alias("doc_key"), F.col(doc_id).alias("doc"), F.coalesce(F.col(doc_text), F.lit("")).alias("text"))
     texts = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    tokens = lambda df: df.select("doc_key", opened(F.col("text")).alias("tokens"))
+    tokens = lambda df: df.select("doc_key", opened_text(F.col("text")).alias("opened"))
     rare = materialise(_anchors(windows, d), "item-anchors")
     met = _both_windows(tokens(rows), d).join(_sized(rare, BROADCAST_WINDOWS), "window").select("doc_key", "item", "way").distinct()
     met = materialise(met, "window-met")
