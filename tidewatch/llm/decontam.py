@@ -45,13 +45,13 @@ NUMBER_WORDS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety "
     "hundred thousand million billion dozen"
 ).split()
-_NUMBER_WORD = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?=[zotfsenhmbdZOTFSENHMBD])(?i:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{M}}\p{{N}}])"
+_NUMBER_WORD = rf"(?=[zotfsenhmbdZOTFSENHMBD])(?<![a-zA-Z])(?<![\p{{L}}\p{{M}}\p{{N}}])(?i:{'|'.join(NUMBER_WORDS)})(?![\p{{L}}\p{{M}}\p{{N}}])"
 #: A capitalised word in the middle of a sentence; any other one; a number with its separators, or in words; a unit behind
-#: a number.
-NAME_PATTERN = r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}[\p{L}\p{M}]*"
-OPENING_PATTERN = rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?!{_NUMBER_WORD})\p{{Lu}}[\p{{L}}\p{{M}}]*"
+#: a number (group 1). Each begins with what rules out most places at a glance.
+NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll}\p{N},;:)] \p{Lu})[\p{L}\p{M}]*"
+OPENING_PATTERN = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}\p{{N}}])(?!{_NUMBER_WORD})\p{{Lu}}[\p{{L}}\p{{M}}]*"
 NUMBER_PATTERN = rf"[0-9]+(?:[.,:/][0-9]+)*+|{_NUMBER_WORD}(?:[ -]{_NUMBER_WORD})*+"
-UNIT_PATTERN = rf"(?i)(?<={NUMBER} ) ?(?:%|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+UNIT_PATTERN = rf"{NUMBER} ( ?(?i:%|(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])))"
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,10 @@ BROADCAST_WINDOWS = 500_000
 BROADCAST_FOUND = 500_000
 
 
+def _unmarked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(OPEN), F.lit("")), F.lit(SHUT), F.lit(""))
+
+
 def _named(text: Column) -> Column:
     return F.regexp_replace(text, NAME_PATTERN, f" {NAME} ")
 
@@ -87,8 +91,8 @@ def _spaced(text: Column) -> Column:
 
 
 def _bare(text: Column) -> Column:
-    placed = F.regexp_replace(_spaced(text), UNIT_PATTERN, f" {UNIT} ")
-    return F.regexp_replace(F.lower(placed), rf"[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}{OPEN}{SHUT}]++", "")
+    placed = F.regexp_replace(_spaced(text), UNIT_PATTERN, f"{NUMBER} {UNIT} ")
+    return F.regexp_replace(F.lower(placed), rf"(?![a-z ])[^\p{{L}}\p{{M}}\s{NAME}{NUMBER}{UNIT}{OPEN}{SHUT}]++", "")
 
 
 def _tokens(bare: Column) -> Column:
@@ -97,12 +101,12 @@ def _tokens(bare: Column) -> Column:
 
 def template(text: Column, names: bool = True) -> Column:
     """The template tokens of a text; without names, these stay words."""
-    return _tokens(_bare(_numbered(F.translate(text, OPEN + SHUT, ""), names)))
+    return _tokens(_bare(_numbered(_unmarked(text), names)))
 
 
 def opened_text(text: Column) -> Column:
     """The same tokens, spaced, with words that may open a sentence between OPEN and SHUT."""
-    marked = F.regexp_replace(_named(F.translate(text, OPEN + SHUT, "")), OPENING_PATTERN, f"{OPEN}$0{SHUT}")
+    marked = F.regexp_replace(_named(_unmarked(text)), OPENING_PATTERN, f"{OPEN}$0{SHUT}")
     return _bare(F.regexp_replace(marked, NUMBER_PATTERN, f" {NUMBER} "))
 
 
@@ -110,14 +114,15 @@ def opened(text: Column) -> Column:
     return _tokens(opened_text(text))
 
 
-def _as_names(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.when(F.contains(t, F.lit(OPEN)), F.lit(NAME)).otherwise(t))
+def _as_names(opened: Column) -> Column:
+    """Opening words as names."""
+    return F.regexp_replace(opened, rf"{OPEN}\S*+", NAME)
 
 
 def slot_values(text: Column) -> tuple[Column, Column, Column]:
     """The values of the name, number and unit placeholders, each kind in order."""
     numbered = _numbered(text)
-    return F.regexp_extract_all(text, F.lit(NAME_PATTERN), F.lit(0)), F.regexp_extract_all(_named(text), F.lit(NUMBER_PATTERN), F.lit(0)), F.regexp_extract_all(numbered, F.lit(UNIT_PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(NAME_PATTERN), F.lit(0)), F.regexp_extract_all(_named(text), F.lit(NUMBER_PATTERN), F.lit(0)), F.regexp_extract_all(numbered, F.lit(UNIT_PATTERN), F.lit(1))
 
 
 def _windows(df: DataFrame, d: Decontamination) -> DataFrame:
@@ -130,8 +135,7 @@ def _windows(df: DataFrame, d: Decontamination) -> DataFrame:
 def _both_windows(df: DataFrame, d: Decontamination) -> DataFrame:
     """(..., pos, window) of column opened: every window with opening words as words, those that hold one with it as a name
     too. Tokens are laid beside their successors, so that no expression runs for each place but in generated code."""
-    words = _tokens(F.translate("opened", OPEN + SHUT, ""))
-    names = _tokens(F.regexp_replace("opened", rf"(?<!\S)[^\s{OPEN}]*+{OPEN}\S*+", NAME))
+    words, names = _tokens(_unmarked(F.col("opened"))), _tokens(_as_names(F.col("opened")))
     keys = [c for c in df.columns if c != "opened"]
     # a generator, so that the tokens are made once
     df = df.select(*keys, F.inline(F.array(F.struct(words.alias("words"), names.alias("names")))))
@@ -150,7 +154,7 @@ def item_windows(items: DataFrame, d: Decontamination, id_col: str, text_col: st
     have them with and without names placed, so that a copy in small or large letters, where no name stands out, is found
     (way 1), and with opening words as names (way 2)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    tokens = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.inline(F.array(*(F.struct(F.lit(w).alias("way"), t.alias("tokens")) for w, t in ((1, template(text)), (1, template(text, False)), (2, _as_names(opened(text))))))))
+    tokens = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item"), F.inline(F.array(*(F.struct(F.lit(w).alias("way"), t.alias("tokens")) for w, t in ((1, template(text)), (1, template(text, False)), (2, _tokens(_as_names(opened_text(text)))))))))
     plain = F.transform("tokens", lambda t: F.when(t.isin(NAME, NUMBER, UNIT), 0).otherwise(1))
     tokens = tokens.withColumn("plain", plain)
     found = _windows(tokens, d)
@@ -262,12 +266,12 @@ def find(
     met = _both_windows(tokens(rows), d).join(_sized(rare, BROADCAST_WINDOWS), "window").select("doc_key", "item", "way").distinct()
     met = materialise(met, "window-met")
     of = lambda found: rows.join(_sized(found.select("doc_key").distinct(), BROADCAST_FOUND), "doc_key", "left_semi").dropDuplicates(["doc_key"])
-    hits = _both_windows(tokens(of(met)), d).withColumnRenamed("pos", "dpos").join(_sized(windows, BROADCAST_WINDOWS), "window")
+    held = materialise(of(met), "met-documents")  # few: whatever follows reads these alone
+    hits = _both_windows(tokens(held), d).withColumnRenamed("pos", "dpos").join(_sized(windows, BROADCAST_WINDOWS), "window")
     hits = materialise(hits.select("doc_key", "item", "way", "dpos", "ipos", "coverable").join(met, ["doc_key", "item", "way"]), "window-hits")
     pair = ["doc_key", "item", "way"]
     near = materialise(_occurrences(hits, d), "window-occurrences")
-    held = of(near)
-    doc_slots = _slots(held, "doc_key").select("doc_key", F.col("pos").alias("dpos"), "kind", F.col("value").alias("said"))
+    doc_slots = _slots(held.join(near.select("doc_key").distinct(), "doc_key", "left_semi"), "doc_key").select("doc_key", F.col("pos").alias("dpos"), "kind", F.col("value").alias("said"))
     item_slots = _slots(texts, "item")
     item_slots = item_slots.select("item", F.col("pos").alias("ipos"), "kind", "value", "opening", F.explode(F.when(F.col("opening"), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("way"))
     at = near.select(*pair, "anchor", "start", F.explode(F.transform(F.sequence(F.lit(0), F.lit(d.window - 1)), lambda k: F.struct((F.col("dpos") + k).alias("dpos"), (F.col("ipos") + k).alias("ipos")))).alias("x"))
@@ -285,10 +289,10 @@ def find(
     wordless = texts.join(windows.select("item").distinct(), "item", "left_anti")
     if not wordless.isEmpty():
         found = _exact(rows, wordless).withColumns({"coverage": F.lit(1.0), "n_slots": F.lit(0).cast("long"), "consistency": F.lit(1.0), "other": F.lit(False)})
-        best = best.unionByName(found)
-    best = materialise(best, "window-found")
-    names = of(best).select("doc_key", "doc")
-    return best.join(names, "doc_key").select(
+        best = materialise(best.unionByName(found), "window-exact")
+        held = of(best)
+    best = materialise(best.join(held.select("doc_key", "doc"), "doc_key"), "window-found")
+    return best.select(
         "doc_key", F.col("doc").alias(doc_id), F.col("item").alias(item_id), F.round("coverage", 6).alias("coverage"), "n_slots",
         F.round("consistency", 6).alias("consistency"), F.when(F.col("other"), "reparameterised").otherwise("copy").alias("kind"),
     )
