@@ -31,8 +31,10 @@ def _hits(tier: str, lex: L.Lexicon) -> Column:
 
 
 def with_hits(featured: DataFrame, lex: L.Lexicon) -> DataFrame:
-    """Adds mild, severe and threat hits, mitigations, targeted, obfuscated and self_harm; works on distinct messages."""
-    said = featured.filter("message IS NOT NULL").select("message", "normalized", "forms").dropDuplicates(["message"])
+    """Adds mild, severe and threat hits, mitigations, targeted, obfuscated and self_harm; works on distinct messages, which
+    are joined back by their digest."""
+    rows = featured.withColumn("key", F.md5("message"))
+    said = rows.filter("message IS NOT NULL").groupBy("key").agg(*(F.first(c).alias(c) for c in ("message", "normalized", "forms")))
     said = said.withColumn("joined", T.collapse_letter_spacing(F.col("normalized")))
     for tier in ("mild", "severe", "threat"):
         said = said.withColumn(f"{tier}_hits", _hits(tier, lex))
@@ -41,12 +43,16 @@ def with_hits(featured: DataFrame, lex: L.Lexicon) -> DataFrame:
         said = said.withColumn("mild_hits", F.filter("mild_hits", lambda h: ~F.exists(ok, lambda a: F.contains(a, h) | F.contains(h, a))))
     found = [F.when(F.col("normalized").rlike(p if n == "quotation" else L.bounded(p)), F.lit(n)) for n, p in L.MITIGATIONS]
     said = said.withColumn("mitigations", F.filter(F.array(*found), lambda m: m.isNotNull()))
-    odd = T.char_anomalies(F.col("message"), F.col("forms"), F.col("normalized"))
+    said = said.withColumn("odd", T.char_anomalies(F.col("message"), F.col("forms"), F.col("normalized")))
     any_hit = (F.size("mild_hits") + F.size("severe_hits") + F.size("threat_hits")) > 0
-    said = said.withColumn("odd", odd).withColumn("obfuscated", (F.col("odd.invisible_in_word") | (F.col("odd.mixed_words") > 0) | F.col("odd.letter_spaced")) & any_hit)
-    said = said.withColumns({"addressed": F.col("normalized").rlike(L.TARGET), "mentions_someone": F.col("normalized").rlike(r"(?:^|\s)@[a-z0-9_.-]{2,}"), "other_target": F.col("normalized").rlike(L.OTHER_TARGET), "self_harm": F.col("normalized").rlike(L.bounded(L.SELF_HARM))})
-    columns = ["message", "mild_hits", "severe_hits", "threat_hits", "mitigations", "obfuscated", "addressed", "mentions_someone", "other_target", "self_harm"]
-    rows = featured.join(said.select(*columns), "message", "left")
+    hidden = F.col("odd.invisible_in_word") | (F.col("odd.mixed_words") > 0) | F.col("odd.letter_spaced")
+    is_like = lambda pattern: F.col("normalized").rlike(pattern)
+    said = said.withColumns({
+        "obfuscated": hidden & any_hit, "addressed": is_like(L.TARGET), "mentions_someone": is_like(r"(?:^|\s)@[a-z0-9_.-]{2,}"),
+        "other_target": is_like(L.OTHER_TARGET), "self_harm": is_like(L.bounded(L.SELF_HARM)),
+    })
+    columns = ["mild_hits", "severe_hits", "threat_hits", "mitigations", "obfuscated", "addressed", "mentions_someone", "other_target", "self_harm"]
+    rows = rows.join(said.select("key", *columns), "key", "left").drop("key")
     return rows.withColumn("targeted", F.coalesce(F.col("mentions_someone") | (F.col("addressed") & (F.col("event_type") != "join")), F.lit(False)))
 
 
@@ -58,10 +64,29 @@ def with_layers(hit: DataFrame, c: AbuseConfig, verdicts: DataFrame | None = Non
     """Adds sources: the verdicts of the rules, the lexicon, the rate of repetition, and a classifier if there is one."""
     has = lambda m: F.array_contains("mitigations", m)
     quoted, reporting = has("quotation") | has("reported-speech"), has("reporting-abuse")
-    threat = F.when(F.size("threat_hits") > 0, F.when(has("negated-intent"), _layer("rules", F.lit("SAFE"), F.lit(0.6))).when(reporting, _layer("rules", F.lit("SAFE"), F.lit(0.55))).when(quoted, _layer("rules", F.lit("UNCERTAIN"), F.lit(0.5))).when(has("gaming-context"), _layer("rules", F.lit("UNCERTAIN"), F.lit(0.45))).otherwise(_layer("rules", F.lit("THREAT"), F.lit(0.9))))
-    severe = F.when(F.size("severe_hits") > 0, F.when(has("self-directed") & ~F.col("other_target"), _layer("rules", F.lit("SAFE"), F.lit(0.6))).when(reporting | quoted, _layer("rules", F.lit("UNCERTAIN"), F.lit(0.5))).otherwise(_layer("rules", F.lit("SEVERE_ABUSE"), F.lit(0.85))))
+    none = lambda hits: F.coalesce(F.size(hits), F.lit(0)) == 0
+    rule = lambda cls, sure: _layer("rules", F.lit(cls), F.lit(sure))
+    threat = (
+        F.when(none("threat_hits"), None)
+        .when(has("negated-intent"), rule("SAFE", 0.6))
+        .when(reporting, rule("SAFE", 0.55))
+        .when(quoted, rule("UNCERTAIN", 0.5))
+        .when(has("gaming-context"), rule("UNCERTAIN", 0.45))
+        .otherwise(rule("THREAT", 0.9))
+    )
+    severe = (
+        F.when(none("severe_hits"), None)
+        .when(has("self-directed") & ~F.col("other_target"), rule("SAFE", 0.6))
+        .when(reporting | quoted, rule("UNCERTAIN", 0.5))
+        .otherwise(rule("SEVERE_ABUSE", 0.85))
+    )
     n = F.size("mild_hits")
-    mild = F.when(n > 0, F.when(quoted | reporting | has("self-directed"), _layer("lexicon", F.lit("SAFE"), F.lit(0.5))).when(F.col("targeted"), _layer("lexicon", F.lit("ABUSIVE"), F.when(n >= 4, 0.8).otherwise(0.68))).otherwise(_layer("lexicon", F.lit("UNCERTAIN"), F.lit(0.42))))
+    mild = (
+        F.when(none("mild_hits"), None)
+        .when(quoted | reporting | has("self-directed"), _layer("lexicon", F.lit("SAFE"), F.lit(0.5)))
+        .when(F.col("targeted"), _layer("lexicon", F.lit("ABUSIVE"), F.when(n >= 4, 0.8).otherwise(0.68)))
+        .otherwise(_layer("lexicon", F.lit("UNCERTAIN"), F.lit(0.42)))
+    )
     rows = hit.withColumns({"l_threat": threat, "l_severe": severe, "l_mild": mild})
     if verdicts is not None:
         given = verdicts.select("event_id", F.struct(F.lit("ai").alias("layer"), F.col("classification").alias("class"), M.clamp(F.col("confidence"), 0, 1).alias("confidence")).alias("l_ai"))
