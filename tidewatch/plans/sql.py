@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from tidewatch.config import WIDE
 
+#: d, n: document and event numbers; stride: numbers that an event and the documents dealt to it take.
 T = """
-step AS (SELECT count(*) // 100 AS s FROM documents),
-texts AS (SELECT doc_id // s AS slot, substr(text, 1, 200) AS text, doc_id FROM documents, step WHERE doc_id % s = 0 AND doc_id < 100 * s),
+size AS (SELECT *, d // n + 2 AS stride FROM (SELECT (SELECT max(doc_id) + 1 FROM documents) AS d, (SELECT max(event_id) + 1 FROM events) AS n)),
+turns AS (SELECT event_id AS number, event_id * stride AS seq, user_id, event_type, ts, ((user_id % 20) * 5 + event_id % 5) * greatest(1, d // 100) % d AS doc_id FROM events, size),
+posts AS (
+  SELECT number, seq, user_id, event_type, ts, CASE WHEN event_type IN ('click', 'view') THEN x.text END AS message, CASE WHEN event_type IN ('click', 'view') THEN turns.doc_id END AS doc_id, number AS turn
+  FROM turns LEFT JOIN documents x ON x.doc_id = turns.doc_id
+  UNION ALL
+  SELECT NULL, e.event_id * stride + 1 + x.doc_id // n, e.user_id, 'click', e.ts, x.text, x.doc_id, e.event_id FROM documents x, size, events e WHERE e.event_id = x.doc_id % n * greatest(1, n // d)
+),
 t AS (
-  SELECT event_id::VARCHAR AS event_id, event_id AS seq, 'u' || user_id AS user_id,
-    'r' || ((user_id + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) % 10) AS room_id, epoch_us(ts) // 1000 AS at_ms,
+  SELECT seq::VARCHAR AS event_id, seq, number, 'u' || user_id AS user_id,
+    'r' || ((user_id + CASE WHEN turn % 10 = 0 THEN 1 ELSE 0 END) % 10) AS room_id, epoch_us(ts) // 1000 AS at_ms,
     CASE event_type WHEN 'click' THEN 'message' WHEN 'view' THEN 'voice' WHEN 'signup' THEN 'join' WHEN 'error' THEN 'leave' ELSE 'moderation' END AS event_type,
-    CASE WHEN event_type IN ('click', 'view') THEN x.text END AS message, CASE WHEN event_type IN ('click', 'view') THEN x.doc_id END AS doc_id,
-    event_type IN ('click', 'view') AS content,
-    '4.2.' || (event_id % 5) AS client_version, ['ios', 'android', 'web', 'desktop'][event_id % 4 + 1] AS platform
-  FROM events e LEFT JOIN texts x ON x.slot = (e.user_id % 20) * 5 + e.event_id % 5
+    message, doc_id, event_type IN ('click', 'view') AS content, '4.2.' || (turn % 5) AS client_version, ['ios', 'android', 'web', 'desktop'][turn % 4 + 1] AS platform
+  FROM posts
 )"""
 
 
@@ -86,7 +91,7 @@ s AS (SELECT *, CASE WHEN content AND last_type = 'leave' AND at_ms - last_ms <=
   WHEN event_type = 'join' AND last_type = 'join' AND at_ms - last_ms <= {_s.horizon_ms} AND at_ms - last_ms > {_c.join_grace_ms} THEN 2
   WHEN voice_rooms > 1 THEN 3 END AS n FROM r)
 SELECT user_id, event_id, n::BIGINT AS "case", 'HIGH' AS severity, 0.85::DOUBLE AS confidence FROM s WHERE n IS NOT NULL"""
-R = """r AS (SELECT user_id, at_ms AS applied_ms, CASE WHEN seq % 3 <> 0 THEN room_id END AS r_room, CASE WHEN seq % 2 = 0 THEN at_ms + 86400000 END AS expires_ms, seq AS feed_seq FROM t WHERE event_type = 'moderation')"""
+R = """r AS (SELECT user_id, at_ms AS applied_ms, CASE WHEN number % 3 <> 0 THEN room_id END AS r_room, CASE WHEN number % 2 = 0 THEN at_ms + 86400000 END AS expires_ms, seq AS feed_seq FROM t WHERE event_type = 'moderation')"""
 SQL["evasion_post_moderation"] = f"""WITH {T}, {R}
 SELECT t.user_id, event_id, (at_ms - arg_min(applied_ms, feed_seq))::BIGINT AS after_ms, 'HIGH' AS severity, 0.85::DOUBLE AS confidence
 FROM t JOIN r ON t.user_id = r.user_id AND at_ms > applied_ms AND at_ms - applied_ms <= {_e.post_moderation_window_ms} AND (expires_ms IS NULL OR at_ms < expires_ms) AND (r_room IS NULL OR r_room = room_id)
@@ -95,7 +100,7 @@ _J, _L = "CASE WHEN event_type = 'join' THEN 1 ELSE 0 END", "CASE WHEN event_typ
 SQL["evasion_rejoin_cycling"] = f"""WITH {T}, r AS (SELECT *, least({trailing(_J, _e.rejoin_window_ms, "user_id, room_id")}, {trailing(_L, _e.rejoin_window_ms, "user_id, room_id")} - {_L}) AS n FROM t)
 SELECT user_id, event_id, n::BIGINT AS n, 'MEDIUM' AS severity, {rounded(f"0.65 + 0.25 * ({sat('n', _e.rejoin_count, 3 * _e.rejoin_count)})")} AS confidence FROM r WHERE n >= {_e.rejoin_count}"""
 SQL["ghost_presence"] = f"""WITH {T}, p AS (SELECT user_id, room_id, min(at_ms) AS first, max(at_ms) AS last, arg_max(event_type, seq) AS kind FROM t
-  WHERE event_type IN ('join', 'leave') AND substr(user_id, 2)::BIGINT % 7 = 0 GROUP BY ALL),
+  WHERE event_type IN ('join', 'leave') GROUP BY ALL),
 i AS (SELECT user_id, room_id, first - {_e.presence_tolerance_ms} AS from_ms, CASE WHEN kind = 'leave' THEN last ELSE (SELECT max(at_ms) FROM t) END + {_e.presence_tolerance_ms} AS to_ms FROM p),
 j AS (SELECT t.user_id, t.room_id, from_ms, to_ms, count(*) AS n FROM t JOIN i ON t.user_id = i.user_id AND t.room_id = i.room_id AND at_ms BETWEEN from_ms AND to_ms GROUP BY ALL)
 SELECT user_id, room_id, from_ms, to_ms, n, 'LOW' AS severity, {rounded(f"least(0.95, 0.5 + 0.4 * ({sat('n', _e.presence_min_events, 5 * _e.presence_min_events)}))")} AS confidence FROM j WHERE n >= {_e.presence_min_events}"""
@@ -129,7 +134,7 @@ summed AS (SELECT event_id, floor(least(100, sum(applied)) + 0.5)::INTEGER AS sc
 scored AS (SELECT t.user_id, t.room_id, t.event_id, t.at_ms, t.seq, score, {_LEVEL} AS level, peak_confidence, total, n, codes FROM summed JOIN t USING (event_id)),
 latest AS (SELECT user_id, arg_max(score, seq) AS score, arg_max(level, seq) AS level FROM scored GROUP BY user_id)"""
 INCIDENT = f"""{RISK},
-serious AS (SELECT *, lag(at_ms) OVER (PARTITION BY user_id, room_id ORDER BY at_ms, seq) AS before FROM scored WHERE level IN ('HIGH', 'CRITICAL')),
+serious AS (SELECT *, lag(at_ms) OVER (PARTITION BY user_id, room_id ORDER BY at_ms, seq) AS before FROM scored WHERE level = 'CRITICAL' OR list_contains(string_split(codes, ','), 'THREAT_LANGUAGE')),
 marked AS (SELECT *, last_value(CASE WHEN before IS NULL OR at_ms - before > {_x.incident_gap_ms} THEN at_ms END IGNORE NULLS) OVER (PARTITION BY user_id, room_id ORDER BY at_ms, seq ROWS UNBOUNDED PRECEDING) AS start_ms FROM serious),
 sessioned AS (SELECT *, 'INC-' || strftime(make_timestamp(start_ms * 1000), '%Y%m%d') || '-' || substr(sha256(user_id || '|' || room_id || '|' || start_ms), 1, 8) AS incident_id FROM marked),
 cases AS (SELECT incident_id, user_id, room_id, min(at_ms) AS created_ms, max(at_ms) AS updated_ms, count(*) AS n_events, max(score) AS risk_score, arg_max(level, score) AS risk_level FROM sessioned GROUP BY ALL),
@@ -162,9 +167,19 @@ SELECT user_id AS key, event_id, hit, hit <= 3 AS allowed, greatest(3 - hit, 0)
     "rate_trailing": f"""WITH {T} SELECT user_id AS key, event_id, {trailing("1", 3 * 86400000, "user_id")}::BIGINT AS n FROM t""",
 }
 
-SQL["validation_issues"] = f"""WITH {T} SELECT seq // 50 AS batch_id, seq % 50 AS idx, ['userId', 'roomId', 'timestamp', 'eventType', '', 'surprise'][seq % 50] AS field,
-  ['BAD_CHARACTERS', 'MISSING', 'UNPARSABLE', 'NOT_ALLOWED', '', 'UNKNOWN_FIELD'][seq % 50] AS code FROM t WHERE seq % 50 IN (1, 2, 3, 4, 6)"""
-SQL["accepted_events"] = f"""WITH {T} SELECT seq, user_id, room_id, at_ms, event_type, client_version, CASE WHEN seq % 50 = 5 THEN 'unknown' ELSE platform END AS platform, 32::BIGINT AS id_length FROM t WHERE seq % 50 NOT IN (1, 2, 3, 4, 6)"""
+#: What each number of a batch breaks, as sources.telemetry.raw_events breaks it; the rule and its code are the validation's.
+_BROKEN = """broken(number, field, code) AS (VALUES (1, 'userId', 'BAD_CHARACTERS'), (2, 'roomId', 'MISSING'), (3, 'timestamp', 'UNPARSABLE'), (4, 'eventType', 'NOT_ALLOWED'), (6, 'surprise', 'UNKNOWN_FIELD'),
+  (9, 'timestamp', 'IN_FUTURE'), (10, 'timestamp', 'TOO_OLD'), (11, 'metadata', 'FORBIDDEN_KEY'), (12, 'clientVersion', 'TOO_LONG'), (13, 'roomId', 'TOO_LONG'), (14, 'messageIsTranscript', 'BAD_TYPE'))"""
+_UTF16 = "(length(message) + length(regexp_replace(message, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
+_RAW = f"""{T}, {_BROKEN},
+raw AS (SELECT *, number % 50 AS n, coalesce(number // 50, -1 - seq // 50) AS batch_id, coalesce(number, seq) % 50 AS idx FROM t),
+bad AS (SELECT raw.seq, batch_id, idx, field, code FROM raw JOIN broken ON broken.number = n
+  UNION ALL SELECT seq, batch_id, idx, 'message', 'TOO_LONG' FROM raw WHERE {_UTF16} > 4000),
+twins AS (SELECT seq, batch_id, idx, row_number() OVER (PARTITION BY batch_id ORDER BY idx) AS nth FROM raw WHERE n IN (15, 16) AND seq NOT IN (SELECT seq FROM bad)),
+issues AS (SELECT * FROM bad UNION ALL SELECT seq, batch_id, idx, 'eventId', 'DUPLICATE_IN_BATCH' FROM twins WHERE nth > 1)"""
+SQL["validation_issues"] = f"WITH {_RAW} SELECT batch_id, idx, field, code FROM issues"
+SQL["accepted_events"] = f"""WITH {_RAW} SELECT seq, user_id, room_id, at_ms, event_type, client_version, CASE WHEN n = 5 THEN 'unknown' ELSE platform END AS platform,
+  CASE WHEN n = 8 THEN length('given-' || number) WHEN n IN (15, 16) THEN length('twin-' || batch_id) ELSE 32 END::BIGINT AS id_length FROM raw WHERE seq NOT IN (SELECT seq FROM issues)"""
 
 _MEMBERS = f"""{T}, {_BUSY},
 said AS (SELECT room_id, sweep_ms, 'COORDINATED_IDENTICAL_CONTENT' AS code, severity, confidence::DOUBLE AS confidence, string_split(users, ',') AS users FROM ({SQL["coordinated_content"]})),

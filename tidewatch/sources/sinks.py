@@ -67,9 +67,14 @@ def evidence_sink(rows: DataFrame, path: str) -> tuple[int, int]:
     return append_new(rows, path, ["key"], at="created_ms", refuse=True)
 
 
+def action_sink(rows: DataFrame, path: str) -> tuple[int, int]:
+    return append_new(rows, path, ["target_user_id", "at_ms", "action_type"])
+
+
 def upsert(rows: DataFrame, path: str, key: str, at: str) -> None:
-    """Writes the latest row of each key; only the days of the keys that change are rewritten."""
-    from tidewatch.sources.shared import materialise
+    """Writes the latest row of each key; only the days of the keys that change are rewritten. A day that loses its last row
+    is deleted after the others are written, since an overwrite leaves days alone that have no row any more."""
+    from tidewatch.sources.shared import delete, materialise
 
     spark = rows.sparkSession
     rows = with_day(rows, at)
@@ -78,10 +83,9 @@ def upsert(rows: DataFrame, path: str, key: str, at: str) -> None:
     kept = old.join(moved, "dt", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
     fresh = materialise(kept.unionByName(rows), "upsert")
     days = materialise(moved, "upsert-days")
-    stale = days.join(fresh.select("dt").distinct(), "dt", "left_anti")
-    if not stale.isEmpty():  # a day that loses its only row is written empty of it
-        fresh = fresh.unionByName(rows.limit(0))
+    stale = [r["dt"] for r in days.join(fresh.select("dt").distinct(), "dt", "left_anti").collect()]  # days, not rows
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+    delete(spark, *(f"{path}/dt={day}" for day in stale))
 
 
 def fan_out(feeds: dict[str, Callable[[DataFrame], DataFrame]], folder: str) -> Callable[[DataFrame, int], None]:
