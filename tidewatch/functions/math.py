@@ -49,9 +49,14 @@ def array_mean(x: Column) -> Column:
 
 
 def array_cv(x: Column) -> Column:
-    mean = array_mean(x)
-    square = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v.cast("double") - mean) * (v.cast("double") - mean))
-    return F.when((F.size(x) < 2) | (mean == 0), 0.0).otherwise(F.sqrt(square / (F.size(x) - 1)) / mean)
+    """Sample deviation over mean in one pass: mean and squared deviations from it are carried along."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, v: Column) -> Column:
+        d = v.cast("double") - a["mean"]
+        return F.struct((a["n"] + 1).alias("n"), (a["mean"] + d / (a["n"] + 1)).alias("mean"), (a["m2"] + d * d * a["n"] / (a["n"] + 1)).alias("m2"))
+
+    return F.aggregate(x, start, add, lambda a: F.when((a["n"] < 2) | (a["mean"] == 0), 0.0).otherwise(F.sqrt(a["m2"] / (a["n"] - 1)) / a["mean"]))
 
 
 def deltas(times: Column) -> Column:

@@ -49,9 +49,34 @@ def unicode_forms(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(map(_forms, text), columns=["nfkc", "folded", "marks", "base"])
 
 
+NOT_ASCII = r"[^\x00-\x7F]"
+
+
+@F.pandas_udf(T.StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else unicodedata.normalize("NFKC", t) for t in text], dtype=object)
+
+
 def sanitize_visible(text: Column) -> Column:
-    bare = F.regexp_replace(unicode_forms(text)["nfkc"], f"[{INVISIBLE}]", "")
-    return F.trim(F.regexp_replace(bare, f"{SPACE}+", " "))
+    """Compatibility form without invisible characters, white space to one space. ASCII texts are their own form and don't
+    cross to Python."""
+    return visible(F.coalesce(nfkc(F.when(text.rlike(NOT_ASCII), text)), text))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_arrays(texts: pd.Series) -> pd.Series:
+    form = lambda t: None if t is None else unicodedata.normalize("NFKC", t)
+    return pd.Series([None if ts is None else [form(t) for t in ts] for ts in texts], dtype=object)
+
+
+def nfkc_all(texts: Column) -> Column:
+    """The compatibility forms of an array of texts; only arrays with others than ASCII ones cross to Python."""
+    odd = F.exists(texts, lambda t: t.rlike(NOT_ASCII))
+    return F.coalesce(_nfkc_arrays(F.when(odd, texts)), texts)
+
+
+def visible(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), f"{SPACE}+", " "))
 
 
 def finish_match(folded: Column) -> Column:
@@ -162,6 +187,23 @@ def char_anomalies(text: Column, forms: Column, normalized: Column) -> Column:
     )
 
 
-def register_functions(spark: SparkSession) -> None:
-    """The Unicode forms for SQL; the other functions are SQL already."""
+#: SQL functions of the same meaning as the Columns of this package, as Spark's own SQL functions; they stay native.
+SQL_FUNCTIONS = {
+    "half_up": "(x DOUBLE, places INT) RETURNS DOUBLE RETURN floor(x * pow(10, places) + 0.5) / pow(10, places)",
+    "clamp": "(x DOUBLE, low DOUBLE, high DOUBLE) RETURNS DOUBLE RETURN least(greatest(nanvl(x, low), low), high)",
+    "saturate": "(n DOUBLE, threshold DOUBLE, whole DOUBLE) RETURNS DOUBLE RETURN CASE WHEN whole <= threshold THEN if(n <= threshold, 0D, 1D) ELSE least(greatest((n - threshold) / (whole - threshold), 0D), 1D) END",
+    "decay": "(value DOUBLE, elapsed_ms DOUBLE, half_life_ms DOUBLE) RETURNS DOUBLE RETURN if(half_life_ms <= 0 OR elapsed_ms <= 0, value, value * pow(0.5, elapsed_ms / half_life_ms))",
+    "utf16_length": "(t STRING) RETURNS INT RETURN CAST(length(encode(t, 'UTF-16BE')) / 2 AS INT)",
+    "truncate_text": "(t STRING, n INT) RETURNS STRING RETURN if(length(t) > n, concat(left(t, greatest(0, n - 1)), '…'), t)",
+    "similarity": "(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN if(size(a) = 0 OR size(b) = 0, 0D, size(array_intersect(a, b)) / size(array_union(a, b)))",
+    "event_handle": "(user_id STRING) RETURNS STRING RETURN upper(left(sha2(concat('tidewatch:', user_id), 256), 6))",
+    "incident_name": "(user_id STRING, room_id STRING, start_ms BIGINT) RETURNS STRING RETURN concat('INC-', date_format(timestamp_millis(start_ms), 'yyyyMMdd'), '-', left(sha2(concat_ws('|', user_id, room_id, start_ms), 256), 8))",
+}
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Temporary functions for SQL: the Unicode forms and the ones above. Returns their names."""
     spark.udf.register("unicode_forms", unicode_forms)
+    for name, body in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
+    return ["unicode_forms", *SQL_FUNCTIONS]

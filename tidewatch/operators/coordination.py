@@ -24,25 +24,37 @@ def _busy(events: DataFrame, c: CoordinationConfig) -> DataFrame:
 
 def identical_content(featured: DataFrame, c: CoordinationConfig, min_length: int = 24) -> DataFrame:
     """One row for each text that several accounts sent into a room in one sweep; a flooder counts once."""
-    said = featured.filter(is_content() & (T.utf16_length(F.col("fp")) >= min_length)).select("room_id", sweep_of(F.col("at_ms"), c).alias("sweep_ms"), "fp", "user_id").distinct()
-    found = said.groupBy("room_id", "sweep_ms", "fp").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("user_id")).alias("user_ids")).filter(F.col("n") >= c.min_accounts)
+    said = featured.filter(is_content() & (T.utf16_length(F.col("fp")) >= min_length)).select("room_id", sweep_of(F.col("at_ms"), c).alias("sweep_ms"), F.md5("fp").alias("key"), "user_id").distinct()
+    found = said.groupBy("room_id", "sweep_ms", "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("user_id")).alias("user_ids")).filter(F.col("n") >= c.min_accounts)
     found = found.join(_busy(featured, c), ["room_id", "sweep_ms"], "left_semi")
     confidence = F.least(0.6 + 0.3 * M.saturate(F.col("n"), c.min_accounts, 3 * c.min_accounts), F.lit(0.95))
-    return found.select("room_id", "sweep_ms", "fp", F.lit("COORDINATED_IDENTICAL_CONTENT").alias("code"), "n", F.when(F.col("n") >= c.severe_accounts, "HIGH").otherwise("MEDIUM").alias("severity"), M.half_up(confidence, 4).alias("confidence"), "user_ids")
+    return found.select("room_id", "sweep_ms", "key", F.lit("COORDINATED_IDENTICAL_CONTENT").alias("code"), "n", F.when(F.col("n") >= c.severe_accounts, "HIGH").otherwise("MEDIUM").alias("severity"), M.half_up(confidence, 4).alias("confidence"), "user_ids")
 
 
 def synchronized_joins(events: DataFrame, c: CoordinationConfig) -> DataFrame:
-    """The earliest cluster of joins in each room and sweep; evenly spaced ones look scripted."""
-    joins = events.filter("event_type = 'join'").withColumn("sweep_ms", sweep_of(F.col("at_ms"), c))
-    ahead = W.partitionBy("room_id", "sweep_ms").orderBy("at_ms").rangeBetween(0, c.join_window_ms)
-    joins = joins.withColumn("near", F.collect_list(F.struct("at_ms", "seq", "user_id")).over(ahead))
-    users = F.array_sort(F.array_distinct(F.transform("near", lambda x: x["user_id"])))
-    joins = joins.withColumn("user_ids", users).filter(F.size("user_ids") >= c.join_accounts)
-    first = joins.groupBy("room_id", "sweep_ms").agg(F.min_by(F.struct("at_ms", "near", "user_ids"), F.struct("at_ms", "seq")).alias("x"))
-    gaps = M.deltas(F.transform(F.array_sort("x.near"), lambda x: x["at_ms"]))
+    """The earliest cluster of joins in each room and sweep; evenly spaced ones look scripted. Starts are judged by counts:
+    accounts that join for the first time in the sweep are different ones, so enough of them ahead settle a start, and
+    too few joins rule it out. Only starts between, which come before a settled one, look at the joins ahead; lists are
+    made for the winning start alone."""
+    keys, width = ["room_id", "sweep_ms"], c.join_window_ms
+    joins = events.filter("event_type = 'join'").select("room_id", sweep_of(F.col("at_ms"), c).alias("sweep_ms"), "at_ms", "seq", "user_id")
+    new = F.when(F.row_number().over(W.partitionBy(*keys, "user_id").orderBy("at_ms", "seq")) == 1, 1).otherwise(0)
+    ahead = W.partitionBy(*keys).orderBy("at_ms").rangeBetween(0, width)
+    starts = joins.withColumn("new", new).withColumns({"n_new": F.sum("new").over(ahead), "n_all": F.count("*").over(ahead)}).filter(F.col("n_all") >= c.join_accounts)
+    start = F.struct("at_ms", "seq")
+    settled = starts.filter(F.col("n_new") >= c.join_accounts).groupBy(*keys).agg(F.min(start).alias("settled"))
+    open_ = starts.filter(F.col("n_new") < c.join_accounts).join(settled, keys, "left").filter(F.col("settled").isNull() | (start < F.col("settled")))
+    bucket = F.floor(F.col("at_ms") / width)
+    near = joins.select(*keys, F.col("at_ms").alias("t"), "user_id", F.floor(F.col("at_ms") / width).alias("bucket"))
+    open_ = open_.select(*keys, "at_ms", "seq", F.explode(F.array(bucket, bucket + 1)).alias("bucket")).join(near, [*keys, "bucket"]).filter(F.col("t").between(F.col("at_ms"), F.col("at_ms") + width))
+    enough = open_.groupBy(*keys, "at_ms", "seq").agg(F.count_distinct("user_id").alias("n")).filter(F.col("n") >= c.join_accounts)
+    first = settled.select(*keys, F.col("settled").alias("start")).unionByName(enough.select(*keys, start.alias("start"))).groupBy(*keys).agg(F.min("start.at_ms").alias("from_ms"))
+    inside = joins.join(first, keys).filter(F.col("at_ms").between(F.col("from_ms"), F.col("from_ms") + width))
+    first = inside.groupBy(*keys, "from_ms").agg(F.array_sort(F.collect_list("at_ms")).alias("times"), F.array_sort(F.collect_set("user_id")).alias("user_ids"))
+    gaps = M.deltas(F.col("times"))
     scripted = (F.size(gaps) >= 3) & (M.array_cv(gaps) < c.scripted_cv)
-    found = first.select("room_id", "sweep_ms", F.lit("COORDINATED_SYNCHRONIZED_JOINS").alias("code"), F.size("x.user_ids").alias("n"), F.col("x.at_ms").alias("from_ms"), F.when(scripted, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(scripted, 0.8).otherwise(0.55).alias("confidence"), F.col("x.user_ids").alias("user_ids"))
-    return found.join(_busy(events, c), ["room_id", "sweep_ms"], "left_semi")
+    found = first.select("room_id", "sweep_ms", F.lit("COORDINATED_SYNCHRONIZED_JOINS").alias("code"), F.size("user_ids").alias("n"), "from_ms", F.when(scripted, "HIGH").otherwise("MEDIUM").alias("severity"), F.when(scripted, 0.8).otherwise(0.55).alias("confidence"), "user_ids")
+    return found.join(_busy(events, c), keys, "left_semi")
 
 
 def findings(featured: DataFrame, c: CoordinationConfig, min_length: int = 24) -> DataFrame:

@@ -11,15 +11,19 @@ from tidewatch.functions import hashing as H
 from tidewatch.sources.shared import materialise
 
 ZEROS, SCHEMA_VERSION = "0" * 64, 1
+AUTHORISATION = "made from events and feeds that the platform hands over; nothing was asked of a device or of another account"
 COLLECTED = {"messages": "redacted excerpts", "signals": "codes, severities and confidences", "events": "identifiers and times"}
 NOT_COLLECTED = {"audio": "never read", "device identifiers": "never read", "precise location": "never read"}
 
 
 def bodies(incidents: DataFrame) -> DataFrame:
-    """(incident_id, user_id, created_ms, body): the canonical JSON of what is kept."""
+    """(incident_id, user_id, created_ms, body): the canonical JSON of what is kept, with the signals if incidents name them
+    (column signals) and the statement of what it was made from."""
+    named = {"signals": F.col("signals")} if "signals" in incidents.columns else {}
     body = H.canonical_json(
         incidentId=F.col("incident_id"), userId=F.col("user_id"), roomId=F.col("room_id"), createdMs=F.col("created_ms"), riskScore=F.col("risk_score"), riskLevel=F.col("risk_level"),
         behaviors=F.col("behaviors"), messages=F.transform("messages", lambda m: m["excerpt"]), schemaVersion=F.lit(SCHEMA_VERSION), collected=F.array(*map(F.lit, COLLECTED)), notCollected=F.array(*map(F.lit, NOT_COLLECTED)),
+        authorisation=F.lit(AUTHORISATION), **named,
     )
     return incidents.select("incident_id", "user_id", "created_ms", body.alias("body"))
 
@@ -56,13 +60,27 @@ def verify_bundles(chained: DataFrame) -> DataFrame:
 
 
 def verify_chain(chained: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds to problems: gap and broken_link between neighbours, over the whole chain or within keys."""
-    w = (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy("sequence")
-    rows = verify_bundles(chained).withColumns({"_seq": F.lag("sequence").over(w), "_hash": F.lag("content_hash").over(w)})
-    gap = F.col("_seq").isNotNull() & (F.col("sequence") != F.col("_seq") + 1)
-    broken = F.when(F.col("_hash").isNull(), (F.col("sequence") == 0) & (F.col("previous_hash") != ZEROS)).otherwise(F.col("previous_hash") != F.col("_hash"))
+    """Adds to problems: gap where a sequence number's predecessor is missing (its link can't be right either), and
+    broken_link between neighbours, over the whole chain or within keys. Neighbours meet by their numbers, so that no task
+    holds a chain."""
+    keys = keys or []
+    narrow = chained.select(*keys, "sequence", "content_hash")
+    before = narrow.groupBy(*keys, (F.col("sequence") + 1).alias("sequence")).agg(F.min("content_hash").alias("_hash"))
+    rows = verify_bundles(chained).join(before, [*keys, "sequence"], "left")
+    if keys:
+        rows = rows.join(narrow.groupBy(*keys).agg(F.min("sequence").alias("_first")), keys)
+    else:
+        rows = rows.withColumn("_first", F.lit(narrow.agg(F.min("sequence")).first()[0]))
+    first = F.col("sequence") == F.col("_first")
+    gap = ~first & F.col("_hash").isNull()
+    broken = F.when(first, (F.col("sequence") == 0) & (F.col("previous_hash") != ZEROS)).otherwise(gap | (F.col("previous_hash") != F.col("_hash")))
     more = F.filter(F.array(F.when(gap, F.lit("gap")), F.when(broken, F.lit("broken_link"))), lambda p: p.isNotNull())
-    return rows.withColumn("problems", F.concat("problems", more)).drop("_seq", "_hash")
+    return rows.select(*chained.columns, F.concat("problems", more).alias("problems"))
+
+
+def keys_of(incident_id: str, chained: DataFrame) -> DataFrame:
+    """(sequence, key) of an incident's bundles, in the order of the chain."""
+    return chained.filter(F.col("incident_id") == incident_id).select("sequence", evidence_key().alias("key")).orderBy("sequence")
 
 
 def verify_incidents(keys: DataFrame, chained: DataFrame) -> DataFrame:

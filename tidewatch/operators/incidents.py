@@ -12,6 +12,8 @@ from tidewatch.functions import math as M
 from tidewatch.functions import text as T
 from tidewatch.operators.windows import FIRST
 
+#: Version of the rules and weights, as incidents name it.
+VERSION = "1"
 CLOSED = ("RESOLVED", "DISMISSED", "FALSE_POSITIVE")
 
 
@@ -38,14 +40,31 @@ def build(sessioned: DataFrame, signals: DataFrame, events: DataFrame, c: CaseCo
         F.min("at_ms").alias("created_ms"), F.max("at_ms").alias("updated_ms"), F.count("*").alias("n_events"), F.max("score").alias("risk_score"), F.max_by("level", "score").alias("risk_level")
     )
     own = signals.join(sessioned.select("incident_id", "event_id"), "event_id")
-    by_code = own.groupBy("incident_id", "code").agg(F.min(F.struct("at_ms", "seq")).alias("first"), F.max("confidence").alias("confidence"))
-    behaviours = by_code.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("first", "code"))).alias("b"), F.least(M.noisy_or(F.col("confidence")), F.lit(0.99)).alias("confidence"))
+    by_code = own.groupBy("incident_id", "code").agg(F.min(F.struct("at_ms", "seq")).alias("first"), F.max("confidence").alias("confidence"), F.max_by("severity", "confidence").alias("severity"))
+    reason = F.format_string("[%s] %s, confidence %s", F.col("code"), F.lower("severity"), F.col("confidence").cast("string"))
+    behaviours = by_code.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("first", "code", reason.alias("reason")))).alias("b"), F.least(M.noisy_or(F.col("confidence")), F.lit(0.99)).alias("confidence"))
     said = events.filter("message IS NOT NULL").select("event_id", "message").join(sessioned.select("incident_id", "event_id", "at_ms", "seq"), "event_id")
     said = said.withColumn("rank", F.row_number().over(W.partitionBy("incident_id").orderBy(F.desc("at_ms"), F.desc("seq")))).filter(F.col("rank") <= excerpts)
     excerpt = T.truncate(T.redact_identifiers(F.col("message")), excerpt_chars)
     said = said.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("at_ms", "seq", "event_id", excerpt.alias("excerpt")))).alias("messages"))
     rows = main.join(behaviours, "incident_id", "left").join(said, "incident_id", "left")
-    return rows.withColumn("behaviors", F.transform("b", lambda x: x["code"])).withColumn("status", F.lit("OPEN")).drop("b")
+    rows = rows.withColumns({"behaviors": F.transform("b", lambda x: x["code"]), "reasons": F.transform("b", lambda x: x["reason"])})
+    detectors = F.array_sort(F.array_distinct(F.transform("behaviors", lambda c: F.concat(F.lower(F.substring_index(c, "_", 1)), F.lit("-"), F.lit(VERSION)))))
+    return rows.withColumns({"model_versions": F.array_union(F.array(F.lit(f"risk-{VERSION}")), detectors), "status": F.lit("OPEN")}).drop("b")
+
+
+def with_metadata(incidents: DataFrame, sessioned: DataFrame, events: DataFrame) -> DataFrame:
+    """Adds metadata, a map of what an incident may say of its last event and its assessment: platform, type, declared
+    version, level, score, confidence and counts, and the event's own metadata as ``meta.*``. No address, device or place."""
+    last = sessioned.groupBy("incident_id").agg(F.max_by("event_id", F.struct("at_ms", "seq")).alias("event_id"), F.max("peak_confidence").alias("peak"), F.sum("n_contributions").alias("n"), F.min("deterministic_only").alias("rules_only"))
+    own = [c for c in events.columns if c in ("k", "value")]
+    rows = last.join(events.select("event_id", "platform", "event_type", "client_version", "is_transcript", *own), "event_id", "left")
+    text = lambda c: F.col(c).cast("string")
+    pairs = {"peakConfidence": text("peak"), "deterministicOnly": text("rules_only"), "signalCount": text("n"), "platform": F.col("platform"), "eventType": F.col("event_type"), "declaredClientVersion": F.col("client_version"), "sourceIsTranscript": F.when(F.col("is_transcript"), "true")}
+    pairs |= {f"meta.{c}": text(c) for c in own}
+    made = F.map_filter(F.create_map(*(x for k, v in pairs.items() for x in (F.lit(k), v))), lambda k, v: v.isNotNull())
+    level = F.create_map(F.lit("riskLevel"), F.col("risk_level"), F.lit("riskScore"), F.col("risk_score").cast("string"))
+    return incidents.join(rows.select("incident_id", made.alias("_meta")), "incident_id", "left").withColumn("metadata", F.map_concat(level, F.coalesce("_meta", F.create_map().cast("map<string,string>")))).drop("_meta")
 
 
 def new_behaviours(sessioned: DataFrame, signals: DataFrame, c: CaseConfig) -> DataFrame:
@@ -80,3 +99,13 @@ def action_log(planned: DataFrame) -> DataFrame:
     """One row for each automated step of a plan; a step needs a reason."""
     rows = planned.select("user_id", "room_id", "at_ms", "event_id", F.explode("automated").alias("action_type"), F.col("rationale").alias("reason"))
     return rows.withColumn("reason", F.when(F.trim("reason") != "", F.col("reason")).otherwise(F.raise_error(F.lit("an action needs a reason")))).withColumns({"actor_kind": F.lit("SYSTEM"), "scope": F.lit("USER"), "succeeded": F.lit(True)})
+
+
+def case_log(sessioned: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What became of each event of an incident: created by the first, folded in by the others, and a row for each evidence
+    bundle (incident_id, event_id, at_ms), in the action log's schema."""
+    first = F.row_number().over(W.partitionBy("incident_id").orderBy("at_ms", "seq")) == 1
+    rows = sessioned.select("user_id", "room_id", "at_ms", "event_id", "incident_id", F.when(first, "INCIDENT_CREATED").otherwise("INCIDENT_UPDATED").alias("action_type"))
+    kept = evidence.select("incident_id", "event_id").join(sessioned.select("user_id", "room_id", "at_ms", "event_id", "incident_id"), ["incident_id", "event_id"]).withColumn("action_type", F.lit("EVIDENCE_PRESERVED"))
+    both = rows.unionByName(kept)
+    return both.select("user_id", "room_id", "at_ms", "event_id", "action_type", F.concat(F.lit("incident "), "incident_id").alias("reason"), F.lit("SYSTEM").alias("actor_kind"), F.lit("INCIDENT").alias("scope"), F.lit(True).alias("succeeded"))

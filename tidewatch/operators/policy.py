@@ -17,11 +17,12 @@ def _when(cond: Column, *items: str) -> Column:
 
 def plan(assessed: DataFrame, c: RiskConfig, can_block: bool = False) -> DataFrame:
     """Adds automated, recommended, restriction_status and rationale. assessed has score, level, peak_confidence, codes and
-    contributions; also review (a person is asked for) if known."""
+    contributions; also review (a person is asked for) and deterministic_only (no model had a part in it) if known."""
     rank = level_rank(F.col("level"))
     threat = F.array_contains("codes", "THREAT_LANGUAGE")
     review = F.col("review") if "review" in assessed.columns else F.lit(False)
-    corroborated = F.exists("codes", lambda x: x.rlike(CORROBORATING))
+    own = F.col("deterministic_only") if "deterministic_only" in assessed.columns else F.lit(False)
+    corroborated = own | F.exists("codes", lambda x: x.rlike(CORROBORATING))
     status = (
         F.when(F.col("level") != "CRITICAL", "none")
         .when(F.col("peak_confidence") < c.critical_min_confidence, "low_confidence")
@@ -43,7 +44,28 @@ def plan(assessed: DataFrame, c: RiskConfig, can_block: bool = False) -> DataFra
     return rows.withColumns({"automated": automated, "recommended": recommended, "rationale": rationale})
 
 
+def with_notes(planned: DataFrame) -> DataFrame:
+    """Adds notes: why a restriction wasn't recommended, and what goes to a person whatever the score."""
+    status = F.col("restriction_status")
+    why = {
+        "low_confidence": "no restriction: the strongest signal is not sure enough for one",
+        "not_corroborated": "no restriction: a model alone says so, a moderator decides",
+        "needs_review": "no restriction: the classifier asks for a person",
+        "unavailable": "no restriction: the platform grants no way to restrict; protections of the user's own remain",
+        "recommended": "a temporary, reversible restriction, until a moderator has looked",
+    }
+    said = F.coalesce(*(F.when(status == k, F.lit(v)) for k, v in why.items()))
+    threat = F.when(F.array_contains("codes", "THREAT_LANGUAGE"), F.lit("threat: goes to a moderator whatever the score"))
+    return planned.withColumn("notes", F.filter(F.array(said, threat), lambda n: n.isNotNull()))
+
+
 def capability_notes(spark, capabilities: dict[str, str]) -> DataFrame:
     """(field, status, note): what is clean, and what was never looked at."""
     said = {"available": "looked at", "unavailable": "the platform gives no such feed", "unauthorized": "not authorised to read", "disabled": "switched off"}
     return spark.createDataFrame([(k, v, said.get(v, v)) for k, v in sorted(capabilities.items())], "field string, status string, note string")
+
+
+def with_capabilities(rows: DataFrame, capabilities: dict[str, str]) -> DataFrame:
+    """Adds capability_notes to every row: which inputs were looked at, and which never were."""
+    notes = [f"{r[0]}: {r[2]}" for r in capability_notes(rows.sparkSession, capabilities).collect()]
+    return rows.withColumn("capability_notes", F.array(*map(F.lit, notes)).cast("array<string>"))

@@ -40,15 +40,19 @@ def contributions(signals: DataFrame, c: RiskConfig) -> DataFrame:
     return rows.withColumn("applied", applied)
 
 
+#: Signals in which a model's verdict may have a part.
+_BY_MODEL = "^(ABUSE_|THREAT_)"
+
+
 def score_signals(signals: DataFrame, c: RiskConfig) -> DataFrame:
-    """One row for each event with signals: score and level without history."""
+    """One row for each event with signals: score and level without history; deterministic_only if rules alone gave them."""
     by = contributions(signals, c).groupBy("user_id", "room_id", "event_id", "at_ms", "seq").agg(
         F.sum("applied").alias("signal_total"), F.max("confidence").alias("peak_confidence"), F.count("*").alias("n_contributions"), F.collect_set("code").alias("codes"),
         F.collect_list(F.struct((-F.col("applied")).alias("order"), "code", "weight", M.half_up(F.col("applied"), 2).alias("applied"), "confidence")).alias("parts"),
     )
     parts = F.transform(F.array_sort("parts"), lambda p: F.struct(p["code"].alias("code"), p["weight"].alias("weight"), p["applied"].alias("applied"), p["confidence"].alias("confidence")))
     score = M.half_up(M.clamp(F.col("signal_total"), 0, 100)).cast("int")
-    return by.withColumns({"contributions": parts, "codes": F.array_sort("codes"), "score": score}).withColumn("level", level_of(F.col("score"), c)).drop("parts")
+    return by.withColumns({"contributions": parts, "codes": F.array_sort("codes"), "score": score, "deterministic_only": ~F.exists("codes", lambda x: x.rlike(_BY_MODEL))}).withColumn("level", level_of(F.col("score"), c)).drop("parts")
 
 
 class History:

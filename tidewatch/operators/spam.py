@@ -19,12 +19,18 @@ def is_content() -> Column:
     return F.col("event_type").isin("message", "voice")
 
 
+def distinct_messages(events: DataFrame) -> DataFrame:
+    """(key, message): each message once. The key, a digest, is what messages are joined by; texts are as long as they like."""
+    return events.filter("message IS NOT NULL").groupBy(F.md5("message").alias("key")).agg(F.first("message").alias("message"))
+
+
 def with_text_features(events: DataFrame) -> DataFrame:
     """Adds normalized, fp and mentions; the forms come from distinct messages, since many are sent again and again."""
-    said = events.select("message").filter("message IS NOT NULL").distinct()
+    said = distinct_messages(events)
     said = said.withColumn("forms", T.unicode_forms("message")).withColumn("normalized", T.finish_match(F.col("forms.folded")))
-    said = said.select("message", "forms", "normalized", T.fingerprint_of(F.col("normalized")).alias("fp"), T.count_mentions(F.col("message")).alias("mentions"))
-    return events.join(said, "message", "left").select(*events.columns, "forms", "normalized", "fp", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    said = said.select("key", "forms", "normalized", T.fingerprint_of(F.col("normalized")).alias("fp"), T.count_mentions(F.col("message")).alias("mentions"))
+    rows = events.withColumn("key", F.md5("message")).join(said, "key", "left")
+    return rows.select(*events.columns, "forms", "normalized", "fp", F.coalesce("mentions", F.lit(0)).alias("mentions"))
 
 
 def with_rates(events: DataFrame, c: SpamConfig) -> DataFrame:
@@ -73,9 +79,10 @@ def with_repeats(events: DataFrame, c: SpamConfig) -> DataFrame:
     one = F.when(is_content() & F.col("fp").isNotNull(), 1).otherwise(0)
     number = F.row_number().over(W.partitionBy("user_id").orderBy("at_ms", "seq"))
     numbered = events.withColumn("number", number)
-    by_time = trailing_sum(one, c.horizon_ms, ["user_id", "fp"])
-    by_rows = F.sum(one).over(W.partitionBy("user_id", "fp").orderBy("number").rangeBetween(-c.max_window_events, 0))
-    return numbered.withColumn("n_same", F.when(one == 1, F.least(by_time, by_rows)).otherwise(0)).drop("number")
+    numbered = numbered.withColumn("key", F.md5("fp"))
+    by_time = trailing_sum(one, c.horizon_ms, ["user_id", "key"])
+    by_rows = F.sum(one).over(W.partitionBy("user_id", "key").orderBy("number").rangeBetween(-c.max_window_events, 0))
+    return numbered.withColumn("n_same", F.when(one == 1, F.least(by_time, by_rows)).otherwise(0)).drop("number", "key")
 
 
 def identical_repeat(repeated: DataFrame, c: SpamConfig) -> DataFrame:
@@ -87,21 +94,28 @@ def identical_repeat(repeated: DataFrame, c: SpamConfig) -> DataFrame:
 
 
 def near_duplicate(repeated: DataFrame, c: SpamConfig, identical: DataFrame | None = None) -> DataFrame:
-    """Earlier events of a user in the horizon whose fingerprints are alike but need not be equal. Distinct pairs of
-    fingerprints are scored once; a size filter goes before the score."""
-    content = repeated.filter(is_content() & (T.utf16_length(F.col("fp")) >= c.near_duplicate_min_length)).withColumn("bucket", F.floor(F.col("at_ms") / c.horizon_ms))
-    now = content.select("user_id", "room_id", "event_id", "at_ms", "seq", "fp", F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"))
-    then = content.select(F.col("user_id").alias("u"), F.col("at_ms").alias("t"), F.col("seq").alias("q"), F.col("fp").alias("g"), F.col("bucket").alias("b"))
-    near = (F.col("user_id") == F.col("u")) & (F.col("bucket") == F.col("b")) & (F.col("t") >= F.col("at_ms") - c.horizon_ms)
-    before = (F.col("t") < F.col("at_ms")) | ((F.col("t") == F.col("at_ms")) & (F.col("q") < F.col("seq")))
-    pairs = now.join(then, near & before)
-    texts = repeated.filter("fp IS NOT NULL").select("fp").distinct().withColumn("again", T.normalize_for_match(F.col("fp")))
-    texts = texts.select("fp", T.trigrams(F.col("again")).alias("grams"))
-    kinds = pairs.select("fp", "g").distinct().join(texts, "fp").join(texts.select(F.col("fp").alias("g"), F.col("grams").alias("h")), "g")
-    a, b = F.size("grams"), F.size("h")
-    alike = kinds.filter(F.least(a, b) >= c.near_duplicate_similarity * F.greatest(a, b))
-    alike = alike.filter((F.col("fp") == F.col("g")) | (T.similarity(F.col("grams"), F.col("h")) >= c.near_duplicate_similarity)).select("fp", "g")
-    found = pairs.join(alike, ["fp", "g"]).groupBy("user_id", "room_id", "event_id", "at_ms", "seq").agg((F.count("*") + 1).alias("n"))
+    """Earlier events of a user in the horizon, among the last capped ones, whose fingerprints are alike but need not be equal.
+    Events are paired by blocks of their numbers, so that one has two blocks of partners at most, however busy its user is.
+    Distinct pairs of fingerprints are scored once; a size filter goes before the score."""
+    most = c.max_window_events
+    number = F.row_number().over(W.partitionBy("user_id").orderBy("at_ms", "seq"))
+    numbered = repeated.select("user_id", "room_id", "event_id", "event_type", "at_ms", "seq", "fp", number.alias("number"))
+    content = numbered.filter(is_content() & (T.utf16_length(F.col("fp")) >= c.near_duplicate_min_length))
+    content = content.withColumns({"key": F.md5("fp"), "block": F.floor(F.col("number") / most)})
+    now = content.select("user_id", "room_id", "event_id", "at_ms", "seq", "key", "number", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block"))
+    then = content.select(F.col("user_id").alias("u"), F.col("at_ms").alias("t"), F.col("number").alias("q"), F.col("key").alias("other"), F.col("block").alias("b"))
+    near = (F.col("user_id") == F.col("u")) & (F.col("block") == F.col("b")) & (F.col("t") >= F.col("at_ms") - c.horizon_ms)
+    pairs = now.join(then, near & F.col("q").between(F.col("number") - most, F.col("number") - 1))
+    texts = content.groupBy("key").agg(F.first("fp").alias("fp")).withColumn("again", T.normalize_for_match(F.col("fp")))
+    texts = texts.select("key", T.trigrams(F.col("again")).alias("grams"))
+    sizes = texts.select("key", F.size("grams").alias("size"))
+    kinds = pairs.select("key", "other").distinct().join(sizes, "key").join(sizes.select(F.col("key").alias("other"), F.col("size").alias("size2")), "other")
+    a, b = F.col("size"), F.col("size2")
+    kinds = kinds.filter((F.col("key") == F.col("other")) | (F.least(a, b) >= c.near_duplicate_similarity * F.greatest(a, b))).select("key", "other")
+    other = texts.select(F.col("key").alias("other"), F.col("grams").alias("h"))
+    kinds = kinds.join(texts, "key").join(other, "other")
+    alike = kinds.filter((F.col("key") == F.col("other")) | (T.similarity(F.col("grams"), F.col("h")) >= c.near_duplicate_similarity)).select("key", "other")
+    found = pairs.join(alike, ["key", "other"]).groupBy("user_id", "room_id", "event_id", "at_ms", "seq").agg((F.count("*") + 1).alias("n"))
     if identical is not None:
         found = found.join(identical.select("event_id"), "event_id", "left_anti")
     n = F.col("n")

@@ -31,13 +31,39 @@ class Limits:
     content_allowed: bool = True
 
 
+#: A valid id.
+ID = r"^[A-Za-z0-9_.:@-]+$"
+
+
+def with_fields(raw: DataFrame) -> DataFrame:
+    """Adds v (the row as a variant), and kinds and texts of the fields, each read once."""
+    rows = raw.withColumn("v", F.try_parse_json("raw"))
+    kinds = F.struct(*(F.schema_of_variant(F.variant_get("v", f"$.{f}", "variant")).alias(f) for f in FIELDS))
+    texts = F.struct(*(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in FIELDS if f != "metadata"))
+    return rows.withColumns({"kinds": kinds, "texts": texts})
+
+
 def _kind(path: str) -> Column:
     """The JSON type of a field; null if it is absent, VOID if it is null."""
-    return F.schema_of_variant(F.variant_get("v", f"$.{path}", "variant"))
+    return F.col(f"kinds.{path}")
 
 
 def _text(path: str) -> Column:
-    return F.try_variant_get("v", f"$.{path}", "string")
+    return F.col(f"texts.{path}")
+
+
+def _metadata() -> Column:
+    return F.coalesce(F.try_variant_get("v", "$.metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def clean_metadata() -> Column:
+    """The metadata with its types; strings without what doesn't show."""
+    meta = _metadata()
+    values = F.map_values(meta)
+    strings = F.transform(values, lambda x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")))
+    cleaned = F.transform(T.nfkc_all(strings), T.visible)
+    back = lambda x, s: F.when(s.isNull(), x).otherwise(F.variant_get(F.parse_json(F.to_json(F.array(s))), "$[0]", "variant"))
+    return F.when(_kind("metadata").startswith("OBJECT"), F.map_from_arrays(F.map_keys(meta), F.zip_with(values, cleaned, back)))
 
 
 def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
@@ -50,7 +76,7 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
     for field in ("userId", "roomId"):
         s, kind = _text(field), _kind(field)
         none = kind.isNull() | (kind != "STRING") | (s == "")
-        found.append(F.coalesce(one(none, field, "MISSING"), one(F.length(s) > limits.id_length, field, "TOO_LONG"), one(~s.rlike(r"^[A-Za-z0-9_.:@-]+$"), field, "BAD_CHARACTERS")))
+        found.append(F.coalesce(one(none, field, "MISSING"), one(F.length(s) > limits.id_length, field, "TOO_LONG"), one(~s.rlike(ID), field, "BAD_CHARACTERS")))
     s, at = _text("timestamp"), F.unix_millis(F.try_to_timestamp(_text("timestamp")))
     found.append(F.coalesce(one(_kind("timestamp").isNull() | (_kind("timestamp") != "STRING"), "timestamp", "MISSING"), one(at.isNull(), "timestamp", "UNPARSABLE"), one(at > now_ms + limits.max_future_ms, "timestamp", "IN_FUTURE"), one(at < now_ms - limits.max_age_ms, "timestamp", "TOO_OLD")))
     found.append(one(~F.coalesce(_text("eventType").isin(*TYPES), F.lit(False)), "eventType", "NOT_ALLOWED"))
@@ -62,7 +88,7 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
     kind = _kind("messageIsTranscript")
     found.append(one(kind.isNotNull() & ~kind.isin("BOOLEAN", "VOID"), "messageIsTranscript", "BAD_TYPE"))
     kind = _kind("metadata")
-    meta = F.coalesce(F.try_variant_get("v", "$.metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    meta = _metadata()
     keys = F.map_keys(meta)
     values = F.transform(F.map_values(meta), lambda x: F.struct(F.schema_of_variant(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("s")))
     bad_value = F.exists(values, lambda x: ~x["kind"].rlike("^(STRING|BIGINT|DOUBLE|DECIMAL.*|BOOLEAN|VOID)$") | ((x["kind"] == "STRING") & (F.length(x["s"]) > limits.metadata_value_length)))
@@ -70,8 +96,6 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
         one(kind.isNotNull() & ~kind.startswith("OBJECT") & (kind != "VOID"), "metadata", "BAD_TYPE"), one(F.size(keys) > limits.metadata_keys, "metadata", "TOO_MANY_KEYS"),
         one(F.exists(keys, lambda k: k.isin(*FORBIDDEN_KEYS)), "metadata", "FORBIDDEN_KEY"), one(F.exists(keys, lambda k: ~k.rlike(rf"^[A-Za-z0-9_.-]{{1,{limits.metadata_key_length}}}$")), "metadata", "BAD_KEY"), one(bad_value, "metadata", "BAD_VALUE"),
     ))
-    id_kind = _kind("eventId")
-    found.append(one(id_kind.isNotNull() & (id_kind != "VOID") & ((id_kind != "STRING") | (F.length(_text("eventId")) > limits.id_length) | ~F.coalesce(_text("eventId"), F.lit("")).rlike(r"^[A-Za-z0-9_.:@-]+$")), "eventId", "BAD_CHARACTERS"))
     whole = F.concat(F.coalesce(extra, F.array().cast("array<struct<field:string,code:string>>")), some(*found))
     issues = F.when(is_object, whole).otherwise(F.array(F.struct(F.lit("").alias("field"), F.lit("NOT_AN_OBJECT").alias("code"))))
     platform = _text("platform")
@@ -84,8 +108,9 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
 
 def validate(raw: DataFrame, now_ms: Column, limits: Limits = Limits()) -> DataFrame:
     """raw: batch_id, idx, raw. Adds issues, warnings and the fields of a valid event; of valid rows that share an id in a
-    batch the first stays, the others get DUPLICATE_IN_BATCH. Accepted rows are those without issues."""
-    rows = raw.withColumn("v", F.try_parse_json("raw"))
+    batch the first stays, the others get DUPLICATE_IN_BATCH. An id that isn't a good one is derived from the event, as a
+    missing one is. Accepted rows are those without issues."""
+    rows = with_fields(raw)
     issues, warnings = issues_of(now_ms, limits)
     rows = rows.withColumns({"issues": issues, "warnings": warnings})
     at = F.unix_millis(F.try_to_timestamp(_text("timestamp")))
@@ -94,10 +119,12 @@ def validate(raw: DataFrame, now_ms: Column, limits: Limits = Limits()) -> DataF
     clean = F.nullif(T.sanitize_visible(F.col("said")), F.lit(""))
     rows = rows.withColumn("message", clean).withColumns({
         "client_version": F.nullif(F.trim(_text("clientVersion")), F.lit("")), "platform": F.when(_text("platform").isin(*PLATFORMS), _text("platform")).otherwise("unknown"),
-        "is_transcript": F.coalesce(F.try_variant_get("v", "$.messageIsTranscript", "boolean"), F.lit(False)), "metadata": F.try_variant_get("v", "$.metadata", "map<string,string>"),
+        "is_transcript": F.coalesce(F.try_variant_get("v", "$.messageIsTranscript", "boolean"), F.lit(False)), "metadata": clean_metadata(),
     })
     derived = H.event_id(F.col("event_type"), F.col("message"), F.col("room_id"), stamp, F.col("user_id"))
-    rows = rows.withColumn("event_id", F.coalesce(_text("eventId"), derived)).drop("said", "v")
+    own = _text("eventId")
+    given = F.when((_kind("eventId") == "STRING") & (F.length(own) <= limits.id_length) & own.rlike(ID), own)
+    rows = rows.withColumn("event_id", F.coalesce(given, derived)).drop("said", "v", "kinds", "texts")
     good = F.size("issues") == 0
     order = F.row_number().over(W.partitionBy("batch_id", "event_id", good).orderBy("idx"))
     again = F.array(F.struct(F.lit("eventId").alias("field"), F.lit("DUPLICATE_IN_BATCH").alias("code")))
