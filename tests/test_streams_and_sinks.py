@@ -61,7 +61,7 @@ def test_envelopes_and_validation(spark):
         (good, []), (good, ["DUPLICATE_IN_BATCH"]), ({**good, "userId": "x" * 129}, ["TOO_LONG"]), ({**good, "roomId": 5}, ["MISSING"]), ({**good, "timestamp": "2026-03-09T12:00:00Z"}, ["IN_FUTURE"]),
         ({**good, "timestamp": "2026-02-01T12:00:00Z"}, ["TOO_OLD"]), ({**good, "eventType": "x"}, ["NOT_ALLOWED"]), ({**good, "message": 5}, ["BAD_TYPE"]), ({**good, "message": "x" * 4001}, ["TOO_LONG"]),
         ({**good, "metadata": [1]}, ["BAD_TYPE"]), ({**good, "metadata": {"a b": 1}}, ["BAD_KEY"]), ({**good, "metadata": {"a": {"b": 1}}}, ["BAD_VALUE"]), ({**good, "metadata": {"constructor": 1}}, ["FORBIDDEN_KEY"]),
-        ({**good, "metadata": {f"k{i}": i for i in range(26)}}, ["TOO_MANY_KEYS"]), ({**good, "messageIsTranscript": "yes"}, ["BAD_TYPE"]), ({**good, "zzz": 1, "eventId": "!"}, ["UNKNOWN_FIELD", "BAD_CHARACTERS"]), ({**good, "eventId": "own", "metadata": {"a": 1, "b": "x", "c": True}}, []),
+        ({**good, "metadata": {f"k{i}": i for i in range(26)}}, ["TOO_MANY_KEYS"]), ({**good, "messageIsTranscript": "yes"}, ["BAD_TYPE"]), ({**good, "zzz": 1, "eventId": "!"}, ["UNKNOWN_FIELD"]), ({**good, "eventId": "own", "metadata": {"a": 1, "b": "x", "c": True}}, []),
     ]
     raw = spark.createDataFrame([(1, i, json.dumps(e)) for i, (e, _) in enumerate(cases)] + [(2, 0, "[]"), (2, 1, "nonsense")], "batch_id long, idx int, raw string")
     done = validation.validate(raw, F.lit(1_772_366_400_000))
@@ -95,3 +95,29 @@ def test_sinks(spark, tmp_path):
     sinks.upsert(spark.createDataFrame([("i1", START + 86_400_000, 9)], inc.schema), f"{tmp_path}/i", "incident_id", "updated_ms")
     assert {r.incident_id: r.score for r in spark.read.parquet(f"{tmp_path}/i").collect()} == {"i1": 9, "i2": 1}
     spark.range(1).select(sinks.expiry_stamp(F.lit(1500), 1).alias("s")).first().s == 86_401
+
+
+def test_detectors_as_a_stream(spark, tmp_path):
+    """The same signals as one batch over everything, also if a micro-batch is written twice."""
+    import random
+
+    from tidewatch.config import resolve
+
+    random.seed(8)
+    c = resolve({"client": {"known_versions": ["4.2.1"], "min_telemetry_events": 3}})
+    rows = [{"at_ms": START + i * 700, "user_id": random.choice("AB"), "event_type": random.choice(["message", "message", "join", "leave"]), "message": random.choice(["buy gold now", "hello to all", None]), "client_version": random.choice(["4.2.1", "4.2.2", "4.3.0"])} for i in range(150)]
+    df = events(spark, rows)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    detect = P.user_detectors(c)
+    key = lambda r: (r.event_id, r.code, r.severity, r.confidence)
+    want = sorted(key(r) for r in detect(df).collect())
+    write = P.detect_batches(f"file://{tmp_path}/state", detect, c.spam.horizon_ms)
+    for i in range(3):
+        df.filter((F.col("seq") >= 50 * i) & (F.col("seq") < 50 * i + 50)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    live = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    q = live.writeStream.foreachBatch(write).option("checkpointLocation", f"file://{tmp_path}/check").start()
+    q.processAllAvailable()
+    q.stop()
+    write(df.filter("seq >= 100"), 2)  # once more
+    got = sorted(key(r) for r in spark.read.parquet(f"file://{tmp_path}/state/signals").collect())
+    assert got == want and len({k[1] for k in want}) >= 4

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -10,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import Config, RiskConfig
+from tidewatch.operators import client, evasion, spam
 from tidewatch.operators.risk import History
+from tidewatch.sources.shared import materialise, working_tables
+from tidewatch.sources.sinks import existing, with_day
 
 LATE = "10 minutes"
 
@@ -68,3 +72,38 @@ def with_restrictions(events: DataFrame, restrictions: DataFrame, window_ms: int
     late = F.col("at_ms") - F.col("applied_ms")
     inside = (F.col("user_id") == F.col("r_user")) & (late > 0) & (late <= window_ms) & (F.col("expires_ms").isNull() | (F.col("at_ms") < F.col("expires_ms"))) & (F.col("r_room").isNull() | (F.col("r_room") == F.col("room_id")))
     return events.filter(F.col("event_type").isin("message", "voice")).join(feed, inside)
+
+
+def user_detectors(c: Config) -> Callable[[DataFrame], DataFrame]:
+    """All spam, client and rejoin detectors of the batch library; each looks back along one user's events alone."""
+
+    def detect(events: DataFrame) -> DataFrame:
+        parts = [spam.all_signals(events, c.spam), client.all_signals(events, c.client, c.spam.horizon_ms), evasion.rejoin_cycling(events, c.evasion)]
+        return reduce(DataFrame.unionByName, parts)
+
+    return detect
+
+
+def detect_batches(folder: str, detect: Callable[[DataFrame], DataFrame], horizon_ms: int) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: runs batch detectors on a stream. Each micro-batch is judged together with what its users did in the
+    horizon before it, which is read from the event table that this keeps (by day, and only those days), and the signals of
+    its own events are written. A batch that is written again replaces itself. What detectors may look back on is all in the
+    horizon, so signals are those of one batch over everything, as long as events come in time order between batches."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        with working_tables(spark):
+            own = materialise(with_day(batch.withColumn("batch_id", F.lit(batch_id))), "stream-batch")
+            low = own.agg(F.min("at_ms")).first()[0]
+            if low is None:
+                return
+            since = F.date_format(F.timestamp_millis(F.lit(low - horizon_ms)), "yyyy-MM-dd")
+            before = existing(spark, f"{folder}/events", own).filter((F.col("dt") >= since) & (F.col("at_ms") >= low - horizon_ms) & (F.col("batch_id") < batch_id))
+            known = before.join(own.select("user_id").distinct(), "user_id", "left_semi")
+            found = detect(known.select(*own.columns).unionByName(own).drop("batch_id", "dt"))
+            found = found.join(own.select("event_id"), "event_id", "left_semi").withColumn("batch_id", F.lit(batch_id))
+            replace = lambda rows, name, *by: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
+            replace(found, "signals", "batch_id")
+            replace(own, "events", "dt", "batch_id")
+
+    return write
