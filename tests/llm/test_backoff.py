@@ -52,3 +52,18 @@ def test_query_counts_trigrams(spark, sf):
     want = sorted((r[0], *b) for r, b in zip(rows, brute(rows, 3)))
     got = sorted((r.doc_id, r.n_words, r.score) for r in queries.op7_stupid_backoff(spark, sf).collect())
     assert len(got) == len(want) and all(g[:2] == w[:2] and (g[2] or 0) == pytest.approx(w[2] or 0, abs=1e-8) for g, w in zip(got, want))
+
+
+def test_many_blocks_prefixes_and_repeated_rows(spark, monkeypatch):
+    """Small blocks and many prefixes, of more bits than six bytes leave; a row repeated thousands of times."""
+    import random
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(40)]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(30)))) for i in range(200)] + [(7777, "once upon a time there was a row")] * 3000
+    want = sorted((r[0], *b) for r, b in zip(rows, brute(rows, 3)))
+    monkeypatch.setattr(backoff, "BLOCK_BYTES", 2000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7).cache()
+    for bits in (None, 12, 18):
+        got = sorted((r.doc_id, r.n_words, r.score) for r in backoff.score(df, 3, prefix_bits=bits).collect())
+        assert len(got) == len(want) and all(g[:2] == w[:2] and (g[2] or 0) == pytest.approx(w[2] or 0, abs=1e-8) for g, w in zip(got, want))

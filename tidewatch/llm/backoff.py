@@ -5,12 +5,16 @@ score with the context's first word left out; a single word scores c(word) / N,
 seen once. Counts leave out the scored document itself, else every n-gram of it would be known. A document's score is the
 mean natural logarithm over its words.
 
-N-grams are 57-bit hashes. Documents fall into blocks by hash; each block's distinct n-grams with counts go to the count
-tables, dealt out by hash prefix, packed into one array for each block and prefix. Equal hashes meet there, are summed, and
-the sums go back to their blocks in the same order, where they are joined to the documents' n-grams and summed per
-document. So each distinct n-gram of a block crosses the network once, however often it occurs; a frequent one adds at most
-a row for each block. There are as many blocks as the texts' bytes ask for, so that a block fits a task's memory.
-Documents cross twice, to be counted and to be scored, packed by block and compressed.
+N-grams are hashes. Documents fall into blocks by hash; each block's distinct n-grams with counts go to the count tables,
+dealt out by hash prefix, packed into one row for each block and prefix. Equal hashes meet there, are summed, and the sums go
+back to their blocks in the same order, where they are joined to the documents' n-grams and summed per document. So each
+distinct n-gram of a block crosses the network once, however often it occurs; a frequent one adds at most a row for each
+block. There are as many blocks and as many prefixes as the texts' bytes ask for, so that a block and a prefix each fit a
+task's memory at any size; there are never more rows than n-grams, as empty ones aren't sent. A prefix and the 48 bits after
+it tell n-grams apart (64 bits in all at most): among N distinct ones some N^2 / 2^(49 + bits) pairs are taken for one another.
+
+Documents cross twice, to be counted and to be scored, packed by block and compressed. A document repeated in a batch crosses
+once with its number of copies, so that a row that is repeated millions of times doesn't fill its block.
 
 Words are A-Z lower-cased runs of other characters than space and \\x09-\\x0D. Null and empty texts have no word and a null
 score. Repeated rows count as documents of their own. An empty table gives an empty result. Further columns are ignored.
@@ -29,13 +33,14 @@ from tidewatch.llm._common import materialise
 from tidewatch.llm.quality import forget_words, word_hashes
 
 ALPHA = 0.4
-#: Bits of the hash by which the count tables are dealt out; more where a table's part would outgrow a task. The next 48
-#: bits are sent in six bytes.
-PREFIX_BITS = 9
+#: Bytes of text whose n-grams of one length share a hash prefix, and the least bits of it. The next 48 bits are sent in six
+#: bytes.
+PREFIX_BYTES = 1 << 20
+PREFIX_BITS = 4
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)  # fixed, so that every block hashes alike
 
 
-def block_grams(texts: list[bytes | None], order: int, bits: int = PREFIX_BITS) -> tuple[np.ndarray, list[np.ndarray]]:
+def block_grams(texts: list[bytes | None], order: int, bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Document number of each word, and for each length up to order the n-gram that ends at each word (zero where the
     document has too few words before it)."""
     hashes = [word_hashes(t.lower()) if t else np.zeros(0, np.uint64) for t in texts]
@@ -48,7 +53,7 @@ def block_grams(texts: list[bytes | None], order: int, bits: int = PREFIX_BITS)
         whole = doc[k:] == doc[:-k]
         g[k:][whole] = _mixed(grams[-1][k - 1 : -1] * np.uint64(3) + words[k:])[whole] if k > 1 else _mixed(_mixed(words[:-1]) * np.uint64(3) + words[1:])[whole]
         grams.append(g)
-    keep = np.uint64((1 << 64) - (1 << (16 - bits)))  # the bits that are sent
+    keep = np.uint64((1 << 64) - (1 << max(16 - bits, 0)))  # the bits that are sent
     return doc, [np.where(g == 0, g, np.maximum(g & keep, ~keep + np.uint64(1))) for g in grams]
 
 
@@ -76,7 +81,7 @@ def _parts(found: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 
 
 def _six_bytes(found: np.ndarray, bits: int) -> bytes:
-    low = (found >> np.uint64(16 - bits)) & np.uint64((1 << 48) - 1)
+    low = (found >> np.uint64(max(16 - bits, 0))) & np.uint64((1 << min(48, 64 - bits)) - 1)
     return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
@@ -86,33 +91,41 @@ def _from_six(data: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind))
+def _numbers(values: np.ndarray) -> bytes:
+    """Counts as compressed bytes of the least width; most are one."""
+    wide = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(values) or values.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(wide).itemsize]) + len(values).to_bytes(8, "little") + pa.compress(values.astype(wide).tobytes(), codec="zstd", asbytes=True)
+
+
+def _from_numbers(data: bytes) -> np.ndarray:
+    kind, n = np.dtype(f"u{data[0]}"), int.from_bytes(data[1:9], "little")
+    return np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, codec="zstd", asbytes=True), kind).astype(np.int64)
 
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def packed(docs: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
-    """(block, docs): ids and texts of a block's documents from one batch, as a compressed Arrow stream."""
+    """(block, docs): ids, texts and numbers of copies of a block's documents from one batch, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            block = batch.column("block").to_numpy()
+            rows = pa.Table.from_batches([batch]).group_by(["block", "id", "text"], use_threads=False).aggregate([([], "count_all")])
+            rows = rows.rename_columns(["block", "id", "text", "copies"])
+            block = rows.column("block").to_numpy()
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
-            rows = [(int(block[part[0]]), part) for part in np.split(order, cuts) if len(part)]
+            parts = [(int(block[part[0]]), part) for part in np.split(order, cuts) if len(part)]
             blobs = []
-            for _, part in rows:
+            for _, part in parts:
                 to = pa.BufferOutputStream()
-                own = batch.select(["id", "text"]).take(pa.array(part))
+                own = rows.select(["id", "text", "copies"]).take(pa.array(part))
                 with pa.ipc.new_stream(to, own.schema, options=options) as stream:
-                    stream.write_batch(own)
+                    stream.write_table(own)
                 blobs.append(to.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], ["block", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array(blobs, pa.binary())], ["block", "docs"])
 
     block = F.pmod(F.xxhash64(id_col, text_col), F.lit(n_blocks)).cast("int")
     return docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "block int, docs binary")
@@ -127,17 +140,20 @@ def own_grams(blocks: DataFrame, order: int, bits: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
-        _, grams = block_grams(_unpacked(rows.column("docs")).column("text").cast(pa.binary()).to_pylist(), order, bits)
+        own = _unpacked(rows.column("docs"))
+        copies = own.column("copies").to_numpy()
+        doc, grams = block_grams(own.column("text").cast(pa.binary()).to_pylist(), order, bits)
         out: list[tuple] = []
         for n, g in enumerate(grams, 1):
-            found, count, _ = distinct(g)
-            out += [(n, p, block, _six_bytes(found[at], bits), count[at]) for p, at in _parts(found, bits)]
+            found, count, at = distinct(g)
+            if (copies > 1).any():
+                there = at >= 0
+                count = np.bincount(at[there], copies[doc[there]], len(found)).astype(np.int64)
+            out += [(n, p, block, _six_bytes(found[part], bits), _numbers(count[part])) for p, part in _parts(found, bits)]
         columns = list(zip(*out)) or [[]] * 5
-        arrays = [pa.array(columns[i], pa.int32()) for i in range(3)]
-        counts = _lists([*columns[4], np.zeros(0, np.int64)], pa.int32())[: len(out)]
-        return pa.table([*arrays, pa.array(columns[3], pa.binary()), counts], ["n", "prefix", "block", "grams", "counts"])
+        return pa.table([pa.array(columns[i], pa.int32() if i < 3 else pa.binary()) for i in range(5)], ["n", "prefix", "block", "grams", "counts"])
 
-    return blocks.groupBy("block").applyInArrow(run, "n int, prefix int, block int, grams binary, counts array<int>")
+    return blocks.groupBy("block").applyInArrow(run, "n int, prefix int, block int, grams binary, counts binary")
 
 
 def totals(own: DataFrame) -> DataFrame:
@@ -145,13 +161,13 @@ def totals(own: DataFrame) -> DataFrame:
     occurrences are the block's own, summed."""
 
     def add_up(rows: list[tuple]) -> pa.RecordBatch:
-        grams, counts = [_from_six(r[3]) for r in rows], np.concatenate([r[4] for r in rows])
+        grams, counts = [_from_six(r[3]) for r in rows], [_from_numbers(r[4]) for r in rows]
         _, number = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(number, counts).astype(np.int64)[number]
-        cuts = np.cumsum([len(g) for g in grams])[:-1]
+        total = np.bincount(number, np.concatenate(counts)).astype(np.int64)[number]
+        parts = np.split(total, np.cumsum([len(g) for g in grams])[:-1])
         keys = [pa.array([r[i] for r in rows], pa.int32()) for i in range(3)]
-        own_sums = pa.array([int(c.sum()) for c in np.split(counts, cuts)], pa.int64())
-        return pa.RecordBatch.from_arrays([*keys, own_sums, _lists(np.split(total, cuts), pa.int64())], ["n", "prefix", "block", "occurrences", "totals"])
+        own_sums = pa.array([int(c.sum()) for c in counts], pa.int64())
+        return pa.RecordBatch.from_arrays([*keys, own_sums, pa.array([_numbers(t) for t in parts], pa.binary())], ["n", "prefix", "block", "occurrences", "totals"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -160,28 +176,30 @@ def totals(own: DataFrame) -> DataFrame:
                 if held and held[0][:2] != key[:2]:
                     yield add_up(held)
                     held = []
-                held.append((*key, batch.column("grams")[i].as_py(), batch.column("counts")[i].values.to_numpy()))
+                held.append((*key, batch.column("grams")[i].as_py(), batch.column("counts")[i].as_py()))
         if held:
             yield add_up(held)
 
     dealt = own.repartition("n", "prefix").sortWithinPartitions("n", "prefix", "block")
-    return dealt.mapInArrow(run, "n int, prefix int, block int, occurrences long, totals array<long>")
+    return dealt.mapInArrow(run, "n int, prefix int, block int, occurrences long, totals binary")
 
 
-def block_scores(texts: list[bytes | None], sums: list[np.ndarray], n_words: int, alpha: float = ALPHA, bits: int = PREFIX_BITS) -> tuple[np.ndarray, np.ndarray]:
+def block_scores(texts: list[bytes | None], sums: list[np.ndarray], n_words: int, alpha: float, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Words and mean log score of each text; sums: for each length the totals of the block's sorted n-grams."""
     doc, grams = block_grams(texts, len(sums), bits)
     words = np.bincount(doc, minlength=len(texts))
     others = []  # for each length, occurrences of the n-gram that ends at a place in other documents
     for g, total in zip(grams, sums):
-        found, _, at = distinct(g)
+        found, count, at = distinct(g)
         if len(found) != len(total):
             raise ValueError("a block was read otherwise than it was counted")
-        there = at >= 0
-        pair = at[there] * len(texts) + doc[there]
-        _, number, own = np.unique(pair, return_inverse=True, return_counts=True)
         left = np.zeros(len(g), np.int64)
-        left[there] = total[at[there]] - own[number]
+        once = at >= 0
+        left[once] = total[at[once]] - 1
+        # only what the block holds more than once may stand in its document again
+        again = np.flatnonzero(once)[count[at[once]] > 1]
+        _, number, own = np.unique(at[again] * len(texts) + doc[again], return_inverse=True, return_counts=True)
+        left[again] = total[at[again]] - own[number]
         others.append(left)
     n = np.maximum(n_words - words[doc], 1)
     score = np.log(np.maximum(others[0], 1) / n) + (len(sums) - 1) * np.log(alpha)
@@ -198,25 +216,25 @@ def block_scores(texts: list[bytes | None], sums: list[np.ndarray], n_words: int
         return words, total / words
 
 
-def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prefix_bits: int = PREFIX_BITS) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prefix_bits: int | None = None) -> DataFrame:
     """(id, n_words, score) for every row."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     n_blocks = n_bytes // BLOCK_BYTES + 1
+    bits = prefix_bits or max(PREFIX_BITS, (n_bytes // PREFIX_BYTES).bit_length())
     blocks = packed(docs, n_blocks, id_col, text_col)
-    sums = materialise(totals(own_grams(blocks, order, prefix_bits)), "ngram-totals")
+    sums = materialise(totals(own_grams(blocks, order, bits)), "ngram-totals")
     n_words = sums.filter("n = 1").agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
-    kind = pa.int64()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         own = _unpacked(left.column("docs"))
-        texts = own.column("text").cast(pa.binary()).to_pylist()
         of: list[list] = [[] for _ in range(order)]
         for n, prefix, t in sorted(zip(right.column("n").to_pylist(), right.column("prefix").to_pylist(), range(right.num_rows))):
-            of[n - 1].append(right.column("totals")[t].values.to_numpy())
-        words, mean = block_scores(texts, [np.concatenate([*x, np.zeros(0, np.int64)]) for x in of], n_words, alpha, prefix_bits)
-        return pa.table({"id": own.column("id"), "n_words": pa.array(words, kind), "score": pa.array(np.round(mean, 9), pa.float64(), mask=words == 0)})
+            of[n - 1].append(_from_numbers(right.column("totals")[t].as_py()))
+        words, mean = block_scores(own.column("text").cast(pa.binary()).to_pylist(), [np.concatenate([*x, np.zeros(0, np.int64)]) for x in of], n_words, alpha, bits)
+        each = np.repeat(np.arange(own.num_rows), own.column("copies").to_numpy())
+        words, mean = words[each], np.round(mean, 9)[each]
+        return pa.table({"id": own.column("id").take(pa.array(each)), "n_words": pa.array(words, pa.int64()), "score": pa.array(mean, pa.float64(), mask=words == 0)})
 
     id_kind = dict(docs.dtypes)[id_col]
-    scored = blocks.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(run, f"id {id_kind}, n_words long, score double")
+    scored = blocks.groupBy("block").cogroup(sums.select("block", "n", "prefix", "totals").groupBy("block")).applyInArrow(run, f"id {id_kind}, n_words long, score double")
     return scored.withColumnRenamed("id", id_col)
-
