@@ -41,3 +41,40 @@ def test_broken_archives():
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def independent_records(data):
+    """Records by another way: gzip members one by one, header lines by http.client."""
+    import http.client
+    import zlib
+
+    while data:
+        z = zlib.decompressobj(31)
+        raw = io.BytesIO(z.decompress(data))
+        data = z.unused_data
+        assert raw.readline() == b"WARC/1.1\r\n"
+        head = http.client.parse_headers(raw)
+        block = raw.read(int(head["Content-Length"]))
+        assert raw.read() == b"\r\n\r\n"
+        inner = io.BytesIO(block)
+        assert inner.readline() == b"HTTP/1.1 200 OK\r\n" and head["Content-Type"] == "application/http; msgtype=response"
+        http_head = http.client.parse_headers(inner)
+        yield head, http_head, inner.read()
+
+
+def test_archives_by_an_independent_parser(spark):
+    import base64
+
+    pages = spark.createDataFrame([(*r, "mine", "too") for r in ROWS], "page_id long, url string, html string, digest string, _first string")
+    files = warc.write(pages, fresh_path(spark, "warc")).collect()
+    records = [r for f in files for r in independent_records(open(urllib.parse.urlparse(f.path).path, "rb").read())]
+    assert len(records) == len(ROWS) == sum(f.records for f in files)
+    ids = {h["WARC-Record-ID"] for h, _, _ in records if h["WARC-Type"] == "response"}
+    bodies = sorted(b for h, _, b in records if h["WARC-Type"] == "response")
+    assert bodies == sorted((t or "").encode() for i, _, t in ROWS if i != 1)
+    for head, http_head, body in records:
+        if head["WARC-Type"] == "revisit":
+            assert not body and head["WARC-Refers-To"] in ids and head["X-Refers-To-Page-Id"] == "2" and int(http_head["Content-Length"]) == 3000
+        else:
+            assert int(http_head["Content-Length"]) == len(body)
+            assert base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")) == hashlib.sha1(body).digest()

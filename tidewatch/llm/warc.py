@@ -1,16 +1,18 @@
 """WARC archives as a chunked record table.
 
-Every record is streamed as rows (record id, chunk number, bytes); a payload of any size is cut into chunks of fixed size,
-and each row carries the length so far, the last one the digest that was built up on the way. Neither writing nor reading
-ever holds a whole archive, and reading never a whole record. Archives are WARC/1.1 files of one gzip member per record, so that any
-reader can start at a record.
+Payloads are streamed as rows (record id, chunk number, bytes) from the source on: Spark cuts a payload into chunks of fixed
+size, a task writes chunk after chunk and builds the record's digest up on the way. Reading gives such rows again, each with
+the length so far, the last one with the digest. Neither writing nor reading ever holds a whole record or archive in Python.
+Archives are WARC/1.1 files of one gzip member per record, so that any reader can start at a record; responses hold an HTTP
+header before the payload, as readers of http records expect it, and digests are of the payload alone.
 
 Equal payloads of at least ``revisit_bytes`` are stored once: the row with the largest id is the response, the others
-become revisit records that name it. Smaller payloads are all responses.
+become revisit records that name it. Smaller payloads are all responses. Which payloads are equal is decided on digests
+made in Spark; the digest that a task builds up has to be the same one.
 
 Null and empty payloads are records of length zero. A row without id gets a record too, but is never a revisit nor named
 by one. Rows that repeat an id and payload are all responses if the id is the largest, and revisits of it otherwise. An
-empty table writes no file. Further columns are ignored.
+empty table writes no file. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,61 +55,92 @@ CHUNKS = T.StructType(
 )
 
 
-def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Adds _digest, record_type and refers_to. Payloads stay where they are: only digests and ids are shuffled."""
-    payload = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.withColumn("_digest", F.sha1(payload.cast("binary")))
-    large = rows.filter((F.octet_length(payload) >= revisit_bytes) & F.col(id_col).isNotNull())
-    copies = large.groupBy("_digest").agg(F.max(id_col).alias("_first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES, url_col: str = "url") -> DataFrame:
+    """(id, url, payload, digest, record_type, refers_to, refers_url). Payloads stay where they are: only digests, ids and
+    urls of large ones are shuffled."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload"))
+    large = rows.filter((F.octet_length("payload") >= revisit_bytes) & F.col("id").isNotNull())
+    copies = large.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = materialise(copies, "payload-copies")
     few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
-    rows = rows.join(F.broadcast(copies) if few else copies, "_digest", "left")
-    again = (F.col("_first") > F.col(id_col)) & F.col(id_col).isNotNull()
-    return rows.withColumns({"record_type": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("_first"))}).drop("_first")
+    rows = rows.join(F.broadcast(copies) if few else copies, "digest", "left")
+    again = F.coalesce(F.col("first.id") > F.col("id"), F.lit(False))
+    return rows.select("id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"))
 
 
 def _record_id(page_id: int | None, url: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {url} {digest}')}>"
 
 
-def _head(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, size: int, date: str) -> bytes:
-    """The header block; what it says of the payload is of the full one, for revisits too."""
-    said = "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
+def _uri(url: str | None) -> str:
+    return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
+
+
+def _http_head(size: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+
+
+def _head(page_id: int | None, url: str | None, digest: str, kind: str, refers_to: int | None, refers_url: str | None, size: int, date: str) -> bytes:
+    """The header block and, of a response, the HTTP header; what they say of the payload is of the full one, for revisits too."""
+    http = _http_head(size)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {_record_id(page_id, url, digest)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {said}",
+        f"WARC-Target-URI: {_uri(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
         f"X-Payload-Length: {size}",
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {size if kind == 'response' else 0}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(http) + (size if kind == 'response' else 0)}",
     ]
     if kind == "revisit":
-        lines[5:5] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
-    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8")
+        lines[5:5] = [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, refers_url, digest)}",
+            f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"X-Refers-To-Page-Id: {refers_to}",
+        ]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + http
 
 
-class _Counted:
-    """Writes through to a file and counts."""
+class _Archive:
+    """A file of one gzip member per record, written chunk by chunk under a passing name."""
 
-    def __init__(self, to):
-        self.to, self.at = to, 0
+    def __init__(self, fs: pafs.FileSystem, name: str, level: int):
+        self.fs, self.name, self.level, self.records, self.at = fs, name, level, 0, 0
+        self.out = fs.open_output_stream(f"{name}.part", compression=None)
 
-    def write(self, data: bytes) -> None:
-        self.to.write(data)
+    def _write(self, data: bytes) -> None:
+        self.out.write(data)
         self.at += len(data)
 
+    def begin(self, head: bytes, digest: str) -> None:
+        self.zipped, self.declared, self.sha1 = zlib.compressobj(self.level, zlib.DEFLATED, 31), digest, hashlib.sha1()
+        self._write(self.zipped.compress(head))
+
+    def add(self, chunk: memoryview) -> None:
+        self.sha1.update(chunk)
+        self._write(self.zipped.compress(chunk))
+
+    def end(self, whole: bool) -> None:
+        if whole and self.sha1.hexdigest() != self.declared:
+            raise ValueError(f"the digest built up over a record's chunks isn't that of its payload, {self.declared}")
+        self._write(self.zipped.compress(b"\r\n\r\n") + self.zipped.flush())
+        self.records += 1
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(f"{self.name}.part", self.name)
+
 
-def _write_record(to: _Counted, head: bytes, payload: memoryview, level: int) -> None:
-    """One gzip member; the payload goes through in chunks."""
-    zipped = zlib.compressobj(level, zlib.DEFLATED, 31)
-    to.write(zipped.compress(head))
-    for i in range(0, len(payload), CHUNK_BYTES):
-        to.write(zipped.compress(payload[i : i + CHUNK_BYTES]))
-    to.write(zipped.compress(b"\r\n\r\n") + zipped.flush())
+def _chunk_rows(decided: DataFrame) -> DataFrame:
+    """A row for each chunk of a response, and one without bytes for a revisit; a record's rows stand together, in order."""
+    size = F.octet_length("payload").cast("long")
+    last = F.when(F.col("record_type") == "response", F.greatest(F.ceil(size / CHUNK_BYTES) - 1, F.lit(0))).otherwise(0).cast("int")
+    rows = decided.select("id", "url", "digest", "record_type", "refers_to", "refers_url", size.alias("size"), last.alias("last"), "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    data = F.when(F.col("record_type") == "response", F.substring("payload", F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))).otherwise(F.lit(b""))
+    return rows.select("id", "url", "digest", "record_type", "refers_to", "refers_url", "size", "last", "chunk", data.alias("data"))
 
 
 def write(
@@ -120,25 +153,21 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        name, to, n = f"{base}/{uuid.uuid4().hex}.warc.gz", None, 0
+        archive = None
         for batch in slices(batches):
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            payloads = batch.column(5).cast(pa.binary())
-            for i, (page_id, url, digest, kind, refers_to) in enumerate(zip(*columns)):
-                if to is None:
-                    out = fs.open_output_stream(f"{name}.part", compression=None)
-                    to = _Counted(out)
-                buffer = payloads[i].as_buffer()
-                payload = memoryview(buffer) if buffer is not None else memoryview(b"")
-                _write_record(to, _head(page_id, url, kind, refers_to, digest, len(payload), date), payload if kind == "response" else memoryview(b""), level)
-                n += 1
-        if to is not None:
-            out.close()
-            fs.move(f"{name}.part", name)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([to.at])], ["path", "records", "bytes"])
-
-    rows = decide(pages, id_col, payload_col, revisit_bytes)
-    rows = rows.select(F.col(id_col).cast("long"), url_col, "_digest", "record_type", "refers_to", F.col(payload_col).cast("string"))
+            columns, chunks = [batch.column(i).to_pylist() for i in range(9)], batch.column(9)
+            for i, (page_id, url, digest, kind, refers_to, refers_url, size, last, number) in enumerate(zip(*columns)):
+                archive = archive or _Archive(fs, f"{base}/{uuid.uuid4().hex}.warc.gz", level)
+                if not number:
+                    archive.begin(_head(page_id, url, digest, kind, refers_to, refers_url, size, date), digest)
+                archive.add(memoryview(chunks[i].as_buffer()))
+                if number == last:
+                    archive.end(kind == "response")
+        if archive:
+            archive.close()
+            yield pa.RecordBatch.from_arrays([pa.array([archive.name]), pa.array([archive.records]), pa.array([archive.at])], ["path", "records", "bytes"])
+
+    rows = _chunk_rows(decide(pages, id_col, payload_col, revisit_bytes, url_col))
     return materialise(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-files")
 
 
@@ -183,6 +212,10 @@ def read_records(raw: io.RawIOBase, chunk_bytes: int = CHUNK_BYTES) -> Iterator[
         left, digest, size, number = int(own["Content-Length"]), hashlib.sha1(), 0, 0
         page_id, refers = own["X-Page-Id"], own.get("X-Refers-To-Page-Id")
         declared = base64.b32decode(own["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+        if own.get("Content-Type", "").startswith("application/http"):
+            if (http := source.upto(b"\r\n\r\n")) is None:
+                raise EOFError("the archive ends inside a record")
+            left -= len(http) + 4
         fixed = (int(page_id) if page_id else None, own["WARC-Type"], int(refers) if refers else None)
         while True:
             pieces, got = [], 0
