@@ -54,3 +54,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     packed, turns = chat.prefix_tree(df, vocab_path())
     assert packed.count() == 0 and chat.read_back(packed, turns, vocab_path()).count() == 0
+
+
+def test_no_special_token_comes_from_a_text(spark):
+    from tidewatch.llm.bpe import vocabulary
+
+    special = vocabulary(vocab_path()).special
+    assert special
+    said = [f"hi {name} bye{name}" for name in special]
+    df = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string")
+    packed, turns = chat.prefix_tree(df, vocab_path())
+    assert not any(set(r.token_ids) & set(special.values()) for r in packed.collect())
+    got = {r.conv_id: r.turns_sha256 for r in chat.read_back(packed, turns, vocab_path()).collect()}
+    assert got == {i: hashlib.sha256(f"user\n{t}\n".encode()).hexdigest() for i, t in enumerate(said)}

@@ -88,11 +88,11 @@ class Vocabulary:
         plain = text.isascii() or not self._has_unassigned.search(text)
         return (self.pattern if plain else self._strict_pattern).findall(text)
 
-    def encode(self, text: str, out: array) -> None:
-        """Appends the ids of a text."""
+    def encode(self, text: str, out: array, special: bool = True) -> None:
+        """Appends the ids of a text; without special, the names of special tokens are plain text."""
         known = self.remembered
-        for piece in self.at_special.split(text) if self.at_special else [text]:
-            if piece in self.special:
+        for piece in self.at_special.split(text) if special and self.at_special else [text]:
+            if special and piece in self.special:
                 out.append(self.special[piece])
             elif piece:
                 for ids in map(known.__getitem__, self.words(piece)):

@@ -11,7 +11,8 @@ of a range-partitioned sort. What belongs to a conversation is streamed in sorte
 turn is ever gathered.
 
 The template marks turns by control strings; where a text holds one, or a backslash, a backslash goes before it, and comes
-off again when texts are read back.
+off again when texts are read back. Special tokens of the vocabulary are never made from a text: their names are plain
+characters there.
 
 Null role and text are empty. Turns are ordered by turn, ties and repeated rows by role and text and each counts; rows
 without conv_id are one conversation of id null. Empty tables give empty results; further columns are ignored.
@@ -139,7 +140,7 @@ def pack(turns: DataFrame, vocab_path: str) -> DataFrame:
             for node, parent, depth, role, text in _rows(batches):
                 ids, cuts, said = array("i"), [], pieces(role, text)
                 for piece in said:
-                    vocab.encode(piece, ids)
+                    vocab.encode(piece, ids, special=False)
                     cuts.append(len(ids))
                 loss = (cuts[0], cuts[1]) if role == LOSS_ROLE else (0, 0)
                 yield node, parent, depth, ids.tolist(), *loss, sum(map(len, said))
