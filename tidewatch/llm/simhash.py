@@ -11,8 +11,10 @@ which Spark deals out the subtrees, and small budgets near the root keep the wal
 by its full distance, so links are exact.
 
 Inside a subtree only a spanning forest of the links is returned (node pairs inside one found component are skipped), so a
-group of n near copies gives n - 1 rows. A subtree with more than ``block_rows`` fingerprints is cut into blocks and every
-pair of blocks is walked by a task of its own. Components over the forest come from alternating large-star and small-star
+group of n near copies gives n - 1 rows. A subtree with more than ``block_rows`` fingerprints is descended further in Spark,
+by as many of its next bits as its size asks for: they lie in the second block, where one differing bit at most is allowed, so
+a node meets itself and one node for each bit. So a row is sent to 14 tasks at most, however many fingerprints there are.
+Components over the forest come from alternating large-star and small-star
 steps, each written to the shared folder.
 
 Null and empty texts have fingerprint zero. Rows that repeat an id, and rows without id, are fingerprinted each; an empty
@@ -37,7 +39,7 @@ SEED = 42
 DISTANCE = 4
 #: Widths of the blocks of a fingerprint; one more than the distance, so that some rotation starts with an equal block.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints that share a rotation's first block and are walked by one task; beyond it, blocks of so many.
+#: Fingerprints that share a rotation's first block and are walked by one task; beyond it the next bits part them.
 BLOCK_ROWS = 20_000
 #: Rows that a task gathers before it walks their subtrees together.
 ROWS_AT_ONCE = 50_000
@@ -200,11 +202,16 @@ def links(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     rows = fps.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
     sizes = rows.groupBy("rotation", "key").agg(F.count("*").alias("n"))  # 5 * 2^13 rows at most
     rows = rows.join(F.broadcast(sizes), ["rotation", "key"])
-    n_blocks = F.ceil(F.col("n") / block_rows).cast("long")
-    own = F.pmod(F.xxhash64("fp"), n_blocks)
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda o: F.least(own, o) * n_blocks + F.greatest(own, o))
-    part = F.explode(F.when(n_blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(cells)).alias("cell")
-    rows = rows.select("rotation", "key", part, "fp").select("rotation", F.xxhash64("key", "cell").alias("part"), "fp")
+    bits = F.least(F.ceil(F.log2(F.col("n") / block_rows)).cast("int") + 1, F.lit(min(BLOCKS)))
+    rows = rows.withColumn("bits", F.when(F.col("n") > block_rows, bits).otherwise(0))
+    width = F.element_at(F.array(*map(F.lit, BLOCKS)), F.col("rotation").cast("int") + 1)
+    node = F.call_function("shiftrightunsigned", F.col("fp"), F.lit(64) - width - F.col("bits")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
+    rows = rows.withColumn("node", F.when(F.col("bits") > 0, node).otherwise(0))
+    other = lambda i: F.col("node").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
+    others = F.transform(F.sequence(F.lit(1), F.col("bits")), lambda i: other(i - 1))
+    nodes = F.concat(F.array("node"), F.when(F.col("bits") > 0, others).otherwise(F.array().cast("array<bigint>")))
+    cells = F.transform(nodes, lambda o: F.least(F.col("node"), o) * (1 << max(BLOCKS)) + F.greatest(F.col("node"), o))
+    rows = rows.select("rotation", "key", F.explode(cells).alias("cell"), "fp").select("rotation", F.xxhash64("key", "cell").alias("part"), "fp")
     return rows.repartition("rotation", "part").sortWithinPartitions("rotation", "part").mapInArrow(_walk_groups, "a long, b long")
 
 
