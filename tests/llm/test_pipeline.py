@@ -22,3 +22,22 @@ def test_stages_follow_their_operators(spark, sf):
 
 def test_run_gives_the_last_stage(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns[:2] == ["doc_id", "lang"]
+
+
+def test_odd_and_empty_tables(spark, tmp_path):
+    """Nulls in any column, empty, very long and repeated texts, and columns named as the stages' own; then no row at all."""
+    good = " ".join("".join(chr(97 + (i * k) % 26) for k in (1, 3, 5, 7, 11)) for i in range(1, 80)) + " "
+    rows = [(1, good, "en", "a", 5), (1, good, "en", "a", 5), (2, None, None, None, None), (None, good + "x", "en", None, 1), (3, "", "en", "a", 0), (4, "word " * 30_000, "en", "a", 1), (5, good + "mail a@b.org", "en", "a", 9)]
+    own = "doc_id long, text string, lang string, source string, n_chars long, base string, kept string, score string, fp string, spans string, decoded string"
+    full = spark.createDataFrame([(*r, "b", "k", "s", "f", "p", "d") for r in rows], own)
+    tables = {"labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, docs in (("full", full), ("none", full.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for table, schema in tables.items():
+            spark.createDataFrame([], schema).write.parquet(f"{folder}/{table}.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        # 2 and 3 have no words, 4 repeats itself; others may be near copies of 1, which stays once
+        ids = [r.doc_id for r in got]
+        assert (ids.count(1) == 1 and set(ids) <= {1, 5, None}) if name == "full" else ids == []
+        assert all(r.round_trip for r in got)
