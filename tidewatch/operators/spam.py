@@ -107,7 +107,8 @@ def near_duplicate(repeated: DataFrame, c: SpamConfig, identical: DataFrame | No
     near = (F.col("user_id") == F.col("u")) & (F.col("block") == F.col("b")) & (F.col("t") >= F.col("at_ms") - c.horizon_ms)
     pairs = now.join(then, near & F.col("q").between(F.col("number") - most, F.col("number") - 1))
     texts = content.groupBy("key").agg(F.first("fp").alias("fp")).withColumn("again", T.normalize_for_match(F.col("fp")))
-    texts = texts.select("key", T.trigrams(F.col("again")).alias("grams"))
+    # as hashes, which cross the network at eight bytes each
+    texts = texts.select("key", F.transform(T.trigrams(F.col("again")), lambda g: F.xxhash64(g)).alias("grams"))
     sizes = texts.select("key", F.size("grams").alias("size"))
     kinds = pairs.select("key", "other").distinct().join(sizes, "key").join(sizes.select(F.col("key").alias("other"), F.col("size").alias("size2")), "other")
     a, b = F.col("size"), F.col("size2")
