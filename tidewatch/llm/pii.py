@@ -219,14 +219,15 @@ def disclosures(docs: DataFrame, d: Disclosure, text_col: str = "text", marked:
     strength = lambda df: F.when(F.col("ne") < n, F.log(F.col("n") * n / (df * F.col("ne"))) / ic).otherwise(0.0)
     smooth = lambda df: F.when((F.col("ne") < n) & (F.col("n") > d.discount), F.log((F.col("n") - d.discount) * n / ((df + d.unseen) * F.col("ne"))) / ic).otherwise(0.0)
     weighed = weigh(marked)
-    by_entity = _with_entity(weighed, "weight", "terms")
+    by_entity = _with_entity(weighed, "weight", "terms").withColumn("id", F.xxhash64("entity"))
     # what one value alone has is that value once more, and no further entity
     shared = marked.select(F.explode("values").alias("x")).groupBy("x.shared").agg((F.min("x.value") == F.max("x.value")).alias("single"))
     single = shared.filter("single").select(F.col("shared").alias("entity"))
-    held = by_entity.groupBy("entity").agg(summed.alias("ne")).join(single, "entity", "left_anti")
+    held = by_entity.groupBy("id").agg(F.first("entity").alias("entity"), summed.alias("ne")).join(single, "entity", "left_anti")
     held = materialise(held, "entities")
-    both = by_entity.select("entity", "weight", F.explode("terms").alias("term")).groupBy("entity", "term").agg(summed.alias("n"))
-    both = materialise(both.join(_sized(held), "entity"), "term-pairs")
+    # entities cross the network as hashes
+    both = by_entity.select("id", "weight", F.explode("terms").alias("term")).groupBy("id", "term").agg(summed.alias("n"))
+    both = materialise(both.join(_sized(held.select("id", "ne")), "id"), "term-pairs")
     least, tested = _testable(both.withColumn("pairs", F.lit(1)), "pairs", total, d)
     # a term's documents are at least those that hold it beside any entity: what falls short even so needs no counting
     seen = weighed.select("weight", F.explode("terms").alias("term")).groupBy("term").agg(summed.alias("seen"))
@@ -236,7 +237,7 @@ def disclosures(docs: DataFrame, d: Disclosure, text_col: str = "text", marked:
     found = both.join(terms.groupBy("term").agg(summed.alias("df")), "term")
     told = (F.col("ne") >= least) & (_log_chance(F.col("n"), F.col("df"), F.col("ne"), n) <= math.log(d.chance / max(tested, 1)))
     found = found.withColumn("disclosure", F.greatest(F.when(told, strength(F.col("df"))), smooth(F.col("df"))))
-    return found.filter(F.col("disclosure") >= d.generalise).select("entity", "term", "disclosure")
+    return found.filter(F.col("disclosure") >= d.generalise).join(_sized(held.select("id", "entity")), "id").select("entity", "term", "disclosure")
 
 
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
@@ -248,13 +249,18 @@ def _term_spans(marked: DataFrame, told: DataFrame, d: Disclosure) -> DataFrame:
     strongest = _with_entity(texts, "doc").join(_sized(told), "entity").groupBy("doc", "term").agg(F.max("disclosure").alias("s"))
     strongest = materialise(strongest, "text-terms")
     texts = texts.join(_sized(strongest.select("doc").distinct()), "doc", "left_semi")
-    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    # addresses are taken as a whole, so that no word is found in one; one that begins after a letter of another alphabet
+    # is looked at by itself
+    pattern = F.lit(f"{EMAIL}|{_WORD}")
+    words = F.regexp_extract_all("text", pattern, F.lit(0))
+    starts = F.arrays_zip(_cuts(F.col("text"), pattern, words).alias("start"), words.alias("value"))
     emails = F.filter("base", lambda b: b["kind"] == "email")
-    places = texts.select("doc", emails.alias("emails"), F.explode(_spans(F.col("text"), F.lit(_WORD), words, "word")).alias("x"))
-    said = places.select("doc", "emails", "x", F.lower("x.value").alias("term")).join(strongest, ["doc", "term"])
-    said = said.filter(~F.exists("emails", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"])))
-    kind = F.when(F.col("s") >= d.remove, "removed").when(F.col("x.value").rlike(r"^\p{Lu}"), "name").otherwise("term")
-    by_doc = said.select("doc", F.struct(kind.alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.col("x.value").alias("value")).alias("x"))
+    in_email = lambda x: x["value"].rlike(r"[^\x00-\x7F]") & F.exists(emails, lambda b: (b["start"] < x["start"] + F.length(x["value"])) & (x["start"] < b["end"]))
+    own = F.filter(starts, lambda x: (F.length(x["value"]) >= 3) & ~F.contains(x["value"], F.lit("@")) & ~in_email(x))
+    places = texts.select("doc", F.inline(own)).withColumn("term", F.lower("value"))
+    said = places.join(strongest, ["doc", "term"]).withColumn("end", F.col("start") + F.length("value"))
+    kind = F.when(F.col("s") >= d.remove, "removed").when(F.col("value").rlike(r"^\p{Lu}"), "name").otherwise("term")
+    by_doc = said.select("doc", F.struct(kind.alias("kind"), "start", "end", "value").alias("x"))
     return materialise(by_doc.groupBy("doc").agg(F.array_sort(F.collect_list("x")).alias("added")), "term-spans")
 
 
