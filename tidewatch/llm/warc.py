@@ -56,21 +56,22 @@ CHUNKS = T.StructType(
 
 
 def decide(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", revisit_bytes: int = REVISIT_BYTES, url_col: str = "url") -> DataFrame:
-    """(id, url, payload, digest, record_type, refers_to, refers_url). Payloads stay where they are: only digests, ids and
-    urls of large ones are shuffled."""
+    """(id, url, payload, digest, record_type, refers_to). Payloads stay where they are: only digests and ids of large ones
+    are shuffled."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     large = rows.filter((F.octet_length("payload") >= revisit_bytes) & F.col("id").isNotNull())
-    copies = large.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = large.groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = materialise(copies, "payload-copies")
     few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
     rows = rows.join(F.broadcast(copies) if few else copies, "digest", "left")
-    again = F.coalesce(F.col("first.id") > F.col("id"), F.lit(False))
-    return rows.select("id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.id")).alias("refers_to"), F.when(again, F.col("first.url")).alias("refers_url"))
+    again = F.coalesce(F.col("first") > F.col("id"), F.lit(False))
+    return rows.select("id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
 def _record_id(page_id: int | None, url: str | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{page_id} {url} {digest}')}>"
+    """Of a row with id, by id and digest, so that a revisit can name its response."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url if page_id is None else page_id} {digest}')}>"
 
 
 def _uri(url: str | None) -> str:
@@ -81,7 +82,7 @@ def _http_head(size: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
 
 
-def _head(page_id: int | None, url: str | None, digest: str, kind: str, refers_to: int | None, refers_url: str | None, size: int, date: str) -> bytes:
+def _head(page_id: int | None, url: str | None, digest: str, kind: str, refers_to: int | None, size: int, date: str) -> bytes:
     """The header block and, of a response, the HTTP header; what they say of the payload is of the full one, for revisits too."""
     http = _http_head(size)
     lines = [
@@ -98,8 +99,7 @@ def _head(page_id: int | None, url: str | None, digest: str, kind: str, refers_t
     ]
     if kind == "revisit":
         lines[5:5] = [
-            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, refers_url, digest)}",
-            f"WARC-Refers-To-Target-URI: {_uri(refers_url)}", f"X-Refers-To-Page-Id: {refers_to}",
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, None, digest)}", f"X-Refers-To-Page-Id: {refers_to}",
         ]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8") + http
 
@@ -138,9 +138,9 @@ def _chunk_rows(decided: DataFrame) -> DataFrame:
     """A row for each chunk of a response, and one without bytes for a revisit; a record's rows stand together, in order."""
     size = F.octet_length("payload").cast("long")
     last = F.when(F.col("record_type") == "response", F.greatest(F.ceil(size / CHUNK_BYTES) - 1, F.lit(0))).otherwise(0).cast("int")
-    rows = decided.select("id", "url", "digest", "record_type", "refers_to", "refers_url", size.alias("size"), last.alias("last"), "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    rows = decided.select("id", "url", "digest", "record_type", "refers_to", size.alias("size"), last.alias("last"), "payload", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
     data = F.when(F.col("record_type") == "response", F.substring("payload", F.col("chunk") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES))).otherwise(F.lit(b""))
-    return rows.select("id", "url", "digest", "record_type", "refers_to", "refers_url", "size", "last", "chunk", data.alias("data"))
+    return rows.select("id", "url", "digest", "record_type", "refers_to", "size", "last", "chunk", data.alias("data"))
 
 
 def write(
@@ -155,11 +155,11 @@ def write(
         fs.create_dir(base, recursive=True)
         archive = None
         for batch in slices(batches):
-            columns, chunks = [batch.column(i).to_pylist() for i in range(9)], batch.column(9)
-            for i, (page_id, url, digest, kind, refers_to, refers_url, size, last, number) in enumerate(zip(*columns)):
+            columns, chunks = [batch.column(i).to_pylist() for i in range(8)], batch.column(8)
+            for i, (page_id, url, digest, kind, refers_to, size, last, number) in enumerate(zip(*columns)):
                 archive = archive or _Archive(fs, f"{base}/{uuid.uuid4().hex}.warc.gz", level)
                 if not number:
-                    archive.begin(_head(page_id, url, digest, kind, refers_to, refers_url, size, date), digest)
+                    archive.begin(_head(page_id, url, digest, kind, refers_to, size, date), digest)
                 archive.add(memoryview(chunks[i].as_buffer()))
                 if number == last:
                     archive.end(kind == "response")
