@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import backoff, bpe, chat, decontam, html_extract, pii, quality, simhash, url_filter, warc
+from tidewatch.llm import backoff, bpe, centroids, chat, decontam, fingerprints, html_extract, merkle, pii, quality, simhash, url_filter, warc
 from tidewatch.llm._common import table
 
 
@@ -85,6 +85,20 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, at = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=16, rounds=3)
+    return centroids.with_inertia(found, at).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.LEAF_FIELDS)
+    return merkle.manifest(docs, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_html_extract": op2_html_extract,
@@ -96,6 +110,9 @@ QUERIES = {
     "op8_chat_prefix_tree": op8_chat_prefix_tree,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_pii_sanitisation": op10_pii_sanitisation,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Plain SQL that gives the same text where pages hold one article without inner boilerplate, as the given tables do.
@@ -136,7 +153,116 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+_NEAREST = """
+d{i} AS (SELECT r, c, sum((x - y) * (x - y))::BIGINT AS d FROM v JOIN c{i} USING (pos) GROUP BY r, c),
+a{i} AS (SELECT r, c, d FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+_CENTRES = """
+m{j} AS (SELECT c, pos, sum(x) AS s, count(*) AS n FROM v JOIN a{i} USING (r) GROUP BY c, pos),
+c{j} AS (
+  SELECT c, pos, CASE WHEN n IS NULL THEN y ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS y FROM c{i} LEFT JOIN m{j} USING (c, pos)
+)"""
+OP11_SQL = (
+    """
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), v AS (
+  SELECT r, vec_id, unnest(range(64)) AS pos, unnest(list_transform(e, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS x FROM k
+), seeds AS (
+  SELECT r, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM k QUALIFY c < 16
+), c0 AS (SELECT c, pos, x AS y FROM v JOIN seeds USING (r)),"""
+    + ",".join(_NEAREST.format(i=i) + "," + _CENTRES.format(i=i, j=i + 1) for i in range(3))
+    + ","
+    + _NEAREST.format(i=3)
+    + """,
+sha AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY pos)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a3 JOIN k USING (r) JOIN sha USING (c)
+"""
+)
+
+#: Levels that the SQL below unrolls: groups of up to 2^20 documents and as many languages.
+_LEVELS = 20
+
+
+def _levels_sql(name: str, base: str) -> str:
+    """Tables name0 to name20 of nodes (g, p, h), and name, the last of each group."""
+    steps = [f"{name}0 AS ({base})"]
+    for i in range(_LEVELS):
+        steps.append(
+            f"{name}{i + 1} AS (SELECT g, p // 2 AS p, CASE WHEN any_value(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h, (any_value(n) + 1) // 2 AS n FROM {name}{i} GROUP BY g, p // 2)"
+        )
+    return ",\n".join(steps)
+
+
+def _siblings_sql(name: str) -> str:
+    """Every sibling (g, leaf position, level, whether it stands left, digest) on the way up."""
+    each = [
+        f"SELECT a.g, a.p, {i} AS level, b.p < a.p >> {i} AS before, b.h FROM {name}0 a JOIN {name}{i} b ON b.g IS NOT DISTINCT FROM a.g AND b.p = xor(a.p >> {i}, 1) WHERE b.n > 1"
+        for i in range(_LEVELS)
+    ]
+    return " UNION ALL ".join(each)
+
+
+def _folds_sql() -> str:
+    """The tampered leaf folded up level by level, first in its language, then over the languages."""
+    out, last = [], "f0"
+    for tier, sizes in (("l", "size"), ("t", "langs")):
+        for i in range(_LEVELS):
+            at = f"f{tier}{i}"
+            side = f"SELECT f.*, s.h AS sib, s.before FROM {last} f LEFT JOIN s{tier} s ON s.level = {i} AND " + ("s.g IS NOT DISTINCT FROM f.g AND s.p = f.p" if tier == "l" else "s.p = f.q")
+            more = f"({sizes} - 1) >> {i} = 0"
+            out.append(f"{at} AS (SELECT doc_id, g, p, q, size, langs, CASE WHEN {more} THEN h WHEN sib IS NULL THEN sha256(h) WHEN before THEN sha256(sib || h) ELSE sha256(h || sib) END AS h FROM ({side}))")
+            last = at
+    return ",\n".join(out)
+
+
+OP13_SQL = (
+    r"""
+WITH part AS (
+  SELECT doc_id, lang, n_chars, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS was,
+    [doc_id::VARCHAR, source, lang, (n_chars::HUGEINT + 1)::VARCHAR, text] AS other,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda crc, b:
+      list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END),
+      4294967295), 4294967295) AS crc FROM documents
+), hashed AS (
+  SELECT doc_id, lang,
+    sha256(array_to_string(list_transform(was, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) AS leaf,
+    CASE WHEN crc % 7 = 0 THEN sha256(array_to_string(list_transform(other, lambda x: coalesce(strlen(x) || ':' || x, '-')), '')) END AS tampered
+  FROM part
+), leaf AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+),
+"""
+    + _levels_sql("l", "SELECT lang AS g, p, leaf AS h, n FROM leaf")
+    + f""",
+sub AS (SELECT g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS q, count(*) OVER () AS langs FROM l{_LEVELS}),
+"""
+    + _levels_sql("t", "SELECT 0 AS g, q AS p, h, langs AS n FROM sub")
+    + f""",
+sl AS ({_siblings_sql("l")}),
+st AS ({_siblings_sql("t")}),
+f0 AS (
+  SELECT doc_id, a.lang AS g, p, q, n AS size, langs, coalesce(tampered, leaf) AS h FROM leaf a JOIN sub ON sub.lang IS NOT DISTINCT FROM a.lang
+),
+"""
+    + _folds_sql()
+    + f""",
+ways AS (
+  SELECT g, p, string_agg(h, '' ORDER BY level) AS w FROM sl GROUP BY g, p
+), tops AS (SELECT p AS q, string_agg(h, '' ORDER BY level) AS w FROM st GROUP BY p)
+SELECT a.doc_id, a.leaf, sub.h AS subroot, r.h AS root, sha256(coalesce(ways.w, '') || coalesce(tops.w, '')) AS proof_sha256,
+  f.h AS folded_root, f.h = r.h AS verified
+FROM leaf a JOIN sub ON sub.lang IS NOT DISTINCT FROM a.lang JOIN t{_LEVELS} r ON true
+JOIN ft{_LEVELS - 1} f ON f.g IS NOT DISTINCT FROM a.lang AND f.p = a.p
+LEFT JOIN ways ON ways.g IS NOT DISTINCT FROM a.lang AND ways.p = a.p LEFT JOIN tops ON tops.q = sub.q
+"""
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clusters": OP11_SQL,
+    "op13_merkle_manifest": OP13_SQL,
     "op8_chat_prefix_tree": OP8_SQL,
     "op9_warc_round_trip": OP9_SQL,
     "op2_html_extract": OP2_SQL,
