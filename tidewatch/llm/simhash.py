@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewatch.llm._common import materialise, schema_with, slices, with_column
+from tidewatch.llm._common import free_name, materialise, schema_with, slices, with_column
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -255,17 +255,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     chosen = materialise(best.select("best.key"), "kept-keys")
     gone = materialise(prints.select("key").distinct().join(chosen, "key", "left_anti"), "gone-keys")
     few = gone.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    gone = gone.select(F.col("key").alias("_key"))
-    kept = docs.withColumn("_row", key)
-    kept = kept.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("_key"), "left_anti")
-    alike = prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").join(chosen, "key", "left_semi").select(F.col("key").alias("_key"))
+    row, other, one = (free_name(docs, c) for c in ("row", "key", "one"))
+    as_other = lambda df: df.select(F.col("key").alias(other))
+    kept, same = docs.withColumn(row, key), F.col(row) == F.col(other)
+    kept = kept.join(F.broadcast(as_other(gone)) if few else as_other(gone), same, "left_anti")
+    alike = as_other(prints.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").join(chosen, "key", "left_semi"))
     if alike.isEmpty():
-        return kept.drop("_row")
+        return kept.drop(row)
     alike = materialise(alike, "alike-keys")
-    single = kept.join(alike, F.col("_row") == F.col("_key"), "left_anti")
-    several = kept.join(alike, F.col("_row") == F.col("_key"), "left_semi")
-    several = several.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_one")).select("_one.*")
-    return single.drop("_row").unionByName(several)
+    several = kept.join(alike, same, "left_semi").groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(one)).select(f"{one}.*")
+    return kept.join(alike, same, "left_anti").drop(row).unionByName(several)
 
 
 def component_ids(prints: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
