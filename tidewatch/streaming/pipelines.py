@@ -7,7 +7,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.config import Config, RiskConfig
@@ -107,3 +107,58 @@ def detect_batches(folder: str, detect: Callable[[DataFrame], DataFrame], horizo
             replace(own, "events", "dt", "batch_id")
 
     return write
+
+
+SIGNAL_KEY = ["user_id", "room_id", "event_id", "at_ms", "seq", "code", "category", "severity", "confidence", "detail"]
+
+
+def current_signals(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
+    """The signals that stand after all changes: what was added and not taken back. before: only batches up to this one."""
+    changes = spark.read.parquet(f"{folder}/changes")
+    changes = changes if before is None else changes.filter(F.col("batch_id") < before)
+    return changes.groupBy("dt", *SIGNAL_KEY).agg(F.sum("change").alias("n")).filter("n > 0").drop("n")
+
+
+def revise_batches(folder: str, detect: Callable[[DataFrame], DataFrame], horizon_ms: int, late_ms: int) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: batch detectors on a stream in any order of arrival. A late row reopens its user's horizon alone: the
+    user's events from the earliest new one to a horizon past the latest are judged again, with a horizon before them for
+    their windows, and the table ``changes`` gets +1 for each signal that is new and -1 for each that no longer holds; current_signals()
+    nets them. Rows more than late_ms behind the newest stored event are left out and kept in ``dropped``; ids that are stored
+    already are left out as well. Everything is read from batches before this one and written by batch, so a batch that is
+    written again replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = lambda name, like: existing(spark, f"{folder}/{name}", like).filter(F.col("batch_id") < batch_id)
+        replace = lambda rows, name, *by: rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{folder}/{name}")
+        with working_tables(spark):
+            own = materialise(with_day(batch.withColumn("batch_id", F.lit(batch_id))).dropDuplicates(["event_id"]), "stream-batch")
+            newest = earlier("events", own).agg(F.max("at_ms")).first()[0]  # of Parquet statistics, not of rows
+            bound = None if newest is None else newest - late_ms
+            if bound is not None:
+                replace(own.filter(F.col("at_ms") < bound), "dropped", "batch_id")
+                own = own.filter(F.col("at_ms") >= bound)
+            span = own.agg(F.min("at_ms"), F.max("at_ms")).first()
+            if span[0] is None:
+                return
+            day = lambda ms: F.date_format(F.timestamp_millis(F.lit(ms)), "yyyy-MM-dd")
+            reopened = own.groupBy("user_id").agg(F.min("at_ms").alias("low"), (F.max("at_ms") + horizon_ms).alias("high"))
+            reopened = materialise(reopened, "reopened")
+            around = earlier("events", own).filter(F.col("dt").between(day(span[0] - horizon_ms), day(span[1] + horizon_ms)))
+            known = around.join(reopened, "user_id").filter(F.col("at_ms").between(F.col("low") - horizon_ms, F.col("high"))).select(*own.columns)
+            known = materialise(known, "horizon")
+            own = own.join(known.select("event_id"), "event_id", "left_anti")
+            found = detect(known.unionByName(own.select(*known.columns)).drop("batch_id", "dt"))
+            found = with_day(found.withColumn("detail", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("details"))))))
+            inside = lambda rows: rows.join(reopened, "user_id").filter(F.col("at_ms").between(F.col("low"), F.col("high"))).select("dt", *SIGNAL_KEY)
+            now = inside(found).withColumn("change", F.lit(1))
+            like = now.withColumn("batch_id", F.lit(batch_id))
+            stood = earlier("changes", like.select("change", *SIGNAL_KEY, "dt", "batch_id")).filter(F.col("dt").between(day(span[0]), day(span[1] + horizon_ms)))
+            stood = stood.groupBy("dt", *SIGNAL_KEY).agg(F.sum("change").alias("n")).filter("n > 0")
+            both = now.unionByName(inside(stood).withColumn("change", F.lit(-1)))
+            changed = both.groupBy("dt", *SIGNAL_KEY).agg(F.sum("change").cast("int").alias("change")).filter("change <> 0").withColumn("batch_id", F.lit(batch_id))
+            changed = materialise(changed, "changes")
+            replace(own, "events", "dt", "batch_id")
+            replace(changed, "changes", "dt", "batch_id")
+
+    return write
