@@ -50,6 +50,9 @@ def unicode_forms(text: pd.Series) -> pd.DataFrame:
 
 
 NOT_ASCII = r"[^\x00-\x7F]"
+#: Any character but ASCII, the letters of Latin-1, dashes and curly quotation marks: those are their own compatibility form and take
+#: part in no composition without a combining mark, which is none of them.
+NOT_STABLE = "[^\\x00-\\x7F\\u00C0-\\u00FF\\u2013\\u2014\\u2018\\u2019\\u201C\\u201D]"
 
 
 @F.pandas_udf(T.StringType())
@@ -58,9 +61,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 
 
 def sanitize_visible(text: Column) -> Column:
-    """Compatibility form without invisible characters, white space to one space. ASCII texts are their own form and don't
-    cross to Python."""
-    return visible(F.coalesce(nfkc(F.when(text.rlike(NOT_ASCII), text)), text))
+    """Compatibility form without invisible characters, white space to one space. Texts of characters that are their own form,
+    whatever stands beside them, don't cross to Python."""
+    return visible(F.coalesce(nfkc(F.when(text.rlike(NOT_STABLE), text)), text))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

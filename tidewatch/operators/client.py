@@ -11,11 +11,24 @@ from pyspark.sql import functions as F
 from tidewatch.config import MINUTE, ClientConfig
 from tidewatch.functions import math as M
 from tidewatch.operators.spam import is_content
-from tidewatch.operators.windows import FIRST, signal, trailing_sum
-
-
-def _distinct(value: Column, width_ms: int) -> Column:
-    return F.size(F.collect_set(value).over(W.partitionBy("user_id").orderBy("at_ms").rangeBetween(-width_ms, 0)))
+from tidewatch.operators.windows import FIRST, free_name, signal, trailing_sum
+
+
+def with_distinct(events: DataFrame, value: Column, width_ms: int, out: str) -> DataFrame:
+    """Adds how many different values a user's events of the last width_ms have, those of the same millisecond included. A value is
+    there from its first event until width_ms after the last one that no further one follows in time: +1 and -1 at the ends of
+    such stays, summed up along the user's time, so that no row carries a set."""
+    row, v, end = free_name(events, "change"), free_name(events, "value"), free_name(events, "end")
+    by = W.partitionBy("user_id", v).orderBy("at_ms", "seq")
+    rows = events.withColumn(v, value)
+    before, after = F.lag("at_ms").over(by), F.lead("at_ms").over(by)
+    begins = F.col(v).isNotNull() & (before.isNull() | (F.col("at_ms") - before > width_ms))
+    ends = F.when(F.col(v).isNotNull() & (after.isNull() | (after - F.col("at_ms") > width_ms)), F.col("at_ms") + width_ms + 1)
+    rows = rows.withColumns({row: F.when(begins, 1).otherwise(0), end: ends})
+    gone = rows.filter(F.col(end).isNotNull()).select("user_id", F.col(end).alias("at_ms"), F.lit(-1).alias(row), F.lit(True).alias(v))
+    both = rows.withColumn(v, F.lit(False)).drop(end).unionByName(gone, allowMissingColumns=True)
+    total = F.sum(row).over(W.partitionBy("user_id").orderBy("at_ms").rangeBetween(FIRST, 0))
+    return both.withColumn(out, total).filter(~F.col(v)).drop(row, v)
 
 
 def with_enough(events: DataFrame, c: ClientConfig, horizon_ms: int, attestations: DataFrame | None = None) -> DataFrame:
@@ -39,12 +52,12 @@ def unknown_version(events: DataFrame, c: ClientConfig) -> DataFrame:
 
 
 def version_flapping(events: DataFrame, c: ClientConfig, horizon_ms: int) -> DataFrame:
-    rows = events.withColumn("n", _distinct(F.col("client_version"), min(c.version_flap_window_ms, horizon_ms)))
+    rows = with_distinct(events, F.col("client_version"), min(c.version_flap_window_ms, horizon_ms), "n")
     return signal(rows, "CLIENT_VERSION_FLAPPING", F.col("n") >= c.version_flap_count, "MEDIUM", 0.7 + 0.2 * M.saturate(F.col("n"), c.version_flap_count, 2 * c.version_flap_count), {"n": F.col("n")})
 
 
 def platform_mismatch(events: DataFrame, c: ClientConfig, horizon_ms: int) -> DataFrame:
-    rows = events.withColumn("n", _distinct(F.when(F.col("platform") != "unknown", F.col("platform")), horizon_ms))
+    rows = with_distinct(events, F.when(F.col("platform") != "unknown", F.col("platform")), horizon_ms, "n")
     vague = (F.col("platform") == "unknown") & F.lit(bool(c.known_versions))
     return signal(rows, "CLIENT_PLATFORM_MISMATCH", (F.col("n") > 1) | vague, F.when(F.col("n") > 1, "MEDIUM").otherwise("LOW"), F.when(F.col("n") > 1, 0.65).otherwise(0.4), {"n": F.col("n")})
 
@@ -54,8 +67,7 @@ def impossible_sequence(events: DataFrame, c: ClientConfig, horizon_ms: int) ->
     moves = F.col("event_type").isin("join", "leave")
     before = W.partitionBy("user_id", "room_id").orderBy("at_ms", "seq").rowsBetween(FIRST, -1)
     last = F.last(F.when(moves, F.struct("event_type", "at_ms")), ignorenulls=True).over(before)
-    rooms = F.size(F.collect_set(F.when(F.col("event_type") == "voice", F.col("room_id"))).over(W.partitionBy("user_id").orderBy("at_ms").rangeBetween(-c.voice_window_ms, 0)))
-    rows = events.withColumns({"last": last, "voice_rooms": rooms})
+    rows = with_distinct(events, F.when(F.col("event_type") == "voice", F.col("room_id")), c.voice_window_ms, "voice_rooms").withColumn("last", last)
     gap = F.col("at_ms") - F.col("last.at_ms")
     fresh = gap <= horizon_ms
     case = (

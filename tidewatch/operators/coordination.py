@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import CoordinationConfig
 from tidewatch.functions import math as M
-from tidewatch.functions import text as T
-from tidewatch.operators.spam import is_content
+from tidewatch.operators.spam import fp_key, fp_length, is_content
 
 
 def sweep_of(at_ms: Column, c: CoordinationConfig) -> Column:
@@ -24,7 +23,7 @@ def _busy(events: DataFrame, c: CoordinationConfig) -> DataFrame:
 
 def identical_content(featured: DataFrame, c: CoordinationConfig, min_length: int = 24) -> DataFrame:
     """One row for each text that several accounts sent into a room in one sweep; a flooder counts once."""
-    said = featured.filter(is_content() & (T.utf16_length(F.col("fp")) >= min_length)).select("room_id", sweep_of(F.col("at_ms"), c).alias("sweep_ms"), F.md5("fp").alias("key"), "user_id").distinct()
+    said = featured.filter(is_content() & (fp_length(featured) >= min_length)).select("room_id", sweep_of(F.col("at_ms"), c).alias("sweep_ms"), fp_key(featured).alias("key"), "user_id").distinct()
     found = said.groupBy("room_id", "sweep_ms", "key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("user_id")).alias("user_ids")).filter(F.col("n") >= c.min_accounts)
     found = found.join(_busy(featured, c), ["room_id", "sweep_ms"], "left_semi")
     confidence = F.least(0.6 + 0.3 * M.saturate(F.col("n"), c.min_accounts, 3 * c.min_accounts), F.lit(0.95))
@@ -67,6 +66,17 @@ def attributed(found: DataFrame) -> DataFrame:
     return found.select("room_id", "sweep_ms", "code", "severity", "confidence", F.explode("user_ids").alias("user_id"))
 
 
+def as_signals(found: DataFrame, events: DataFrame, c: CoordinationConfig) -> DataFrame:
+    """Findings in the signals' schema: each belongs to the first event of each member, in any room, once the sweep is over, which is
+    when the next assessment can know of it. Members who never come back have none. An as-of join by one window over both."""
+    reports = attributed(found).select("user_id", (F.col("sweep_ms") + c.sweep_ms).alias("at_ms"), F.struct("code", "severity", "confidence", "sweep_ms").alias("finding"))
+    both = events.select("user_id", "at_ms", F.struct("room_id", "event_id", "at_ms", "seq").alias("event"), "seq").unionByName(reports, allowMissingColumns=True)
+    after = W.partitionBy("user_id").orderBy("at_ms", F.col("seq").asc_nulls_first()).rowsBetween(0, W.unboundedFollowing)
+    rows = both.withColumn("next", F.first("event", ignorenulls=True).over(after)).filter(F.col("finding").isNotNull() & F.col("next").isNotNull())
+    category = F.lit("COORDINATION")
+    return rows.select("user_id", "next.room_id", "next.event_id", "next.at_ms", "next.seq", "finding.code", category.alias("category"), "finding.severity", "finding.confidence", F.create_map(F.lit("sweep_ms"), F.col("finding.sweep_ms").cast("double")).alias("details"))
+
+
 def sweep_summary(found: DataFrame) -> DataFrame:
     """Per sweep: rooms, findings and distinct accounts."""
     rooms = found.groupBy("sweep_ms").agg(F.count_distinct("room_id").alias("rooms"), F.count("*").alias("findings"))

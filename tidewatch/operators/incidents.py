@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +37,61 @@ def sessions(events: DataFrame, c: CaseConfig, reviews: DataFrame | None = None)
     return rows.filter("closing = 0").withColumn("incident_id", H.incident_id(F.col("user_id"), F.col("room_id"), F.col("start_ms"))).drop("closing")
 
 
+LIFECYCLE = "incident_id string, user_id string, room_id string, at_ms long, seq long, change string, status string, risk_score int, risk_level string"
+
+
+class Case:
+    """The incident of a user in a room that is current, as events and reviews fold into it."""
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms, self.start, self.updated, self.status, self.score, self.level = gap_ms, None, 0, "", 0, ""
+
+    def event(self, at_ms: int, score: int, level: str) -> str:
+        """Folds a serious event in: OPENED, UPDATED, ESCALATED (a new peak) or REOPENED (a new peak of an acknowledged one)."""
+        if self.start is None or self.status not in ("OPEN", "ACKNOWLEDGED") or at_ms - self.updated > self.gap_ms:
+            self.start, self.updated, self.status, self.score, self.level = at_ms, at_ms, "OPEN", score, level
+            return "OPENED"
+        self.updated, change = at_ms, "UPDATED"
+        if score > self.score:
+            self.score, self.level = score, level
+            change = "REOPENED" if self.status == "ACKNOWLEDGED" else "ESCALATED"
+            self.status = "OPEN"
+        return change
+
+    def review(self, status: str) -> str | None:
+        """A moderator's word on the current incident; none if there is none, or it says so already or is closed."""
+        if self.start is None or self.status in CLOSED or status == self.status:
+            return None
+        self.status = status
+        return status if status in ("ACKNOWLEDGED", "OPEN") else "CLOSED"
+
+
+def lifecycle(serious: DataFrame, reviews: DataFrame, c: CaseConfig) -> DataFrame:
+    """Every change of every incident (LIFECYCLE). serious: user_id, room_id, at_ms, seq, score, level; reviews: user_id, room_id, at_ms,
+    status, and note, which has to have eight characters. A review of the same millisecond comes after the events. What an event
+    does depends on all before it, so rows are dealt by user and room, sorted by Spark and streamed; a task holds one incident."""
+    known = ["OPEN", "ACKNOWLEDGED", *CLOSED]
+    said = reviews.filter((F.length(F.trim("note")) >= 8) & F.col("status").isin(*known)).select("user_id", "room_id", "at_ms", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("score"), F.lit("").alias("level"), "status")
+    rows = serious.select("user_id", "room_id", "at_ms", "seq", F.col("score").cast("int").alias("score"), "level", F.lit("").alias("status")).unionByName(said)
+    rows = rows.withColumn("late", F.col("status") != "").withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, case = None, Case(c.incident_gap_ms)
+        for frame in frames:
+            out = []
+            for user, room, at, seq, score, level, status in frame[["user_id", "room_id", "at_ms", "seq", "score", "level", "status"]].itertuples(index=False, name=None):
+                if (user, room) != key:
+                    key, case = (user, room), Case(c.incident_gap_ms)
+                change = case.review(status) if status else case.event(at, score, level)
+                if change:
+                    out.append((user, room, case.start, at, seq, change, case.status, case.score, case.level))
+            yield pd.DataFrame(out, columns=["user_id", "room_id", "start_ms", "at_ms", "seq", "change", "status", "risk_score", "risk_level"])
+
+    dealt = rows.repartition("user_id", "room_id").sortWithinPartitions("user_id", "room_id", "at_ms", "late", "seq", "status")
+    made = dealt.mapInPandas(run, "user_id string, room_id string, start_ms long, at_ms long, seq long, change string, status string, risk_score int, risk_level string")
+    return made.select(H.incident_id(F.col("user_id"), F.col("room_id"), F.col("start_ms")).alias("incident_id"), *(x.split()[0] for x in LIFECYCLE.split(", ")[1:]))
+
+
 def build(sessioned: DataFrame, signals: DataFrame, events: DataFrame, c: CaseConfig, excerpt_chars: int = 280, excerpts: int = 20) -> DataFrame:
     """One row for each incident: peak score and level, behaviours in order of appearance, confidence, redacted excerpts."""
     main = sessioned.groupBy("incident_id", "user_id", "room_id").agg(

@@ -25,12 +25,22 @@ def distinct_messages(events: DataFrame) -> DataFrame:
 
 
 def with_text_features(events: DataFrame) -> DataFrame:
-    """Adds normalized, fp and mentions; the forms come from distinct messages, since many are sent again and again."""
+    """Adds normalized, fp, its digest fp_key, its length fp_length, and mentions; all are made once for each different message, since
+    many are sent again and again. Windows and joins go by the digest, so that no text travels through them."""
     said = distinct_messages(events)
     said = said.withColumn("forms", T.unicode_forms("message")).withColumn("normalized", T.finish_match(F.col("forms.folded")))
     said = said.select("key", "forms", "normalized", T.fingerprint_of(F.col("normalized")).alias("fp"), T.count_mentions(F.col("message")).alias("mentions"))
+    said = said.withColumns({"fp_key": F.md5("fp"), "fp_length": T.utf16_length(F.col("fp"))})
     rows = events.withColumn("key", F.md5("message")).join(said, "key", "left")
-    return rows.select(*events.columns, "forms", "normalized", "fp", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+    return rows.select(*events.columns, "forms", "normalized", "fp", "fp_key", "fp_length", F.coalesce("mentions", F.lit(0)).alias("mentions"))
+
+
+def fp_key(df: DataFrame) -> Column:
+    return F.col("fp_key") if "fp_key" in df.columns else F.md5("fp")
+
+
+def fp_length(df: DataFrame) -> Column:
+    return F.col("fp_length") if "fp_length" in df.columns else T.utf16_length(F.col("fp"))
 
 
 def with_rates(events: DataFrame, c: SpamConfig) -> DataFrame:
@@ -76,17 +86,17 @@ def link_flood(events: DataFrame, c: SpamConfig) -> DataFrame:
 
 def with_repeats(events: DataFrame, c: SpamConfig) -> DataFrame:
     """Adds n_same: events of this fingerprint in the horizon, up to this one, within the last capped events."""
-    one = F.when(is_content() & F.col("fp").isNotNull(), 1).otherwise(0)
+    one = F.when(is_content() & fp_key(events).isNotNull(), 1).otherwise(0)
     number = F.row_number().over(W.partitionBy("user_id").orderBy("at_ms", "seq"))
     numbered = events.withColumn("number", number)
-    numbered = numbered.withColumn("key", F.md5("fp"))
+    numbered = numbered.withColumn("key", fp_key(events))
     by_time = trailing_sum(one, c.horizon_ms, ["user_id", "key"])
     by_rows = F.sum(one).over(W.partitionBy("user_id", "key").orderBy("number").rangeBetween(-c.max_window_events, 0))
     return numbered.withColumn("n_same", F.when(one == 1, F.least(by_time, by_rows)).otherwise(0)).drop("number", "key")
 
 
 def identical_repeat(repeated: DataFrame, c: SpamConfig) -> DataFrame:
-    n, times = F.col("n_same"), F.when(T.utf16_length(F.col("fp")) <= c.identical_short_length, c.identical_short_multiplier).otherwise(1)
+    n, times = F.col("n_same"), F.when(fp_length(repeated) <= c.identical_short_length, c.identical_short_multiplier).otherwise(1)
     many, severe = c.identical_repeat_count * times, n >= c.identical_severe_count * times
     full = F.lit(float(c.identical_severe_count)) * times
     sat = F.when(n <= many, 0.0).otherwise(M.clamp((n - many) / (full - many), 0, 1))
@@ -154,11 +164,16 @@ def uniform_timing(events: DataFrame, c: SpamConfig) -> DataFrame:
 
 
 def with_evidence(signals: DataFrame, events: DataFrame, width_ms: int, most: int = 20) -> DataFrame:
-    """Adds evidence_ids: the last content events of the user up to the signal's, for signals alone."""
-    ids = F.collect_list(F.when(is_content(), F.col("event_id"))).over(W.partitionBy("user_id").orderBy("at_ms").rangeBetween(-width_ms, 0))
-    listed = events.select("event_id", "user_id", "at_ms", "event_type").join(signals.select("user_id").distinct(), "user_id", "left_semi").withColumn("ids", ids)
-    listed = listed.join(signals.select("event_id").distinct(), "event_id", "left_semi").select("event_id", F.slice("ids", F.greatest(F.size("ids") - most + 1, F.lit(1)), most).alias("evidence_ids"))
-    return signals.join(listed, "event_id", "left")
+    """Adds evidence_ids: the last content events of the user up to the signal's event, within width_ms, for signals alone. Lists
+    hold ``most`` events and are made for content events; any other event has the list of the last content event before it."""
+    own = events.select("event_id", "user_id", "at_ms", "seq", "event_type").join(signals.select("user_id").distinct(), "user_id", "left_semi")
+    along = W.partitionBy("user_id").orderBy("at_ms", "seq")
+    own = own.withColumn("nth", F.count_if(is_content()).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    content = own.filter(is_content())
+    lists = content.select("user_id", "nth", F.collect_list(F.struct("at_ms", "event_id")).over(along.rowsBetween(1 - most, 0)).alias("ids"))
+    asked = own.join(signals.select("event_id").distinct(), "event_id", "left_semi").select("event_id", "user_id", "at_ms", "nth").join(lists, ["user_id", "nth"], "left")
+    near = F.filter(F.coalesce("ids", F.array().cast("array<struct<at_ms:bigint,event_id:string>>")), lambda x: x["at_ms"] >= F.col("at_ms") - width_ms)
+    return signals.join(asked.select("event_id", F.transform(near, lambda x: x["event_id"]).alias("evidence_ids")), "event_id", "left")
 
 
 def all_signals(events: DataFrame, c: SpamConfig) -> DataFrame:

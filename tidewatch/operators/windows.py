@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 FIRST, LAST = W.unboundedPreceding, W.unboundedFollowing
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def trailing_sum(value: Column, width_ms: int, keys: list[str], cap: int | None = None, cap_keys: list[str] | None = None) -> Column:
     """Sum over [now - width, now] of events up to this one: later ones of the same millisecond are taken off again. With
     a cap, never more than over the last ``cap`` events and this one (right for sums of non-negative values)."""

@@ -122,7 +122,9 @@ def _classified(spark: SparkSession, sf: str, events: DataFrame) -> DataFrame:
 
 
 def _behaviour(events: DataFrame) -> DataFrame:
-    """Signals whose oracle is plain SQL: bursts, rates, impossible sequences, evasion."""
+    """Signals whose oracle is plain SQL: bursts, rates, impossible sequences, evasion. None looks at a text, so events are written once
+    without theirs, and all detectors read that."""
+    events = materialise(events.drop("message", "doc_id", "k", "value"), "events")
     rated = spam.with_rates(events, S)
     parts = [
         spam.burst(rated, S), spam.high_frequency(rated, S), spam.sustained_rate(rated, S), client.version_flapping(events, C, S.horizon_ms),

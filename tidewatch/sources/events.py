@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.sources.shared import materialise
+
 RESTRICTIONS = ("MUTE", "KICK", "BAN", "SUSPEND")
 PRESENCE = ("HIDDEN_JOIN", "HIDDEN_LEAVE", "HIDDEN_PRESENT")
 CLASSES = ("SAFE", "UNCERTAIN", "ABUSIVE", "SEVERE_ABUSE", "THREAT")
@@ -55,19 +58,27 @@ def parse_verdicts(completions: DataFrame, max_reason: int = 400) -> DataFrame:
     return rows.filter(good).withColumn("reason", F.left("reason", F.lit(max_reason)))
 
 
+def as_of(times: DataFrame, marks: DataFrame, at: str, mark: str) -> DataFrame:
+    """(at, mark): for each different time the latest mark at or before it, null before the first. A merge: both sides are
+    range-partitioned by time together, the last mark is carried along each partition and over the ends of partitions, of which
+    there is one row each."""
+    both = times.select(F.col(at).cast("long").alias("t"), F.lit(1).alias("asks")).unionByName(marks.select(F.col(mark).cast("long").alias("t"), F.lit(0).alias("asks"))).distinct()
+    placed = materialise(both.repartitionByRange("t").withColumn("part", F.spark_partition_id()), "as-of")
+    ends = placed.filter("asks = 0").groupBy("part").agg(F.max("t").alias("end"))
+    ends = placed.select("part").distinct().join(ends, "part", "left")
+    ends = ends.select("part", F.last("end", ignorenulls=True).over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    inside = F.last(F.when(F.col("asks") == 0, F.col("t")), ignorenulls=True).over(W.partitionBy("part").orderBy("t", "asks").rowsBetween(W.unboundedPreceding, 0))
+    found = placed.withColumn("last", inside).filter("asks = 1").join(ends, "part", "left")
+    return found.select(F.col("t").alias(at), F.coalesce("last", "carried").alias(mark))
+
+
 def config_at(events: DataFrame, configs: DataFrame) -> DataFrame:
-    """Adds the version and patch of the config that was current at each event: an as-of join by one window over both."""
-    from pyspark.sql import Window as W
-
-    marks = configs.select(F.col("updated_ms").alias("at_ms"), F.struct("version", "patch").alias("c"))
-    low, high = (configs.agg(f("updated_ms")).first()[0] for f in (F.min, F.max))
-    if low is None:
-        return events.withColumns({"config_version": F.lit(None).cast("string"), "config_patch": F.lit(None).cast("string")})
-    # versions are few: each becomes an interval that is broadcast if its size allows, else joined by range
-    spans = marks.withColumn("until", F.lead("at_ms").over(W.orderBy("at_ms"))).select(F.col("at_ms").alias("_from"), "until", "c")
-    inside = (F.col("at_ms") >= F.col("_from")) & (F.col("until").isNull() | (F.col("at_ms") < F.col("until")))
-    spans = F.broadcast(spans) if spans.limit(10_001).count() <= 10_000 else spans
-    return events.join(spans, inside, "left").withColumns({"config_version": F.col("c.version"), "config_patch": F.col("c.patch")}).drop("_from", "until", "c")
+    """Adds the version and patch of the config that was current at each event; of versions of the same time the greatest counts. Times
+    are merged with times, so neither side is broadcast by force nor compared with all of the other."""
+    newest = configs.groupBy(F.col("updated_ms").alias("_mark")).agg(F.max(F.struct("version", "patch")).alias("_c"))
+    found = as_of(events, configs, "at_ms", "updated_ms").select(F.col("at_ms").alias("_at"), F.col("updated_ms").alias("_since"))
+    rows = events.join(found, F.col("at_ms") == F.col("_at"), "left").join(newest, F.col("_since") == F.col("_mark"), "left")
+    return rows.withColumns({"config_version": F.col("_c.version"), "config_patch": F.col("_c.patch")}).drop("_at", "_since", "_mark", "_c")
 
 
 def current_config(configs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -72,12 +73,15 @@ def action_sink(rows: DataFrame, path: str) -> tuple[int, int]:
 
 
 def upsert(rows: DataFrame, path: str, key: str, at: str) -> None:
-    """Writes the latest row of each key; only the days of the keys that change are rewritten. A day that loses its last row
-    is deleted after the others are written, since an overwrite leaves days alone that have no row any more."""
+    """Writes the latest row of each key, equal times settled by the rows' contents; only the days of the keys that change are rewritten. A day that loses its last row
+    is deleted after the others are written, since an overwrite leaves days alone that have no row any more. Readers between the two steps see both; where that matters,
+    snapshots.Snapshots has commits."""
     from tidewatch.sources.shared import delete, materialise
 
     spark = rows.sparkSession
-    rows = with_day(rows, at)
+    tie = F.xxhash64(F.to_json(F.struct(*sorted(rows.columns))))
+    latest = F.row_number().over(W.partitionBy(key).orderBy(F.col(at).desc(), tie.desc()))
+    rows = materialise(with_day(rows.withColumn("_nth", latest).filter("_nth = 1").drop("_nth"), at), "upsert-rows")
     old = existing(spark, path, rows)
     moved = old.join(rows.select(key).distinct(), key, "left_semi").select("dt").unionByName(rows.select("dt")).distinct()
     kept = old.join(moved, "dt", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
