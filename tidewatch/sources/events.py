@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.operators.windows import free_name
 from tidewatch.sources.shared import materialise
 
 RESTRICTIONS = ("MUTE", "KICK", "BAN", "SUSPEND")
@@ -75,10 +76,11 @@ def as_of(times: DataFrame, marks: DataFrame, at: str, mark: str) -> DataFrame:
 def config_at(events: DataFrame, configs: DataFrame) -> DataFrame:
     """Adds the version and patch of the config that was current at each event; of versions of the same time the greatest counts. Times
     are merged with times, so neither side is broadcast by force nor compared with all of the other."""
-    newest = configs.groupBy(F.col("updated_ms").alias("_mark")).agg(F.max(F.struct("version", "patch")).alias("_c"))
-    found = as_of(events, configs, "at_ms", "updated_ms").select(F.col("at_ms").alias("_at"), F.col("updated_ms").alias("_since"))
-    rows = events.join(found, F.col("at_ms") == F.col("_at"), "left").join(newest, F.col("_since") == F.col("_mark"), "left")
-    return rows.withColumns({"config_version": F.col("_c.version"), "config_patch": F.col("_c.patch")}).drop("_at", "_since", "_mark", "_c")
+    at, since, mark, c = (free_name(events, x) for x in ("at", "since", "mark", "config"))
+    newest = configs.groupBy(F.col("updated_ms").alias(mark)).agg(F.max(F.struct("version", "patch")).alias(c))
+    found = as_of(events, configs, "at_ms", "updated_ms").select(F.col("at_ms").alias(at), F.col("updated_ms").alias(since))
+    rows = events.join(found, F.col("at_ms") == F.col(at), "left").join(newest, F.col(since) == F.col(mark), "left")
+    return rows.withColumns({"config_version": F.col(f"{c}.version"), "config_patch": F.col(f"{c}.patch")}).drop(at, since, mark, c)
 
 
 def current_config(configs: DataFrame) -> DataFrame:
