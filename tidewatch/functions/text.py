@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -63,7 +64,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 def sanitize_visible(text: Column) -> Column:
     """Compatibility form without invisible characters, white space to one space. Texts of characters that are their own form,
     whatever stands beside them, don't cross to Python."""
-    return visible(F.coalesce(nfkc(F.when(text.rlike(NOT_STABLE), text)), text))
+    return visible(F.coalesce(nfkc(F.when(~is_ascii(text) & text.rlike(NOT_STABLE), text)), text))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -78,8 +79,23 @@ def nfkc_all(texts: Column) -> Column:
     return F.coalesce(_nfkc_arrays(F.when(odd, texts)), texts)
 
 
+#: White space whose presence asks for the pattern SPACE: doubled or other than a plain space.
+_ODD_ASCII = ("  ", "\t", "\n", "\x0b", "\f", "\r")
+_ODD_SPACE = (*_ODD_ASCII, "\u0085", "\u00a0", "\u1680", *(chr(c) for c in range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "\ufeff")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def visible(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, f"[{INVISIBLE}]", ""), f"{SPACE}+", " "))
+    """Without invisible characters, white space to one space, trimmed. Plain searches go first: patterns are slow on long texts."""
+    any_of = lambda t, found: reduce(Column.__or__, [F.contains(t, F.lit(x)) for x in found])
+    strip = lambda t: reduce(lambda u, c: F.replace(u, F.lit(c), F.lit("")), INVISIBLE, t)
+    odd = lambda t: F.when(is_ascii(t), any_of(t, _ODD_ASCII)).otherwise(any_of(t, _ODD_SPACE))
+    plain = lambda t: F.trim(F.when(odd(t), F.regexp_replace(t, f"{SPACE}+", " ")).otherwise(t))
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(once(text, lambda t: F.when(is_ascii(t), t).otherwise(strip(t))), plain)
 
 
 def finish_match(folded: Column) -> Column:

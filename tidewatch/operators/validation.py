@@ -112,12 +112,15 @@ def validate(raw: DataFrame, now_ms: Column, limits: Limits = Limits()) -> DataF
     missing one is. Accepted rows are those without issues."""
     rows = with_fields(raw)
     issues, warnings = issues_of(now_ms, limits)
-    rows = rows.withColumns({"issues": issues, "warnings": warnings})
+    said = _text("message") if limits.content_allowed else F.lit(None).cast("string")
+    # a generator, so that what is made of these further down doesn't make them again each time
+    once = F.explode(F.array(F.struct(issues.alias("issues"), warnings.alias("warnings"), F.when(F.size(issues) == 0, said).alias("said"))))
+    rows = rows.withColumn("once", once).select(*rows.columns, "once.*")
     at = F.unix_millis(F.try_to_timestamp(_text("timestamp")))
     stamp = F.date_format(F.timestamp_millis(at), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    rows = rows.withColumns({"user_id": _text("userId"), "room_id": _text("roomId"), "event_at_ms": at, "event_type": _text("eventType"), "said": _text("message") if limits.content_allowed else F.lit(None).cast("string")})
+    rows = rows.withColumns({"user_id": _text("userId"), "room_id": _text("roomId"), "event_at_ms": at, "event_type": _text("eventType")})
     # rows with issues go nowhere, so their texts needn't be sanitised
-    clean = F.nullif(T.sanitize_visible(F.when(F.size("issues") == 0, F.col("said"))), F.lit(""))
+    clean = F.nullif(T.sanitize_visible(F.col("said")), F.lit(""))
     rows = rows.withColumn("message", clean).withColumns({
         "client_version": F.nullif(F.trim(_text("clientVersion")), F.lit("")), "platform": F.when(_text("platform").isin(*PLATFORMS), _text("platform")).otherwise("unknown"),
         "is_transcript": F.coalesce(F.try_variant_get("v", "$.messageIsTranscript", "boolean"), F.lit(False)), "metadata": clean_metadata(),
