@@ -67,3 +67,23 @@ def test_many_blocks_prefixes_and_repeated_rows(spark, monkeypatch):
     for bits in (None, 12, 18):
         got = sorted((r.doc_id, r.n_words, r.score) for r in backoff.score(df, 3, prefix_bits=bits).collect())
         assert len(got) == len(want) and all(g[:2] == w[:2] and (g[2] or 0) == pytest.approx(w[2] or 0, abs=1e-8) for g, w in zip(got, want))
+
+
+def test_rows_hold_as_many_ngrams_at_any_size(spark):
+    """Between 0.1 and 30 GB a row's bytes of text stay within what rounding up to a power of two does; on random texts of
+    two sizes the n-grams of a row are counted."""
+    import random
+
+    for n in (100 << 20, 500 << 20, 3 << 30, 30 << 30):
+        blocks, bits = backoff.sides(n)
+        assert backoff.CELL_BYTES / 2.2 <= n / (blocks << bits) <= backoff.CELL_BYTES
+        assert n // blocks <= backoff.BLOCK_BYTES and n >> bits <= backoff.PREFIX_BYTES
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(20_000)]
+    per_row = []
+    for n_docs in (1000, 16_000):  # 0.6 and 9.6 MB
+        df = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=100))) for i in range(n_docs)], "doc_id long, text string")
+        blocks, bits = backoff.sides(n_docs * 600)
+        own = backoff.own_grams(backoff.packed(df, blocks, "doc_id", "text"), 3, bits)
+        per_row.append(own.filter("n = 3").selectExpr("avg(octet_length(grams)) / 6").first()[0])
+    assert 0.4 < per_row[0] / per_row[1] < 2.5

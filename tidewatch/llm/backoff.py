@@ -9,9 +9,11 @@ N-grams are hashes. Documents fall into blocks by hash; each block's distinct n-
 dealt out by hash prefix, packed into one row for each block and prefix. Equal hashes meet there, are summed, and the sums go
 back to their blocks in the same order, where they are joined to the documents' n-grams and summed per document. So each
 distinct n-gram of a block crosses the network once, however often it occurs; a frequent one adds at most a row for each
-block. There are as many blocks and as many prefixes as the texts' bytes ask for, so that a block and a prefix each fit a
-task's memory at any size; there are never more rows than n-grams, as empty ones aren't sent. A prefix and the 48 bits after
-it tell n-grams apart (64 bits in all at most): among N distinct ones some N^2 / 2^(49 + bits) pairs are taken for one another.
+block. Blocks and prefixes both grow with the square root of the texts' bytes, so that a row holds as many n-grams at any
+size, until they reach what fits a task's memory (BLOCK_BYTES, PREFIX_BYTES: from 32 GB on; at 1 TB a row holds a thirtieth
+of that, some 45 n-grams of a length). There are never more rows than n-grams, as empty ones aren't sent. A prefix and the 48
+bits after it tell n-grams apart (64 bits in all at most): among N distinct ones some N^2 / 2^(49 + bits) pairs are taken for
+one another.
 
 Documents cross twice, to be counted and to be scored, packed by block and compressed. A document repeated in a batch crosses
 once with its number of copies, so that a row that is repeated millions of times doesn't fill its block.
@@ -23,6 +25,7 @@ score. Repeated rows count as documents of their own. An empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,11 @@ from tidewatch.llm._common import materialise
 from tidewatch.llm.quality import forget_words, word_hashes
 
 ALPHA = 0.4
-#: Bytes of text whose n-grams of one length share a hash prefix, and the least bits of it. The next 48 bits are sent in six
-#: bytes.
-PREFIX_BYTES = 1 << 20
+#: Bytes of text whose n-grams of one length go to one row, from one block and one hash prefix.
+CELL_BYTES = 8 << 10
+#: The most bytes of text in a block, and the most whose n-grams of one length share a hash prefix.
+BLOCK_BYTES = PREFIX_BYTES = 16 << 20
+#: The least bits of a prefix. The next 48 bits are sent in six bytes.
 PREFIX_BITS = 4
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)  # fixed, so that every block hashes alike
 
@@ -102,8 +107,10 @@ def _from_numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[9:], n * kind.itemsize, codec="zstd", asbytes=True), kind).astype(np.int64)
 
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 4 << 20
+def sides(n_bytes: int) -> tuple[int, int]:
+    """Number of blocks and bits of a prefix for texts of so many bytes."""
+    side = max(1, isqrt(n_bytes * CELL_BYTES))
+    return n_bytes // min(side, BLOCK_BYTES) + 1, max(PREFIX_BITS, (n_bytes // min(side, PREFIX_BYTES)).bit_length())
 
 
 def packed(docs: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFrame:
@@ -219,8 +226,8 @@ def block_scores(texts: list[bytes | None], sums: list[np.ndarray], n_words: int
 def score(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, prefix_bits: int | None = None) -> DataFrame:
     """(id, n_words, score) for every row."""
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n_blocks = n_bytes // BLOCK_BYTES + 1
-    bits = prefix_bits or max(PREFIX_BITS, (n_bytes // PREFIX_BYTES).bit_length())
+    n_blocks, bits = sides(n_bytes)
+    bits = prefix_bits or bits
     blocks = packed(docs, n_blocks, id_col, text_col)
     sums = materialise(totals(own_grams(blocks, order, bits)), "ngram-totals")
     n_words = sums.filter("n = 1").agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
