@@ -60,7 +60,7 @@ def test_words_that_articles_use_too():
         assert H.Page(page(f"<article><h1>Title</h1>{BODY}{inner}</article>")).extract(None) == f"{WANT} Discussion {said}"
     formula = "<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>"
     assert H.Page(page(f"<article><h1>Title</h1>{BODY}{formula}</article>")).extract(None) == f"{WANT} So x=2 holds."
-    for gone in ('<div class="alert">Mind this</div>', '<div class="alert-box">Mind this</div>', '<section class="reader-comments"><p>I say so.</p></section>', '<article class="comment"><p>I say so.</p></article>', '<ul class="share-links"><li>tell</li></ul>'):
+    for gone in ('<div class="alert">Mind this</div>', '<div class="alert-box">Mind this</div>', '<section class="reader-comments"><p>I say so.</p></section>', '<article class="comment"><p>I say so.</p></article>', '<div class="responses"><p>I say so.</p></div>', '<ul class="share-links"><li>tell</li></ul>'):
         assert H.Page(page(f"<article><h1>Title</h1>{BODY}{gone}</article>")).extract(None) == WANT, gone
 
 

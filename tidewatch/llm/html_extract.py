@@ -57,7 +57,7 @@ AROUND = set(
 )
 #: Words that do so if all other words of the name are among PLAIN ones.
 PERHAPS = set(
-    "ad ads menu side aside foot sponsor promo promotion banner consent notice notices alert comment respond discussion replies reply share sharing social related recommended recommendations "
+    "ad ads menu side aside foot sponsor promo promotion banner consent notice notices alert comment respond responses discussion replies reply share sharing social related recommended recommendations "
     "subscribe signup subscription widget widgets overlay login register search toolbar copyright legal disclaimer skip".split()
 )
 PLAIN = set(
