@@ -27,7 +27,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 URL_FILTER = url_filter.UrlFilter(
     rules=[("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")],
-    reject_terms=["casino", "pills", "bets", "spam", "ads", "porn", "poker", "loans"],
+    reject_terms=["casino", "pills", "bets"],
 )
 
 
