@@ -40,7 +40,9 @@ ALPHA = 0.4
 CELL_BYTES = 8 << 10
 #: The most bytes of text in a block, and the most whose n-grams of one length share a hash prefix.
 BLOCK_BYTES = PREFIX_BYTES = 16 << 20
-#: The least bits of a prefix. The next 48 bits are sent in six bytes.
+#: How hard texts are compressed, which cross the network twice.
+TEXT_LEVEL = 6
+#: The least bits of a prefix. The next 48 bits are sent.
 PREFIX_BITS = 4
 _MIX, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(31)  # fixed, so that every block hashes alike
 
@@ -85,15 +87,27 @@ def _parts(found: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(prefix[a]), slice(a, b)
 
 
-def _six_bytes(found: np.ndarray, bits: int) -> bytes:
+def _gaps(found: np.ndarray, bits: int) -> bytes:
+    """Sorted n-grams of one prefix as the gaps between their next 48 bits: of each gap as many low bits as an average gap has,
+    and what is left as so many zeros before a one. A row of 1,400 n-grams takes five bytes for each in place of six."""
     low = (found >> np.uint64(max(16 - bits, 0))) & np.uint64((1 << min(48, 64 - bits)) - 1)
-    return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    gaps = np.diff(low, prepend=np.uint64(0))
+    k = max(1, (int(low[-1]) // len(low)).bit_length() - 1)
+    fine = np.packbits(np.unpackbits(gaps.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, 64 - k :])
+    ends = np.cumsum((gaps >> np.uint64(k)).astype(np.int64) + 1) - 1
+    coarse = np.zeros(ends[-1] + 1, np.uint8)
+    coarse[ends] = 1
+    return bytes([k]) + len(low).to_bytes(8, "little") + fine.tobytes() + np.packbits(coarse).tobytes()
 
 
-def _from_six(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def _from_gaps(data: bytes) -> np.ndarray:
+    k, n = data[0], int.from_bytes(data[1:9], "little")
+    n_fine = (n * k + 7) // 8
+    wide = np.zeros((n, 64), np.uint8)
+    wide[:, 64 - k :] = np.unpackbits(np.frombuffer(data, np.uint8, n_fine, 9), count=n * k).reshape(n, k)
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=9 + n_fine)))
+    coarse = (np.diff(ends, prepend=-1) - 1).astype(np.uint64)
+    return np.cumsum((coarse << np.uint64(k)) + np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
 def _numbers(values: np.ndarray) -> bytes:
@@ -117,7 +131,7 @@ def packed(docs: DataFrame, n_blocks: int, id_col: str, text_col: str) -> DataFr
     """(block, docs): ids, texts and numbers of copies of a block's documents from one batch, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=TEXT_LEVEL))
         for batch in batches:
             rows = pa.Table.from_batches([batch]).group_by(["block", "id", "text"], use_threads=False).aggregate([([], "count_all")])
             rows = rows.rename_columns(["block", "id", "text", "copies"])
@@ -156,7 +170,7 @@ def own_grams(blocks: DataFrame, order: int, bits: int) -> DataFrame:
             if (copies > 1).any():
                 there = at >= 0
                 count = np.bincount(at[there], copies[doc[there]], len(found)).astype(np.int64)
-            out += [(n, p, block, _six_bytes(found[part], bits), _numbers(count[part])) for p, part in _parts(found, bits)]
+            out += [(n, p, block, _gaps(found[part], bits), _numbers(count[part])) for p, part in _parts(found, bits)]
         columns = list(zip(*out)) or [[]] * 5
         return pa.table([pa.array(columns[i], pa.int32() if i < 3 else pa.binary()) for i in range(5)], ["n", "prefix", "block", "grams", "counts"])
 
@@ -168,7 +182,7 @@ def totals(own: DataFrame) -> DataFrame:
     occurrences are the block's own, summed."""
 
     def add_up(rows: list[tuple]) -> pa.RecordBatch:
-        grams, counts = [_from_six(r[3]) for r in rows], [_from_numbers(r[4]) for r in rows]
+        grams, counts = [_from_gaps(r[3]) for r in rows], [_from_numbers(r[4]) for r in rows]
         _, number = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(number, np.concatenate(counts)).astype(np.int64)[number]
         parts = np.split(total, np.cumsum([len(g) for g in grams])[:-1])
