@@ -41,6 +41,11 @@ def second_consumer(assessed: DataFrame, c: CaseConfig) -> DataFrame:
     return assessed.filter(enough).withColumn("dedupe_key", F.concat_ws(":", F.lit("alert"), "user_id", "level"))
 
 
+def wellbeing(calls: DataFrame) -> DataFrame:
+    """Calls for care (operators.abuse.wellbeing) as alerts: one a user and window, whatever the risk level."""
+    return calls.withColumn("dedupe_key", F.concat_ws(":", F.lit("wellbeing"), "user_id"))
+
+
 def sent(alerts: DataFrame, window_ms: int, key: str = "dedupe_key") -> DataFrame:
     """Alerts less those within the window of the last one *sent* for their key: each sent one silences what follows, so
     keys are streamed in time order."""

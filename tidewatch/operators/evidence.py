@@ -16,13 +16,16 @@ COLLECTED = {"messages": "redacted excerpts", "signals": "codes, severities and
 NOT_COLLECTED = {"audio": "never read", "device identifiers": "never read", "precise location": "never read"}
 
 
-def bodies(incidents: DataFrame) -> DataFrame:
+def bodies(incidents: DataFrame, capabilities: dict[str, str] | None = None) -> DataFrame:
     """(incident_id, user_id, created_ms, body): the canonical JSON of what is kept, with the signals if incidents name them
-    (column signals) and the statement of what it was made from."""
+    (column signals) and the statement of what it was made from. capabilities: feed to status; those that are available
+    join what was collected, all others what wasn't, with their status."""
+    had = [*COLLECTED, *sorted(k for k, v in (capabilities or {}).items() if v == "available")]
+    not_had = [*NOT_COLLECTED, *(f"{k}: {v}" for k, v in sorted((capabilities or {}).items()) if v != "available")]
     named = {"signals": F.col("signals")} if "signals" in incidents.columns else {}
     body = H.canonical_json(
         incidentId=F.col("incident_id"), userId=F.col("user_id"), roomId=F.col("room_id"), createdMs=F.col("created_ms"), riskScore=F.col("risk_score"), riskLevel=F.col("risk_level"),
-        behaviors=F.col("behaviors"), messages=F.transform("messages", lambda m: m["excerpt"]), schemaVersion=F.lit(SCHEMA_VERSION), collected=F.array(*map(F.lit, COLLECTED)), notCollected=F.array(*map(F.lit, NOT_COLLECTED)),
+        behaviors=F.col("behaviors"), messages=F.transform("messages", lambda m: m["excerpt"]), schemaVersion=F.lit(SCHEMA_VERSION), collected=F.array(*map(F.lit, had)), notCollected=F.array(*map(F.lit, not_had)),
         authorisation=F.lit(AUTHORISATION), **named,
     )
     return incidents.select("incident_id", "user_id", "created_ms", body.alias("body"))
