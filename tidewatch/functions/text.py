@@ -98,10 +98,13 @@ def visible(text: Column) -> Column:
     return once(once(text, lambda t: F.when(is_ascii(t), t).otherwise(strip(t))), plain)
 
 
+SEPARATORS = rf"(?:{SPACE}|[._\-*~`'\"^])+"
+
+
 def finish_match(folded: Column) -> Column:
     """The native end of normalising: runs of three cut to two, separators to one space."""
     runs = F.regexp_replace(folded, r"(?s)(.)\1{2,}", "$1$1")
-    return F.trim(F.regexp_replace(runs, rf"(?:{SPACE}|[._\-*~`'\"^])+", " "))
+    return F.trim(F.regexp_replace(runs, SEPARATORS, " "))
 
 
 def normalize_for_match(text: Column) -> Column:
@@ -124,8 +127,11 @@ def collapse_letter_spacing(normalized: Column) -> Column:
     return F.when((F.size(tokens) >= 4) & (single >= 0.6 * F.size(tokens)), F.array_join(tokens, ""))
 
 
+MENTION = rf"(?:^|{SPACE}|\()@[A-Za-z0-9_.-]{{2,32}}"
+
+
 def count_mentions(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(rf"(?:^|{SPACE}|\()@[A-Za-z0-9_.-]{{2,32}}")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(MENTION)), F.lit(0))
 
 
 #: Endings that make a bare host a link.
@@ -220,9 +226,49 @@ SQL_FUNCTIONS = {
 }
 
 
+def _literal(text: str) -> str:
+    """A SQL string of just these characters."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _text_functions() -> dict[str, str]:
+    """SQL functions over texts, from the same patterns as the Columns. Those that end in _of take normalized texts, as
+    unicode_forms(t).folded gives them to finish_match."""
+    redacted, seen = "t", "filter(array({}), s -> s IS NOT NULL)"
+    for pattern, token in IDENTIFIERS:
+        redacted = f"regexp_replace({redacted}, {_literal(pattern)}, {_literal(token)})"
+    scripts = ", ".join(f"if(t RLIKE {_literal(rf'\p{{Is{s}}}')}, '{s}', NULL)" for s in SCRIPTS)
+    bare = f"regexp_replace(t, {_literal(r'[^\p{L}\p{N}]+')}, '')"
+    tokens = "filter(split(t, ' '), x -> x <> '')"
+    finished = f"regexp_replace(regexp_replace(t, {_literal(r'(?s)(.)\1{2,}')}, '$1$1'), {_literal(SEPARATORS)}, ' ')"
+    return {
+        "redact_identifiers": f"(t STRING) RETURNS STRING RETURN {redacted}",
+        "finish_match": f"(t STRING) RETURNS STRING RETURN trim({finished})",
+        "fingerprint_of": f"(t STRING) RETURNS STRING RETURN if({bare} <> '', {bare}, t)",
+        "letters_joined_of": f"(t STRING) RETURNS STRING RETURN if(size({tokens}) >= 4 AND size(filter({tokens}, x -> length(x) = 1)) >= 0.6D * size({tokens}), array_join({tokens}, ''), NULL)",
+        "count_mentions": f"(t STRING) RETURNS INT RETURN coalesce(regexp_count(t, {_literal(MENTION)}), 0)",
+        "extract_urls": f"(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(transform(regexp_extract_all(coalesce(t, ''), {_literal(URL)}, 0), u -> lower(u)))",
+        "scripts_used": f"(t STRING) RETURNS ARRAY<STRING> RETURN {seen.format(scripts)}",
+        "trigrams": f"(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct(regexp_extract_all(concat(' ', t, ' '), {_literal('(?s)(?=(...))')}, 1))",
+        "version_label": f"(t STRING) RETURNS STRING RETURN left(regexp_replace(t, {_literal('[^A-Za-z0-9.+-]')}, ''), 32)",
+        "is_ascii": "(t STRING) RETURNS BOOLEAN RETURN length(t) = octet_length(t)",
+    }
+
+
+#: SQL functions over arrays of numbers.
+ARRAY_FUNCTIONS = {
+    "noisy_or": "(c ARRAY<DOUBLE>) RETURNS DOUBLE RETURN floor((1 - aggregate(c, 1D, (a, x) -> a * (1 - least(greatest(nanvl(x, 0D), 0D), 1D)))) * 10000 + 0.5) / 10000",
+    "array_mean": "(x ARRAY<DOUBLE>) RETURNS DOUBLE RETURN if(size(x) > 0, aggregate(x, 0D, (a, v) -> a + v) / size(x), 0D)",
+    "array_cv": """(x ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(x, named_struct('n', 0D, 'mean', 0D, 'm2', 0D),
+  (a, v) -> named_struct('n', a.n + 1, 'mean', a.mean + (v - a.mean) / (a.n + 1), 'm2', a.m2 + (v - a.mean) * (v - a.mean) * a.n / (a.n + 1)), a -> if(a.n < 2 OR a.mean = 0, 0D, sqrt(a.m2 / (a.n - 1)) / a.mean))""",
+    "deltas": "(x ARRAY<BIGINT>) RETURNS ARRAY<BIGINT> RETURN if(size(x) > 1, zip_with(slice(x, 2, size(x) - 1), slice(x, 1, size(x) - 1), (b, a) -> b - a), CAST(array() AS ARRAY<BIGINT>))",
+}
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Temporary functions for SQL: the Unicode forms and the ones above. Returns their names."""
     spark.udf.register("unicode_forms", unicode_forms)
-    for name, body in SQL_FUNCTIONS.items():
+    made = {**SQL_FUNCTIONS, **_text_functions(), **ARRAY_FUNCTIONS}
+    for name, body in made.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    return ["unicode_forms", *SQL_FUNCTIONS]
+    return ["unicode_forms", *made]
