@@ -67,6 +67,22 @@ def test_mute_intervals_equal_a_fold(spark):
     assert shield.mute_intervals(decided.limit(0)).count() == 0
 
 
+def test_muted_sets_do_not_travel(spark):
+    """200 speakers muted at 300 times: what is shuffled are intervals and times, not their pairs; overlapping intervals end once."""
+    spans = spark.range(200).selectExpr("'l' AS listener_id", "concat('s', id) AS speaker_id", "explode(array(id * 1000, id * 1000 + 50000)) AS from_ms", "CASE WHEN id % 2 = 0 THEN 25000000L ELSE id * 1000 + 60000 END AS to_ms")
+    times = spark.range(300).selectExpr("'l' AS listener_id", "id * 100000 AS at_ms")
+    store = spark._jsc.sc().statusStore()
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for s in (x.apply(i) for x in [store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)] for i in range(x.size()))}
+    before = stages()
+    got = {r.at_ms: r.speaker_ids for r in shield.muted_at(spans, times).collect()}
+    spent = sum(n for stage, n in stages().items() if stage not in before)
+    spans = spans.collect()
+    assert got == {t: sorted({r.speaker_id for r in spans if r.from_ms <= t < r.to_ms}) for t in range(0, 30_000_000, 100_000)}
+    assert sum(map(len, got.values())) > 20_000 and spent < 5000
+    told = {r.at_ms: r.speaker_ids for r in shield.muted_at(spark.createDataFrame(spans), times, "|").collect()}
+    assert told == {t: "|".join(v) for t, v in got.items()}
+
+
 def test_evidence_states_its_sources(spark):
     row = [("i", "u", "r", START, 80, "CRITICAL", ["SPAM_BURST"], None)]
     cases = spark.createDataFrame(row, "incident_id string, user_id string, room_id string, created_ms long, risk_score int, risk_level string, behaviors array<string>, messages array<struct<excerpt:string>>")
