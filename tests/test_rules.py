@@ -250,3 +250,26 @@ def test_working_tables_are_deleted(spark):
         assert spark.read.parquet(path).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_messages_are_read_once_and_events_carry_no_text(spark, sf):
+    """What is found of a message is made from the table of documents, not from each event that says it, with the same signals."""
+    from tidewatch.plans import queries
+    from tidewatch.sources.telemetry import telemetry
+
+    rows = queries.featured(spark, sf, "odd", "links", "hits")
+    assert not {"message", "normalized", "fp", "forms"} & set(rows.columns)
+    whole = spam.with_text_features(telemetry(spark, sf))
+    key = ["event_id", "fp_key", "fp_length", "mentions"]
+    assert sorted(map(str, rows.select(*key).collect())) == sorted(map(str, whole.select(*key).collect()))
+    read = lambda df: sorted(map(str, df.drop("details").collect()))
+    assert read(spam.suspicious_characters(rows)) == read(spam.suspicious_characters(whole))
+    assert read(spam.link_flood(rows, queries.S)) == read(spam.link_flood(whole, queries.S))
+    assert read(abuse.signals(abuse.classify(rows, queries.A), queries.A)) == read(abuse.signals(abuse.classify(whole, queries.A), queries.A))
+
+
+def test_a_decision_is_computed_once(spark):
+    """The filter on a decision does not repeat the decision for each mention: the plan stays short."""
+    df = abuse.signals(abuse.classify(spam.with_text_features(events(spark, [{"message": "you idiot"}])), C.abuse), C.abuse)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(filter(") <= 6 and codes(df) == {"ABUSE_LANGUAGE", "ABUSE_TARGETED_HARASSMENT"}

@@ -30,11 +30,12 @@ def _hits(tier: str, lex: L.Lexicon) -> Column:
     return F.slice(F.array_distinct(F.concat(F.coalesce(plain, F.array().cast("array<string>")), dense)), 1, 200)
 
 
-def with_hits(featured: DataFrame, lex: L.Lexicon) -> DataFrame:
-    """Adds mild, severe and threat hits, mitigations, targeted, obfuscated and self_harm; works on distinct messages, which
-    are joined back by their digest."""
-    rows = featured.withColumn("key", F.md5("message"))
-    said = rows.filter("message IS NOT NULL").groupBy("key").agg(*(F.first(c).alias(c) for c in ("message", "normalized", "forms")))
+HITS = ["mild_hits", "severe_hits", "threat_hits", "mitigations", "obfuscated", "addressed", "mentions_someone", "other_target", "self_harm"]
+
+
+def message_hits(said: DataFrame, lex: L.Lexicon | None = None) -> DataFrame:
+    """Adds HITS to messages with their text features."""
+    lex = lex or L.Lexicon()
     said = said.withColumn("joined", T.collapse_letter_spacing(F.col("normalized")))
     for tier in ("mild", "severe", "threat"):
         said = said.withColumn(f"{tier}_hits", _hits(tier, lex))
@@ -43,16 +44,24 @@ def with_hits(featured: DataFrame, lex: L.Lexicon) -> DataFrame:
         said = said.withColumn("mild_hits", F.filter("mild_hits", lambda h: ~F.exists(ok, lambda a: F.contains(a, h) | F.contains(h, a))))
     found = [F.when(F.col("normalized").rlike(p if n == "quotation" else L.bounded(p)), F.lit(n)) for n, p in L.MITIGATIONS]
     said = said.withColumn("mitigations", F.filter(F.array(*found), lambda m: m.isNotNull()))
-    said = said.withColumn("odd", T.char_anomalies(F.col("message"), F.col("forms"), F.col("normalized")))
+    x = T.char_anomalies(F.col("message"), F.col("forms"), F.col("normalized"))
     any_hit = (F.size("mild_hits") + F.size("severe_hits") + F.size("threat_hits")) > 0
-    hidden = F.col("odd.invisible_in_word") | (F.col("odd.mixed_words") > 0) | F.col("odd.letter_spaced")
+    hidden = x["invisible_in_word"] | (x["mixed_words"] > 0) | x["letter_spaced"]
     is_like = lambda pattern: F.col("normalized").rlike(pattern)
-    said = said.withColumns({
-        "obfuscated": hidden & any_hit, "addressed": is_like(L.TARGET), "mentions_someone": is_like(r"(?:^|\s)@[a-z0-9_.-]{2,}"),
+    return said.withColumns({
+        "obfuscated": any_hit & hidden, "addressed": is_like(L.TARGET), "mentions_someone": is_like(r"(?:^|\s)@[a-z0-9_.-]{2,}"),
         "other_target": is_like(L.OTHER_TARGET), "self_harm": is_like(L.bounded(L.SELF_HARM)),
     })
-    columns = ["mild_hits", "severe_hits", "threat_hits", "mitigations", "obfuscated", "addressed", "mentions_someone", "other_target", "self_harm"]
-    rows = rows.join(said.select("key", *columns), "key", "left").drop("key")
+
+
+def with_hits(featured: DataFrame, lex: L.Lexicon) -> DataFrame:
+    """Adds mild, severe and threat hits, mitigations, targeted, obfuscated and self_harm; works on distinct messages, which
+    are joined back by their digest. Events to which the hits of their messages were joined already keep them."""
+    rows = featured
+    if not set(HITS) <= set(rows.columns):
+        rows = rows.withColumn("key", F.md5("message"))
+        said = rows.filter("message IS NOT NULL").groupBy("key").agg(*(F.first(c).alias(c) for c in ("message", "normalized", "forms")))
+        rows = rows.join(message_hits(said, lex).select("key", *HITS), "key", "left").drop("key")
     return rows.withColumn("targeted", F.coalesce(F.col("mentions_someone") | (F.col("addressed") & (F.col("event_type") != "join")), F.lit(False)))
 
 
@@ -95,7 +104,8 @@ def with_layers(hit: DataFrame, c: AbuseConfig, verdicts: DataFrame | None = Non
         rows = rows.withColumn("l_ai", F.lit(None).cast(_LAYER))
     rows = rows.withColumn("base", decide(_some("l_threat", "l_severe", "l_mild", "l_ai"), c))
     # up to the threshold only verdicts without the rate layer count, and the list never shrinks below it
-    counted = F.when(F.col("message").isNotNull() & (rank(F.col("base.class")) >= 2), 1).otherwise(0)
+    said = F.col("message").isNotNull() if "message" in rows.columns else F.col("has_message")
+    counted = F.when(said & (rank(F.col("base.class")) >= 2), 1).otherwise(0)
     prior = F.coalesce(F.sum(counted).over(W.partitionBy("user_id").orderBy("at_ms", "seq").rowsBetween(FIRST, -1)), F.lit(0))
     rows = rows.withColumn("repeated", prior + 1 >= c.repeat_count)
     rate = F.when(F.col("repeated") & ((F.size("mild_hits") > 0) | (F.size("severe_hits") > 0)), _layer("rate", F.lit("ABUSIVE"), F.lit(0.75)))
@@ -108,10 +118,15 @@ def _some(*names: str) -> Column:
 
 def decide(sources: Column, c: AbuseConfig) -> Column:
     """Struct (class, confidence, review, recommended) of the layers' verdicts: the first most severe fixed rule leads; a
-    classifier raises it only for a person to confirm, and real disagreement is uncertain."""
+    classifier raises it only for a person to confirm, and real disagreement is uncertain. What is named often is computed once."""
     none = F.lit(None).cast(_LAYER)
     top = F.aggregate(F.filter(sources, lambda s: s["layer"] != "ai"), none, lambda best, s: F.when(best.isNull() | (rank(s["class"]) > rank(best["class"])), s).otherwise(best))
     ai = F.get(F.filter(sources, lambda s: s["layer"] == "ai"), F.lit(0))
+    found = T.once(F.struct(top.alias("top"), ai.alias("ai")), lambda x: _judged(x["top"], x["ai"], c))
+    return T.once(found, lambda x: _advised(x, c))
+
+
+def _judged(top: Column, ai: Column, c: AbuseConfig) -> Column:
     made = lambda cls, conf, review: F.struct((cls if isinstance(cls, Column) else F.lit(cls)).alias("class"), (conf if isinstance(conf, Column) else F.lit(float(conf))).alias("confidence"), (review if isinstance(review, Column) else F.lit(review)).alias("review"))
     a, b = rank(top["class"]), rank(ai["class"])
     gap = F.abs(a - b)
@@ -124,7 +139,10 @@ def decide(sources: Column, c: AbuseConfig) -> Column:
         .otherwise(made(top["class"], top["confidence"], False))
     )
     alone = made(F.when(ai["class"] == "SAFE", "SAFE").otherwise("UNCERTAIN"), F.least(ai["confidence"], F.lit(0.7)), ai["class"] != "SAFE")
-    found = F.when(top.isNotNull() & ai.isNotNull(), both).when(top.isNotNull(), made(top["class"], top["confidence"], False)).when(ai.isNotNull(), alone).otherwise(made("SAFE", 0.9, False))
+    return F.when(top.isNotNull() & ai.isNotNull(), both).when(top.isNotNull(), made(top["class"], top["confidence"], False)).when(ai.isNotNull(), alone).otherwise(made("SAFE", 0.9, False))
+
+
+def _advised(found: Column, c: AbuseConfig) -> Column:
     cls, conf = found["class"], M.half_up(M.clamp(found["confidence"], 0, 1), 4)
     sure = found["confidence"] >= c.auto_action_min_confidence
     advice = F.when(cls == "THREAT", "REPORT").when(cls == "SEVERE_ABUSE", F.when(sure, "BLOCK").otherwise("REPORT")).when(cls == "ABUSIVE", F.when(sure, "MUTE").otherwise("WARN")).when(cls == "UNCERTAIN", "WARN").otherwise("NONE")
@@ -140,16 +158,21 @@ def classify(featured: DataFrame, c: AbuseConfig, lex: L.Lexicon | None = None,
 def signals(classified: DataFrame, c: AbuseConfig) -> DataFrame:
     from tidewatch.config import SIGNALS
 
-    cls, conf = F.col("decision.class"), F.col("decision.confidence")
     one = lambda code, severity, confidence: F.struct(F.lit(code).alias("code"), F.lit(SIGNALS[code][0]).alias("category"), (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"))
-    made = F.array(
-        F.when(cls == "THREAT", one("THREAT_LANGUAGE", "SEVERE", conf)).when(cls == "SEVERE_ABUSE", one("ABUSE_SEVERE", "SEVERE", conf)).when(cls.isin("ABUSIVE", "UNCERTAIN"), one("ABUSE_LANGUAGE", F.when(cls == "ABUSIVE", "MEDIUM").otherwise("LOW"), conf)),
-        F.when(F.col("targeted") & (rank(cls) >= 2), one("ABUSE_TARGETED_HARASSMENT", "HIGH", F.least(conf, F.lit(0.85)))),
-        F.when(F.col("repeated"), one("ABUSE_REPEATED", "HIGH", 0.8)),
-        F.when(F.col("obfuscated"), one("EVASION_FILTER_OBFUSCATION", "MEDIUM", 0.8)),
-    )
-    worth = (cls != "SAFE") & (cls.isin("THREAT", "SEVERE_ABUSE") | (conf >= c.min_confidence))
-    rows = classified.filter(worth).select("user_id", "room_id", "event_id", "at_ms", "seq", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x"))
+
+    def made(decision: Column) -> Column:
+        cls, conf = decision["class"], decision["confidence"]
+        worth = (cls != "SAFE") & (cls.isin("THREAT", "SEVERE_ABUSE") | (conf >= c.min_confidence))
+        found = F.array(
+            F.when(cls == "THREAT", one("THREAT_LANGUAGE", "SEVERE", conf)).when(cls == "SEVERE_ABUSE", one("ABUSE_SEVERE", "SEVERE", conf)).when(cls.isin("ABUSIVE", "UNCERTAIN"), one("ABUSE_LANGUAGE", F.when(cls == "ABUSIVE", "MEDIUM").otherwise("LOW"), conf)),
+            F.when(F.col("targeted") & (rank(cls) >= 2), one("ABUSE_TARGETED_HARASSMENT", "HIGH", F.least(conf, F.lit(0.85)))),
+            F.when(F.col("repeated"), one("ABUSE_REPEATED", "HIGH", 0.8)),
+            F.when(F.col("obfuscated"), one("EVASION_FILTER_OBFUSCATION", "MEDIUM", 0.8)),
+        )
+        return F.filter(found, lambda x: worth & x.isNotNull())
+
+    # as one expression over the decision: a filter would be pushed below it, and repeat it for each mention
+    rows = classified.select("user_id", "room_id", "event_id", "at_ms", "seq", F.explode(T.once(F.col("decision"), made)).alias("x"))
     return rows.select("user_id", "room_id", "event_id", "at_ms", "seq", "x.*", F.create_map().cast("map<string,double>").alias("details"))
 
 
