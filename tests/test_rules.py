@@ -273,3 +273,10 @@ def test_a_decision_is_computed_once(spark):
     df = abuse.signals(abuse.classify(spam.with_text_features(events(spark, [{"message": "you idiot"}])), C.abuse), C.abuse)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(filter(") <= 6 and codes(df) == {"ABUSE_LANGUAGE", "ABUSE_TARGETED_HARASSMENT"}
+
+
+def test_the_chain_is_verified_from_what_was_written(spark, sf):
+    """Verification looks at the chain three times; none of them makes the incidents and their excerpts again."""
+    from tidewatch.plans import queries
+
+    assert not any("testdata" in f for f in queries.evidence_chain(spark, sf).inputFiles())
