@@ -280,3 +280,16 @@ def test_the_chain_is_verified_from_what_was_written(spark, sf):
     from tidewatch.plans import queries
 
     assert not any("testdata" in f for f in queries.evidence_chain(spark, sf).inputFiles())
+
+
+def test_messages_apart_are_judged_as_those_in_their_rows(spark):
+    """Each text is measured and cleaned once, not for each row that says it; issues, ids and clean texts are those of rows that hold it."""
+    from tidewatch.sources.telemetry import raw_events
+
+    said = ["hi", "hi", " a​b  Ａ ", "", "  ", None, "x" * 4000, "\U0001f600" * 2001, 'quo"te\n\\']
+    rows = spark.createDataFrame([(i, i, "u", "r", START, "message", t, "4.2.1", "ios", 1, 1.5) for i, t in enumerate(said)], "number long, seq long, user_id string, room_id string, at_ms long, event_type string, message string, client_version string, platform string, k long, value double")
+    rows = rows.withColumn("number", F.lit(None).cast("long"))
+    apart = raw_events(validation.message_facts(rows))
+    assert "x" * 9 not in "".join(r.raw for r in apart.collect())
+    want, got = ([r.asDict(True) for r in validation.validate(df, F.col("at_ms")).drop("raw", "metadata").orderBy("seq").collect()] for df in (raw_events(rows), apart))
+    assert got == want and [len(r["issues"]) for r in want] == [0, 1, 0, 0, 1, 1, 0, 1, 0] and want[2]["message"] == "ab A"

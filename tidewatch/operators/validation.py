@@ -36,24 +36,24 @@ ID = r"^[A-Za-z0-9_.:@-]+$"
 
 
 def with_fields(raw: DataFrame) -> DataFrame:
-    """Adds v (the row as a variant), and kinds and texts of the fields, each read once."""
+    """Adds v (the row as a variant), kind_ and text_ of each field, and meta, the metadata if they are an object; each read once."""
     rows = raw.withColumn("v", F.try_parse_json("raw"))
-    kinds = F.struct(*(F.schema_of_variant(F.variant_get("v", f"$.{f}", "variant")).alias(f) for f in FIELDS))
-    texts = F.struct(*(F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in FIELDS if f != "metadata"))
-    return rows.withColumns({"kinds": kinds, "texts": texts})
+    kinds = {f"kind_{f}": F.schema_of_variant(F.variant_get("v", f"$.{f}", "variant")) for f in FIELDS}
+    texts = {f"text_{f}": F.try_variant_get("v", f"$.{f}", "string") for f in FIELDS if f != "metadata"}
+    return rows.withColumns({**kinds, **texts, "meta": F.try_variant_get("v", "$.metadata", "map<string,variant>")})
 
 
 def _kind(path: str) -> Column:
     """The JSON type of a field; null if it is absent, VOID if it is null."""
-    return F.col(f"kinds.{path}")
+    return F.col(f"kind_{path}")
 
 
 def _text(path: str) -> Column:
-    return F.col(f"texts.{path}")
+    return F.col(f"text_{path}")
 
 
 def _metadata() -> Column:
-    return F.coalesce(F.try_variant_get("v", "$.metadata", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.coalesce("meta", F.create_map().cast("map<string,variant>"))
 
 
 def clean_metadata() -> Column:
@@ -66,11 +66,21 @@ def clean_metadata() -> Column:
     return F.when(_kind("metadata").startswith("OBJECT"), F.map_from_arrays(F.map_keys(meta), F.zip_with(values, cleaned, back)))
 
 
-def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
-    """(issues, warnings) of a row with columns raw and v, each array<struct<field, code>>."""
+def message_facts(said: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """said: message, among other columns. Puts what the rules ask of a message in its place: too_long, empty and clean, the clean text of
+    one that isn't too long. Null for no message. Texts that many rows say are so looked at once each."""
+    rows = said.withColumn("_long", T.utf16_length(F.col("message")) > limits.message_length)
+    rows = rows.withColumn("_clean", F.nullif(T.sanitize_visible(F.when(~F.col("_long") & F.lit(limits.content_allowed), F.col("message"))), F.lit("")))
+    facts = F.struct(F.col("_long").alias("too_long"), (F.trim("message") == "").alias("empty"), F.col("_clean").alias("clean"))
+    return rows.withColumn("message", F.when(F.col("message").isNotNull(), facts)).drop("_long", "_clean")
+
+
+def issues_of(now_ms: Column, limits: Limits, apart: bool = False) -> tuple[Column, Column]:
+    """(issues, warnings) of a row with columns raw and v, each array<struct<field, code>>. apart: messages stand in a column apart, as
+    message_facts."""
     one = lambda cond, field, code: F.when(cond, F.struct((field if isinstance(field, Column) else F.lit(field)).alias("field"), F.lit(code).alias("code")))
     some = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    is_object = F.col("v").isNotNull() & F.ltrim(F.col("raw"), F.lit(" \t\r\n")).startswith("{")  # a row's whole schema takes far longer
     extra = F.transform(F.array_except(F.json_object_keys("raw"), F.array(*map(F.lit, FIELDS))), lambda k: F.struct(F.left(F.regexp_replace(k, "[^A-Za-z0-9_.-]", ""), F.lit(64)).alias("field"), F.lit("UNKNOWN_FIELD").alias("code")))
     found = []
     for field in ("userId", "roomId"):
@@ -81,8 +91,12 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
     found.append(F.coalesce(one(_kind("timestamp").isNull() | (_kind("timestamp") != "STRING"), "timestamp", "MISSING"), one(at.isNull(), "timestamp", "UNPARSABLE"), one(at > now_ms + limits.max_future_ms, "timestamp", "IN_FUTURE"), one(at < now_ms - limits.max_age_ms, "timestamp", "TOO_OLD")))
     found.append(one(~F.coalesce(_text("eventType").isin(*TYPES), F.lit(False)), "eventType", "NOT_ALLOWED"))
     message, kind = _text("message"), _kind("message")
-    said = kind.isNotNull() & (kind != "VOID")
-    found.append(F.coalesce(one(said & (kind != "STRING"), "message", "BAD_TYPE"), one(T.utf16_length(message) > limits.message_length, "message", "TOO_LONG")))
+    if apart:
+        said, too_long, empty = F.col("apart").isNotNull(), F.col("apart.too_long"), F.col("apart.empty")
+        found.append(one(too_long, "message", "TOO_LONG"))
+    else:
+        said, empty = kind.isNotNull() & (kind != "VOID"), F.trim(message) == ""
+        found.append(F.coalesce(one(said & (kind != "STRING"), "message", "BAD_TYPE"), one(T.utf16_length(message) > limits.message_length, "message", "TOO_LONG")))
     kind = _kind("clientVersion")
     found.append(F.coalesce(one(kind.isNotNull() & ~kind.isin("STRING", "VOID"), "clientVersion", "BAD_TYPE"), one(F.length(_text("clientVersion")) > limits.version_length, "clientVersion", "TOO_LONG")))
     kind = _kind("messageIsTranscript")
@@ -101,7 +115,7 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
     platform = _text("platform")
     warnings = some(
         one(platform.isNotNull() & ~platform.isin(*PLATFORMS), "platform", "UNKNOWN_PLATFORM"), one(F.lit(not limits.content_allowed) & said, "message", "CONTENT_NOT_AUTHORIZED"),
-        one((_text("eventType") == "message") & F.coalesce(F.trim(message) == "", F.lit(True)), "message", "EMPTY_MESSAGE"),
+        one((_text("eventType") == "message") & F.coalesce(empty, F.lit(True)), "message", "EMPTY_MESSAGE"),
     )
     return issues, F.when(is_object, warnings).otherwise(F.array().cast("array<struct<field:string,code:string>>"))
 
@@ -109,18 +123,20 @@ def issues_of(now_ms: Column, limits: Limits) -> tuple[Column, Column]:
 def validate(raw: DataFrame, now_ms: Column, limits: Limits = Limits()) -> DataFrame:
     """raw: batch_id, idx, raw. Adds issues, warnings and the fields of a valid event; of valid rows that share an id in a
     batch the first stays, the others get DUPLICATE_IN_BATCH. An id that isn't a good one is derived from the event, as a
-    missing one is. Accepted rows are those without issues."""
-    rows = with_fields(raw)
-    issues, warnings = issues_of(now_ms, limits)
-    said = _text("message") if limits.content_allowed else F.lit(None).cast("string")
-    # a generator, so that what is made of these further down doesn't make them again each time
-    once = F.explode(F.array(F.struct(issues.alias("issues"), warnings.alias("warnings"), F.when(F.size(issues) == 0, said).alias("said"))))
-    rows = rows.withColumn("once", once).select(*rows.columns, "once.*")
+    missing one is. Accepted rows are those without issues. raw may have apart, the message_facts of messages that many rows say and
+    that are kept apart from them; the JSON then has none."""
+    rows, apart = with_fields(raw), "apart" in raw.columns
+    fields = rows.columns[len(raw.columns):]
+    issues, warnings = issues_of(now_ms, limits, apart)
+    said = (F.col("apart.clean") if apart else _text("message")) if limits.content_allowed else F.lit(None).cast("string")
+    # a generator, so that what is made of these further down, also in the same row, doesn't make them again each time
+    once = F.explode(F.array(F.struct(issues.alias("issues"), warnings.alias("warnings"))))
+    rows = rows.withColumn("once", once).select(*rows.columns, "once.*").withColumn("said", F.when(F.size("issues") == 0, said))
     at = F.unix_millis(F.try_to_timestamp(_text("timestamp")))
     stamp = F.date_format(F.timestamp_millis(at), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     rows = rows.withColumns({"user_id": _text("userId"), "room_id": _text("roomId"), "event_at_ms": at, "event_type": _text("eventType")})
     # rows with issues go nowhere, so their texts needn't be sanitised
-    clean = F.nullif(T.sanitize_visible(F.col("said")), F.lit(""))
+    clean = F.col("said") if apart else F.nullif(T.sanitize_visible(F.col("said")), F.lit(""))
     rows = rows.withColumn("message", clean).withColumns({
         "client_version": F.nullif(F.trim(_text("clientVersion")), F.lit("")), "platform": F.when(_text("platform").isin(*PLATFORMS), _text("platform")).otherwise("unknown"),
         "is_transcript": F.coalesce(F.try_variant_get("v", "$.messageIsTranscript", "boolean"), F.lit(False)), "metadata": clean_metadata(),
@@ -128,7 +144,7 @@ def validate(raw: DataFrame, now_ms: Column, limits: Limits = Limits()) -> DataF
     derived = H.event_id(F.col("event_type"), F.col("message"), F.col("room_id"), stamp, F.col("user_id"))
     own = _text("eventId")
     given = F.when((_kind("eventId") == "STRING") & (F.length(own) <= limits.id_length) & own.rlike(ID), own)
-    rows = rows.withColumn("event_id", F.coalesce(given, derived)).drop("said", "v", "kinds", "texts")
+    rows = rows.withColumn("event_id", F.coalesce(given, derived)).drop("said", "apart", *fields)
     good = F.size("issues") == 0
     order = F.row_number().over(W.partitionBy("batch_id", "event_id", good).orderBy("idx"))
     again = F.array(F.struct(F.lit("eventId").alias("field"), F.lit("DUPLICATE_IN_BATCH").alias("code")))
