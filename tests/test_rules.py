@@ -8,6 +8,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tests.helpers import START, codes, events
@@ -293,3 +294,14 @@ def test_messages_apart_are_judged_as_those_in_their_rows(spark):
     assert "x" * 9 not in "".join(r.raw for r in apart.collect())
     want, got = ([r.asDict(True) for r in validation.validate(df, F.col("at_ms")).drop("raw", "metadata").orderBy("seq").collect()] for df in (raw_events(rows), apart))
     assert got == want and [len(r["issues"]) for r in want] == [0, 1, 0, 0, 1, 1, 0, 1, 0] and want[2]["message"] == "ab A"
+
+
+def test_a_tasks_share_of_events_stays_the_same(spark):
+    """Events are dealt by user into partitions that grow with them, whatever spark.sql.shuffle.partitions says; windows need no other shuffle."""
+    from tidewatch.plans.queries import _dealt
+
+    rows = spark.range(1_500_000).selectExpr("id % 999 AS user_id", "id AS at_ms", "id AS seq")
+    assert _dealt(rows).rdd.getNumPartitions() == 10 and _dealt(rows.limit(100)).rdd.getNumPartitions() == 1
+    summed = _dealt(rows, "at_ms", "seq").withColumn("n", F.sum("seq").over(W.partitionBy("user_id", "at_ms").orderBy("seq")))
+    plan = summed._jdf.queryExecution().sparkPlan().toString() + summed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 0
