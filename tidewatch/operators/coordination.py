@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import CoordinationConfig
 from tidewatch.functions import math as M
 from tidewatch.operators.spam import fp_key, fp_length, is_content
+from tidewatch.operators.windows import FIRST
 
 
 def sweep_of(at_ms: Column, c: CoordinationConfig) -> Column:
@@ -38,8 +39,10 @@ def synchronized_joins(events: DataFrame, c: CoordinationConfig) -> DataFrame:
     keys, width = ["room_id", "sweep_ms"], c.join_window_ms
     joins = events.filter("event_type = 'join'").select("room_id", sweep_of(F.col("at_ms"), c).alias("sweep_ms"), "at_ms", "seq", "user_id")
     new = F.when(F.row_number().over(W.partitionBy(*keys, "user_id").orderBy("at_ms", "seq")) == 1, 1).otherwise(0)
-    ahead = W.partitionBy(*keys).orderBy("at_ms").rangeBetween(0, width)
-    starts = joins.withColumn("new", new).withColumns({"n_new": F.sum("new").over(ahead), "n_all": F.count("*").over(ahead)}).filter(F.col("n_all") >= c.join_accounts)
+    # running sums up to the window's end, less those before it: no frame slides, however many join in a window
+    along = W.partitionBy(*keys).orderBy("at_ms")
+    ahead = lambda v: F.sum(v).over(along.rangeBetween(FIRST, width)) - F.coalesce(F.sum(v).over(along.rangeBetween(FIRST, -1)), F.lit(0))
+    starts = joins.withColumn("new", new).withColumns({"n_new": ahead(F.col("new")), "n_all": ahead(F.lit(1))}).filter(F.col("n_all") >= c.join_accounts)
     start = F.struct("at_ms", "seq")
     settled = starts.filter(F.col("n_new") >= c.join_accounts).groupBy(*keys).agg(F.min(start).alias("settled"))
     open_ = starts.filter(F.col("n_new") < c.join_accounts).join(settled, keys, "left").filter(F.col("settled").isNull() | (start < F.col("settled")))
