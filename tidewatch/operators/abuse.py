@@ -22,36 +22,46 @@ def rank(c: Column) -> Column:
 
 
 def _hits(tier: str, lex: L.Lexicon) -> Column:
-    """Distinct matches in the text and, where letters are spaced out, in the joined text."""
+    """Distinct matches in the text and, where letters are spaced out, in the joined text. The pattern, which is large, is only for
+    texts with a word that it asks for."""
     if tier not in lex.patterns:
         return F.array().cast("array<string>")
     plain = F.regexp_extract_all("normalized", F.lit(lex.patterns[tier]), F.lit(0))
+    if tier in lex.words:
+        plain = F.when(_has_any("seen", lex.words[tier]), plain)
     dense = F.regexp_extract_all(F.coalesce(F.col("joined"), F.lit("")), F.lit(lex.dense[tier]), F.lit(0))
     return F.slice(F.array_distinct(F.concat(F.coalesce(plain, F.array().cast("array<string>")), dense)), 1, 200)
 
 
+def _has_any(words: str, wanted: list[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, wanted)))
+
+
 HITS = ["mild_hits", "severe_hits", "threat_hits", "mitigations", "obfuscated", "addressed", "mentions_someone", "other_target", "self_harm"]
 
 
 def message_hits(said: DataFrame, lex: L.Lexicon | None = None) -> DataFrame:
-    """Adds HITS to messages with their text features."""
+    """Adds HITS to messages with their text features. Mitigations are looked for where something was hit."""
     lex = lex or L.Lexicon()
-    said = said.withColumn("joined", T.collapse_letter_spacing(F.col("normalized")))
+    target, other, harm = (w.split("|") for w in (L.TARGET_WORDS, L.OTHER_WORDS, L.SELF_HARM_WORDS))
+    wanted = sorted({*target, *other, *harm, *(w for some in lex.words.values() for w in some)})
+    words = F.split("normalized", r"\W+")
+    said = said.withColumns({"joined": T.collapse_letter_spacing(F.col("normalized")), "seen": F.array_intersect(words, F.array(*map(F.lit, wanted)))})
     for tier in ("mild", "severe", "threat"):
         said = said.withColumn(f"{tier}_hits", _hits(tier, lex))
     if lex.allow:
         ok = F.array(*map(F.lit, lex.allow))
         said = said.withColumn("mild_hits", F.filter("mild_hits", lambda h: ~F.exists(ok, lambda a: F.contains(a, h) | F.contains(h, a))))
     found = [F.when(F.col("normalized").rlike(p if n == "quotation" else L.bounded(p)), F.lit(n)) for n, p in L.MITIGATIONS]
-    said = said.withColumn("mitigations", F.filter(F.array(*found), lambda m: m.isNotNull()))
-    x = T.char_anomalies(F.col("message"), F.col("forms"), F.col("normalized"))
     any_hit = (F.size("mild_hits") + F.size("severe_hits") + F.size("threat_hits")) > 0
+    said = said.withColumn("mitigations", F.filter(F.when(any_hit, F.array(*found)).otherwise(F.array().cast("array<string>")), lambda m: m.isNotNull()))
+    x = T.char_anomalies(F.col("message"), F.col("forms"), F.col("normalized"))
     hidden = x["invisible_in_word"] | (x["mixed_words"] > 0) | x["letter_spaced"]
-    is_like = lambda pattern: F.col("normalized").rlike(pattern)
+    handled = lambda pattern: F.contains("normalized", F.lit("@")) & F.col("normalized").rlike(pattern)
     return said.withColumns({
-        "obfuscated": any_hit & hidden, "addressed": is_like(L.TARGET), "mentions_someone": is_like(r"(?:^|\s)@[a-z0-9_.-]{2,}"),
-        "other_target": is_like(L.OTHER_TARGET), "self_harm": is_like(L.bounded(L.SELF_HARM)),
-    })
+        "obfuscated": any_hit & hidden, "addressed": _has_any("seen", target) | handled(L.TARGET), "mentions_someone": handled(r"(?:^|\s)@[a-z0-9_.-]{2,}"),
+        "other_target": _has_any("seen", other) | handled(L.OTHER_TARGET), "self_harm": _has_any("seen", harm) & F.col("normalized").rlike(L.bounded(L.SELF_HARM)),
+    }).drop("seen")
 
 
 def with_hits(featured: DataFrame, lex: L.Lexicon) -> DataFrame:

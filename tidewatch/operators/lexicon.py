@@ -71,8 +71,11 @@ SELF_HARM = (
 )
 _HANDLE = r"(?:^|\s)@[a-z0-9_.-]{2,}"
 _EDGE_L, _EDGE_R = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-TARGET = rf"{_HANDLE}|{_EDGE_L}(?:you|u|ur|your|yours|yourself|yall){_EDGE_R}"
-OTHER_TARGET = rf"{_EDGE_L}(?:you|u|your|him|his|her|them|they|@\w+){_EDGE_R}"
+TARGET_WORDS, OTHER_WORDS = "you|u|ur|your|yours|yourself|yall", "you|u|your|him|his|her|them|they"
+TARGET = rf"{_HANDLE}|{_EDGE_L}(?:{TARGET_WORDS}){_EDGE_R}"
+OTHER_TARGET = rf"{_EDGE_L}(?:{OTHER_WORDS}|@\w+){_EDGE_R}"
+#: Words of which each match of SELF_HARM has one.
+SELF_HARM_WORDS = "die|dead|forever|life|all|myself|thinking|thoughts|thought|reason|living|like"
 
 
 def bounded(pattern: str) -> str:
@@ -101,6 +104,21 @@ def phrase_pattern(phrase: str, dense: bool = False) -> str:
     return out
 
 
+def _words_of(kind: str, text: str) -> frozenset[str] | None:
+    """Words of which each match of an entry in text with its spaces has one, between word boundaries; None if that can't be said.
+    Of a phrase's items that must be there, that of the longest words is taken, as it is rarest."""
+    if kind == "word":
+        found = [{text}]
+    elif kind == "phrase":
+        must = [x for x in text.split() if x != ".." and not x.endswith("?")]
+        options = [GROUPS[x[1:-1]].split("|") if x.startswith("<") else x.split("|") for x in must]
+        found = [{max(o.replace("_", " ").split(), key=len) for o in some} for some in options]
+    else:
+        found = []
+    found = [x for x in found if all(re.fullmatch("[a-z0-9]+", w) for w in x)]
+    return frozenset(max(found, key=lambda x: (min(map(len, x)), sum(map(len, x)) / len(x)))) if found else None
+
+
 @dataclass(frozen=True)
 class Lexicon:
     entries: tuple[tuple[str, str, str], ...] = SEED
@@ -108,6 +126,8 @@ class Lexicon:
     version: str = "1"
     patterns: dict[str, str] = field(init=False)
     dense: dict[str, str] = field(init=False)
+    #: Words of which a text has one where the tier's pattern finds something, if that is known of each entry.
+    words: dict[str, list[str]] = field(init=False)
 
     def __post_init__(self):
         plain: dict[str, list[str]] = {}
@@ -124,6 +144,8 @@ class Lexicon:
             dense.setdefault(tier, []).append(both[1])
         object.__setattr__(self, "patterns", {t: bounded("|".join(p)) for t, p in plain.items()})
         object.__setattr__(self, "dense", {t: "|".join(p) for t, p in dense.items()})
+        needed = {t: [_words_of(kind, text) for tier, kind, text in self.entries if tier == t] for t in plain}
+        object.__setattr__(self, "words", {t: sorted(frozenset().union(*n)) for t, n in needed.items() if None not in n})
 
 
 #: Rows of a lexicon table at most: it becomes one pattern per tier.
